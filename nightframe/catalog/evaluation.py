@@ -219,11 +219,11 @@ top_b AS (SELECT *, CASE WHEN am = true4 THEN 1.0 ELSE 0.0 END AS correct,
 g AS (SELECT d.dataset_id, CAST(r.range AS INT) AS bin FROM (SELECT DISTINCT dataset_id FROM top_b) d, range(15) r),
 a AS (SELECT dataset_id, bin, count(*) AS n, avg(conf) AS ac, avg(correct) AS aa FROM top_b GROUP BY 1, 2)
 SELECT dataset_id, bin, coalesce(n, 0) AS count, round(coalesce(ac, 0), 6) AS avg_conf, round(coalesce(aa, 0), 6) AS avg_acc,
-       round(abs(coalesce(aa, 0) - coalesce(ac, 0)), 6) AS gap FROM g LEFT JOIN a USING (dataset_id, bin)""",
+       round(round(abs(coalesce(aa, 0) - coalesce(ac, 0)), 10), 6) AS gap FROM g LEFT JOIN a USING (dataset_id, bin)""",
 )
 def reliability(spark, sf):
     out = cal.reliability(labelled(spark, sf), ["dataset_id"], "conf", "correct")
-    return out.select("dataset_id", i4("bin"), big("count"), r6("avg_conf"), r6("avg_acc"), r6("gap"))
+    return out.select("dataset_id", i4("bin"), big("count"), r6("avg_conf"), r6("avg_acc"), r6(F.round("gap", 10), "gap"))
 
 
 @query(

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 STAGE_TEXT = {"w": 0, "wake": 0, "n1": 1, "n2": 2, "n3": 3, "n4": 3, "r": 4, "rem": 4}
 UNKNOWN_CODES = [-1, 9, 99]
 CHANNEL_KINDS = [
-    ("ecg", "ecg|ekg"), ("emg", "emg"), ("resp", "resp|thorax|abdo|flow"),
-    ("vib", "vib"), ("move", "move|motion|acc|position"), ("bed", "bed"), ("apnea", "apnea"),
+    ("ecg", "ecg|ekg"), ("emg", "emg"), ("resp", "resp|breath"), ("vib", "vib"),
+    ("move", "acc|gyro|motion|move"), ("bed", "bed"), ("apnea", "apnea"),
 ]
 # --- end of fixed values ----------------------------------------------------
 
@@ -28,25 +28,39 @@ def lookup(col: Column, table: dict) -> Column:
 
 def stage_text_code(col: Column) -> Column:
     """Stage text to code, -1 when unknown (EXP-02)."""
-    clean = F.regexp_replace(F.lower(F.trim(col)), r"stage|\s+", "")
+    clean = F.regexp_replace(F.lower(F.trim(col)), "stage| ", "")
     return F.coalesce(lookup(clean, STAGE_TEXT), F.lit(-1))
 
 
-def numeric_stage_code(col: Column, partition: Sequence[str]) -> Column:
+def numeric_stage_codes(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
     """Numeric stage to code (EXP-03).
 
-    When the smallest valid code of a recording is 1 or more, its codes are
-    shifted down by one. Unknown codes and codes outside 0..4 become -1.
+    When the smallest known code of a recording is 1 or more, codes 1..5 are
+    shifted down by one. Unknown codes and other values become -1.
     """
-    known = F.when(~col.isin(UNKNOWN_CODES) & (col >= 0), col)
-    lowest = F.min(known).over(Window.partitionBy(*partition))
-    return shifted_stage(col, lowest)
+    lowest = df.groupBy(*keys).agg(F.min(known_code(F.col(col))).alias("_low"))
+    code = known_code(F.col(col))
+    shifted = F.when((F.col("_low") >= 1) & code.between(1, 5), code - 1).when(
+        code.between(0, 4), code
+    )
+    return (
+        df.join(lowest, list(keys), "left")
+        .withColumn(out, F.coalesce(shifted, F.lit(-1)).cast("int"))
+        .drop("_low")
+    )
 
 
-def shifted_stage(col: Column, lowest: Column) -> Column:
-    known = F.when(~col.isin(UNKNOWN_CODES) & (col >= 0), col)
-    code = F.when(lowest >= 1, known - 1).otherwise(known)
-    return F.when(code.between(0, 4), code).otherwise(F.lit(-1))
+def known_code(col: Column) -> Column:
+    return F.when(~col.isin(UNKNOWN_CODES), col)
+
+
+def channel_kind(name: Column) -> Column:
+    """Signal kind from a channel name, first matching kind wins (EXP-07)."""
+    value = F.lower(name)
+    out = F.when(value.rlike(CHANNEL_KINDS[0][1]), CHANNEL_KINDS[0][0])
+    for kind, pattern in CHANNEL_KINDS[1:]:
+        out = out.when(value.rlike(pattern), kind)
+    return out
 
 
 def four_class(col: Column) -> Column:
