@@ -27,17 +27,7 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(right, list(keys), how)
 
 
-def running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    block: str,
-    totals: Mapping[str, Column],
-) -> DataFrame:
-    """Inclusive running sums per key: sums inside each block plus block offsets.
-
-    ``block`` must be monotone in ``order``.
-    """
+def _running(df, keys, order, block, values, aggregate, identity) -> DataFrame:
     keys = list(keys)
     inside = (
         Window.partitionBy(*keys, block)
@@ -46,20 +36,43 @@ def running_totals(
     )
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     per_block = df.groupBy(*keys, block).agg(
-        *[F.sum(expr).alias(f"_t_{name}") for name, expr in totals.items()]
+        *[aggregate(expr).alias(f"_t_{name}") for name, expr in values.items()]
     )
-    offsets = per_block.select(
+    carried = per_block.select(
         *keys,
         block,
-        *[
-            F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}")
-            for name in totals
-        ],
+        *[aggregate(f"_t_{name}").over(before).alias(f"_o_{name}") for name in values],
+    )
+    local = df.withColumns({f"_l_{n}": aggregate(e).over(inside) for n, e in values.items()})
+    joined = local.join(carried, [*keys, block])
+    return joined.withColumns({n: identity(f"_l_{n}", f"_o_{n}") for n in values}).drop(
+        *[f"_l_{n}" for n in values], *[f"_o_{n}" for n in values]
     )
-    local = df.withColumns({f"_l_{n}": F.sum(e).over(inside) for n, e in totals.items()})
-    joined = local.join(offsets, [*keys, block])
-    return joined.withColumns({n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in totals}).drop(
-        *[f"_l_{n}" for n in totals], *[f"_o_{n}" for n in totals]
+
+
+def running_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    block: str,
+    totals: Mapping[str, Column],
+) -> DataFrame:
+    """Inclusive running sums per key: sums inside each block plus block offsets.
+
+    ``block`` must be monotone in ``order``. ``keys`` may be empty.
+    """
+    return _running(
+        df, keys, order, block, totals, F.sum,
+        lambda here, before: F.coalesce(F.col(here), F.lit(0)) + F.coalesce(F.col(before), F.lit(0)),
+    )
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str, values: Mapping[str, Column]
+) -> DataFrame:
+    """Inclusive running maxima per key, computed like :func:`running_totals`."""
+    return _running(
+        df, keys, order, block, values, F.max, lambda here, before: F.greatest(F.col(here), F.col(before))
     )
 
 
