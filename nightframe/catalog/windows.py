@@ -204,9 +204,9 @@ _NOTE_LABEL = "CASE k % 6 WHEN 0 THEN 'stage REM' WHEN 1 THEN 'wake' WHEN 2 THEN
 @query(
     "win_03_merge_annotations",
     f"""WITH {PREDS}, {_POS}, h AS (SELECT recording_id, pos AS epoch_index, coalesce({_CODE}, -1) AS stage FROM pos_v),
-n AS (SELECT recording_id, pos * 45 AS onset, {_NOTE_LABEL} AS label, {_NOTE_STAGE} AS s, CAST(greatest(0, round_even(pos * 45 / 30, 0)) AS BIGINT) AS at,
+n AS (SELECT recording_id, pos * 45 AS onset, {_NOTE_LABEL} AS label, {_NOTE_STAGE} AS s, CAST(greatest(0, round_even(pos * 45 / 30, 0)) AS BIGINT) AS idx,
   CAST(greatest(1, round_even(greatest(k, 30) / 30, 0)) AS BIGINT) AS cnt FROM pos_v WHERE hr_mean < 70),
-x AS (SELECT recording_id, onset, label, s, unnest(range(at, at + cnt)) AS epoch_index FROM n),
+x AS (SELECT recording_id, onset, label, s, unnest(range(idx, idx + cnt)) AS epoch_index FROM n),
 f AS (SELECT recording_id, epoch_index, arg_min(s, onset * 1000 + ord) AS first_s, min(onset * 1000 + ord) AS set_at FROM (SELECT *, CASE label WHEN 'N1' THEN 0 WHEN 'N2' THEN 1 WHEN 'S3' THEN 2 WHEN 'stage REM' THEN 3 WHEN 'unscored' THEN 4 ELSE 5 END AS ord FROM x) WHERE s <> -1 GROUP BY 1, 2),
 m AS (SELECT h.*, CASE WHEN stage <> -1 THEN stage ELSE coalesce(first_s, -1) END AS fin, set_at FROM h LEFT JOIN f USING (recording_id, epoch_index)),
 c AS (SELECT m.recording_id, m.epoch_index, bool_or(x.s <> m.fin AND (m.stage <> -1 OR x.s <> -1 OR (m.set_at IS NOT NULL AND x.onset * 1000 + 4 > m.set_at))) AS conflict
@@ -354,7 +354,7 @@ def device_days(spark, sf):
     f"""WITH {RECS}, t AS (SELECT recording_id, CASE WHEN recording_id % 11 = 0 THEN NULL ELSE recording_id * 2000 + 1 END AS s, recording_id * 2000 + n_epochs * 30 AS e FROM recs_v),
 o AS (SELECT *, max(e) OVER (ORDER BY s, recording_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t WHERE s IS NOT NULL)
 SELECT recording_id, CAST(sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (ORDER BY s, recording_id) AS BIGINT) AS time_group FROM o
-UNION ALL SELECT recording_id, NULL FROM t WHERE s IS NULL""",
+UNION ALL SELECT recording_id, 0 FROM t WHERE s IS NULL""",
 )
 def overlap(spark, sf):
     recs = recordings(spark, sf).select(
@@ -362,7 +362,9 @@ def overlap(spark, sf):
         F.when(F.col("recording_id") % 11 != 0, F.col("recording_id") * 2000 + 1).alias("s"),
         (F.col("recording_id") * 2000 + F.col("n_epochs") * 30).alias("e"),
     )
-    return rel.overlap_groups(recs, "recording_id", "s", "e").select("recording_id", "time_group")
+    return rel.overlap_groups(recs, "recording_id", "s", "e").select(
+        "recording_id", F.coalesce("time_group", F.lit(0).cast("bigint")).alias("time_group")
+    )
 
 
 @query(
