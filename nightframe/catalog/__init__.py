@@ -1,4 +1,4 @@
 """All named queries; importing this package registers them."""
 
-from nightframe.catalog import datasets, evaluation, expressions, windows  # noqa: F401
+from nightframe.catalog import datasets, evaluation, expressions, operations, windows  # noqa: F401
 from nightframe.catalog.base import ORACLES, QUERIES  # noqa: F401

@@ -5,6 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nightframe.functions.numeric import LOW_AGREEMENT_DEFAULT, LOW_AGREEMENT_QUANTILE
+from nightframe.functions.probability import argmax_label, linear_logits, log_loss, softmax
+from nightframe.operators.evaluation import is_finite
+from nightframe.operators.ordered import exact_quantiles
+from nightframe.operators.sequences import transition_cells
+from nightframe.operators.windows import model_input
+
 # --- fixed values -----------------------------------------------------------
 PENALTY_SELF, PENALTY_NEAR, PENALTY_DEFAULT, PENALTY_FORBIDDEN = 0.0, 0.2, 1.4, 4.0
 NEAR_PAIRS = [("W", "Light"), ("Light", "Deep"), ("Light", "REM")]
@@ -31,3 +41,220 @@ def prior_transitions(labels: Sequence[str]) -> dict[tuple[str, str], float]:
     weights = {pair: math.exp(-p) for pair, p in transition_penalties(labels).items()}
     totals = {s: sum(weights[s, d] for d in labels) for s in labels}
     return {(s, d): w / totals[s] for (s, d), w in weights.items()}
+
+
+def linear_model(spark: SparkSession, weights: Sequence[Sequence[float]], bias: Sequence[float], labels: Sequence[str], version: str) -> DataFrame:
+    """A linear model as a one-row table: fixed size, one weight row per class."""
+    return spark.range(1).select(
+        F.lit(version).alias("model_version"),
+        F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in weights]).alias("weights"),
+        F.array(*[F.lit(float(b)) for b in bias]).alias("bias"),
+        F.array(*[F.lit(x) for x in labels]).alias("labels"),
+    )
+
+
+def score_windows(windows: DataFrame, model: DataFrame, strategy: str = "mean", temperature: float = 1.0) -> DataFrame:
+    """Probabilities, label and confidence for each window (MOD-01).
+
+    ``windows`` has a ``model_version`` to score with; the model table has one
+    row per version.
+    """
+    joined = windows.join(model, "model_version").withColumn("_x", model_input(F.col("window"), strategy))
+    scored = joined.withColumn(
+        "probabilities", softmax(linear_logits(F.col("_x"), F.col("weights"), F.col("bias")), temperature)
+    )
+    return scored.withColumns(
+        {
+            "predicted": argmax_label(F.col("probabilities"), F.col("labels")),
+            "confidence": F.array_max("probabilities"),
+        }
+    ).drop("_x", "weights", "bias", "labels")
+
+
+def ensemble(members: DataFrame, keys: Sequence[str], probs: str, n_classes: int) -> DataFrame:
+    """Mean probability row over the models of a window (MOD-02).
+
+    Rows of another width fail; they are not averaged silently.
+    """
+    width_ok = F.size(probs) == n_classes
+    cell = [
+        F.avg(
+            F.when(width_ok, F.element_at(probs, i + 1)).otherwise(
+                F.raise_error(F.lit("Ensemble members differ in width")).cast("double")
+            )
+        )
+        for i in range(n_classes)
+    ]
+    return members.groupBy(*keys).agg(F.array(*cell).alias(probs), F.count(F.lit(1)).alias("models"))
+
+
+def _window_moments(windows: DataFrame, width: int) -> DataFrame:
+    """Per window and feature: sum, sum of squares and number of finite values."""
+    def over(j: int, f) -> Column:
+        return F.aggregate("window", F.lit(0.0), lambda acc, row: acc + f(F.element_at(row, j + 1).cast("double")))
+
+    def usable(x: Column) -> Column:
+        return is_finite(x)
+
+    cols = {}
+    for j in range(width):
+        cols[f"_s{j}"] = over(j, lambda x: F.when(usable(x), x).otherwise(0.0))
+        cols[f"_q{j}"] = over(j, lambda x: F.when(usable(x), x * x).otherwise(0.0))
+        cols[f"_n{j}"] = over(j, lambda x: F.when(usable(x), 1.0).otherwise(0.0))
+    return windows.withColumns(cols)
+
+
+def window_stats(windows: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+    """Mean and population std of each feature over all cells of the windows.
+
+    Moments are taken inside each row first, so nothing is exploded and Spark
+    combines the sums on the map side. A constant or empty feature has std 1,
+    an empty one mean 0.
+    """
+    sums = _window_moments(windows, width).groupBy(*by).agg(
+        *[F.sum(f"_{m}{j}").alias(f"_{m}{j}") for j in range(width) for m in "sqn"]
+    )
+    means, stds = [], []
+    for j in range(width):
+        n = F.col(f"_n{j}")
+        mean = F.coalesce(F.try_divide(F.col(f"_s{j}"), n), F.lit(0.0))
+        var = F.coalesce(F.try_divide(F.col(f"_q{j}"), n), F.lit(0.0)) - mean * mean
+        std = F.sqrt(F.greatest(var, F.lit(0.0)))
+        means.append(mean)
+        stds.append(F.when(std > 1e-8, std).otherwise(F.lit(1.0)))
+    return sums.select(*by, F.array(*means).alias("_mean"), F.array(*stds).alias("_std"))
+
+
+def _standardise(window: Column, mean: Column, std: Column) -> Column:
+    def cell(x: Column, i: Column) -> Column:
+        value = x.cast("double")
+        filled = F.when(is_finite(value), value).otherwise(F.get(mean, i))
+        return (filled - F.get(mean, i)) / F.get(std, i)
+
+    return F.transform(window, lambda row: F.transform(row, cell))
+
+
+def normalise_windows(
+    windows: DataFrame, keys: Sequence[str], width: int, train: Column, per_recording: bool = True
+) -> DataFrame:
+    """Per-recording z-score, then z-score with training statistics (MOD-03)."""
+    out = windows
+    if per_recording:
+        out = out.join(window_stats(out, keys, width), list(keys)).withColumn(
+            "window", _standardise(F.col("window"), F.col("_mean"), F.col("_std"))
+        ).drop("_mean", "_std")
+    fit = window_stats(out.filter(train).withColumn("_one", F.lit(1)), ["_one"], width)
+    return (
+        out.withColumn("_one", F.lit(1))
+        .join(fit, "_one")
+        .withColumn("window", _standardise(F.col("window"), F.col("_mean"), F.col("_std")))
+        .drop("_mean", "_std", "_one")
+    )
+
+
+def low_agreement_threshold(train: DataFrame, col: str = "agree_flags") -> DataFrame:
+    """0.15 quantile of the training agreement flags, 0.5 without data (MOD-04)."""
+    rows = train.select(F.lit(1).alias("_one"), F.col(col).cast("double").alias("_v")).filter(is_finite(F.col("_v")))
+    fit = exact_quantiles(rows, ["_one"], "_v", {"threshold": LOW_AGREEMENT_QUANTILE})
+    base = train.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    return base.join(fit, "_one", "left").select(
+        F.coalesce("threshold", F.lit(LOW_AGREEMENT_DEFAULT)).alias("threshold")
+    )
+
+
+def fit_temperature(
+    df: DataFrame, logits: str, label_index: str, grid: Sequence[float]
+) -> DataFrame:
+    """Temperature with the smallest negative log-likelihood on a grid (MOD-05).
+
+    One aggregate column per candidate: one pass, no row is copied. Candidates
+    below 0.05 are raised to it.
+    """
+    usable = sorted({max(float(t), 0.05) for t in grid})
+    sums = df.agg(
+        *[
+            F.sum(log_loss(F.col(logits), F.col(label_index), F.lit(t))).alias(f"_t{i}")
+            for i, t in enumerate(usable)
+        ],
+        F.count(F.lit(1)).alias("rows"),
+    )
+    cells = [F.struct(F.col(f"_t{i}").alias("nll"), F.lit(t).alias("temperature")) for i, t in enumerate(usable)]
+    best = F.array_min(F.array(*cells))
+    return sums.select(best["temperature"].alias("temperature"), (best["nll"] / F.col("rows")).alias("nll"), "rows")
+
+
+def replay_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Predictions of two models for the same windows (JON-09)."""
+    left = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in cols])
+    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in cols])
+    return left.join(right, list(keys))
+
+
+def replay_summary(
+    joined: DataFrame, keys: Sequence[str], by: Sequence[str], truth: str, index: str = "epoch_index"
+) -> DataFrame:
+    """Confidence delta, transition L1/L2 and accuracy of two models (MOD-07).
+
+    ``joined`` has ``a_stage, b_stage, a_confidence, b_confidence``. Transition
+    matrices use the union of labels, so they always have one shape.
+    """
+    cells = transition_cells(
+        joined.withColumnsRenamed({"a_stage": "_a", "b_stage": "_b"}), keys, by, "_a", "_b", index
+    )
+    diff = F.col("n_true") - F.col("n_pred")
+    shifts = cells.groupBy(*by).agg(
+        F.sum(F.abs(diff)).cast("double").alias("transition_l1"),
+        F.sqrt(F.sum(diff * diff)).alias("transition_l2"),
+    )
+    known = F.col(truth).isNotNull()
+    base = joined.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("windows"),
+        F.avg("a_confidence").alias("a_mean"), F.avg("b_confidence").alias("b_mean"),
+        F.count_if(F.col("a_stage") != F.col("b_stage")).alias("disagreements"),
+        F.avg(F.when(known, (F.col("a_stage") == F.col(truth)).cast("double"))).alias("a_accuracy"),
+        F.avg(F.when(known, (F.col("b_stage") == F.col(truth)).cast("double"))).alias("b_accuracy"),
+    )
+    return base.join(shifts, list(by), "left").withColumns(
+        {
+            "confidence_delta": F.col("a_mean") - F.col("b_mean"),
+            "transition_l1": F.coalesce("transition_l1", F.lit(0.0)),
+            "transition_l2": F.coalesce("transition_l2", F.lit(0.0)),
+        }
+    )
+
+
+def train_classifier(
+    train: DataFrame, features: str, label_index: str, weight: str | None = None, folds: int = 0,
+    reg_params: Sequence[float] = (0.0,), max_iter: int = 20, seed: int = 42,
+):
+    """Multinomial logistic regression on scaled features, optionally with
+    cross-validated regularisation by macro-style F1 (MOD-06)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    data = train.withColumn("_vector", array_to_vector(F.col(features)))
+    scaler = StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True)
+    lr = LogisticRegression(featuresCol="_scaled", labelCol=label_index, maxIter=max_iter, family="multinomial")
+    if weight:
+        lr = lr.setWeightCol(weight)
+    pipeline = Pipeline(stages=[scaler, lr])
+    if folds < 2:
+        return pipeline.fit(data)
+    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
+    judge = MulticlassClassificationEvaluator(labelCol=label_index, metricName="f1")
+    search = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed)
+    return search.fit(data).bestModel
+
+
+def apply_classifier(model, df: DataFrame, features: str) -> DataFrame:
+    """Class index and probability array of a fitted classifier."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    scored = model.transform(df.withColumn("_vector", array_to_vector(F.col(features))))
+    return scored.withColumn("probabilities", vector_to_array("probability")).drop(
+        "_vector", "_scaled", "rawPrediction", "probability"
+    )
