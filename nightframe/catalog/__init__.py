@@ -1,4 +1,11 @@
 """All named queries; importing this package registers them."""
 
-from nightframe.catalog import datasets, evaluation, expressions, operations, windows  # noqa: F401
+from nightframe.catalog import (  # noqa: F401
+    datasets,
+    evaluation,
+    expressions,
+    operations,
+    signals,
+    windows,
+)
 from nightframe.catalog.base import ORACLES, QUERIES  # noqa: F401

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightframe.operators.evaluation import ratio
-from nightframe.operators.ordered import block_of, exact_quantiles, with_position
+from nightframe.operators.ordered import block_of, exact_quantiles, value_block, with_position
 from nightframe.schema import STAGES
 
 CLINICAL = ["tst_min", "se", "rem_pct", "n3_pct", "rem_latency_min", "waso_min"]
@@ -140,33 +140,20 @@ def metric_summary(nights: DataFrame, key: str, metric: str, by: Sequence[str] =
 def worst_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], fraction: float) -> DataFrame:
     """The first ``max(1, ceil(fraction * n))`` rows of each scope (TOP-04).
 
-    Rows are ranked inside ordered value bins so that one large scope is not
-    sorted by a single task.
+    Rows are ranked inside value blocks so that one large scope is not sorted
+    by a single task.
     """
     by = list(by)
-    keyed = df.withColumn("_k", F.struct(*order)).withColumn("_v", order[0].cast("double"))
-    grid = [i / 64 for i in range(1, 64)]
-    cuts = keyed.groupBy(*by).agg(
-        F.percentile_approx("_v", grid, F.lit(2000)).alias("_cuts"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    binned = keyed.join(cuts, by).withColumn(
-        "_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    ).drop("_cuts")
-    sizes = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_bn"))
-    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *by, "_bin", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_start")
-    )
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = df.withColumns({f"_k{i}": c for i, c in enumerate(order)})
+    names = [f"_k{i}" for i in range(len(order))]
+    ranked = with_position(keyed, by, names, value_block(F.col("_k0").cast("double")), "_rank")
     limit = F.greatest(F.ceil(F.col("_n") * F.lit(fraction)), F.lit(1))
-    inside = Window.partitionBy(*by, "_bin").orderBy("_k")
     return (
-        binned.join(starts, [*by, "_bin"])
-        .filter(F.col("_start") < limit)
-        .withColumn("_rank", F.col("_start") + F.row_number().over(inside))
-        .filter(F.col("_rank") <= limit)
-        .withColumn("worst_rank", F.col("_rank").cast("bigint"))
-        .drop("_k", "_v", "_n", "_bin", "_start", "_rank")
+        ranked.join(sizes, by)
+        .filter(F.col("_rank") < limit)
+        .withColumn("worst_rank", (F.col("_rank") + 1).cast("bigint"))
+        .drop(*names, "_n", "_rank")
     )
 
 

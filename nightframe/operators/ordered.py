@@ -23,10 +23,6 @@ def block_of(index: str | Column, size: int = BLOCK_ROWS) -> Column:
     return F.floor(col / F.lit(size)).cast("bigint")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    return left.join(right, list(keys), how)
-
-
 def _running(df, keys, order, block, values, aggregate, identity) -> DataFrame:
     keys = list(keys)
     inside = (
@@ -129,6 +125,18 @@ def with_neighbours(
     return local.join(edges, [*keys, BLOCK]).withColumns(added).drop(*drop)
 
 
+def with_halo(df: DataFrame, index: str, before: int, after: int, size: int = BLOCK_ROWS) -> DataFrame:
+    """Send each row to its block and to neighbouring blocks that look at it.
+
+    Adds ``_block`` and ``_own``; keep rows with ``_block = _own`` afterwards.
+    """
+    low = F.floor((F.col(index) - F.lit(after)) / F.lit(size)).cast("bigint")
+    high = F.floor((F.col(index) + F.lit(before)) / F.lit(size)).cast("bigint")
+    return df.withColumn("_own", block_of(index, size)).withColumn(
+        BLOCK, F.explode(F.sequence(low, high))
+    )
+
+
 def with_frame(
     df: DataFrame,
     keys: Sequence[str],
@@ -146,92 +154,79 @@ def with_frame(
     copied.
     """
     keys = list(keys)
-    own = block_of(index, size)
-    low = F.floor((F.col(index) - F.lit(after)) / F.lit(size)).cast("bigint")
-    high = F.floor((F.col(index) + F.lit(before)) / F.lit(size)).cast("bigint")
-    spread = df.withColumn("_own", own).withColumn(BLOCK, F.explode(F.sequence(low, high)))
+    spread = with_halo(df, index, before, after, size)
     frame = Window.partitionBy(*keys, BLOCK).orderBy(index).rangeBetween(-before, after)
     out = spread.withColumns({name: agg.over(frame) for name, agg in added.items()})
     return out.filter(F.col(BLOCK) == F.col("_own")).drop(BLOCK, "_own")
 
 
+def value_block(value: Column, per_octave: int = 256) -> Column:
+    """A block number that grows with ``value``, at any scale.
+
+    Blocks are narrow value bands (``per_octave`` per power of two), so ranking
+    by value never sorts one key's values in a single task.
+    """
+    size = F.floor(F.log2(F.abs(value)) * per_octave)
+    return (
+        F.when(value > 0, size + 10_000_000)
+        .when(value < 0, -size - 10_000_000)
+        .otherwise(F.lit(0))
+        .cast("bigint")
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
     method: str = "linear",
-    splits: int = 64,
 ) -> DataFrame:
     """Exact quantiles per key without gathering a key's values in one task.
 
-    Values are counted first, cut into ordered bins by an approximate sketch,
-    and only the bins that hold a wanted rank are ranked row by row.
-    ``method`` is ``linear`` (numpy's default) or ``lower_rank`` (the value at
-    sorted position ``int(q * (n - 1))``).
+    Equal values are counted first; ranks then come from running counts over
+    value blocks. ``method`` is ``linear`` (numpy's default) or ``lower_rank``
+    (the value at sorted position ``int(q * (n - 1))``).
     """
     keys = list(keys)
+    v = F.col(value).cast("double")
     counts = (
-        df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        df.filter(v.isNotNull() & ~F.isnan(v))
+        .groupBy(*keys, v.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn(BLOCK, value_block(F.col("_v")))
     )
-    grid = [i / splits for i in range(1, splits)]
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", grid, F.lit(2000)).alias("_cuts"), F.sum("_c").alias("_n")
-    )
-    binned = _null_safe(counts, cuts, keys, "inner") if keys else counts.join(F.broadcast(cuts))
-    binned = binned.withColumn(
-        "_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    ).drop("_cuts")
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    per_bin = (
-        binned.groupBy(*keys, "_bin")
-        .agg(F.sum("_c").alias("_bc"), F.max("_n").alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
+    per_block = counts.groupBy(*keys, BLOCK).agg(F.sum("_c").alias("_bc"))
+    scope = Window.partitionBy(*keys)
+    before = scope.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(
+        *keys, BLOCK,
+        F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_start"),
+        F.sum("_bc").over(scope).alias("_n"),
     )
-    wanted = []
-    for name, q in quantiles.items():
-        exact = F.lit(float(q)) * (F.col("_n") - 1)
-        wanted.append(
-            F.struct(
-                F.lit(name).alias("q"),
-                F.floor(exact).cast("bigint").alias("lo"),
-                (
-                    F.ceil(exact) if method == "linear" else F.floor(exact)
-                ).cast("bigint").alias("hi"),
-                (exact - F.floor(exact)).alias("w"),
-            )
-        )
-    targets = F.array(*wanted)
-    hits = per_bin.withColumn(
-        "_targets",
-        F.filter(
-            targets,
-            lambda t: ((t["lo"] >= F.col("_start")) & (t["lo"] < F.col("_start") + F.col("_bc")))
-            | ((t["hi"] >= F.col("_start")) & (t["hi"] < F.col("_start") + F.col("_bc"))),
-        ),
-    ).filter(F.size("_targets") > 0)
-    hits = hits.select(*keys, "_bin", "_start", "_targets")
     inside = (
-        Window.partitionBy(*keys, "_bin")
+        Window.partitionBy(*keys, BLOCK)
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = binned.join(hits, [*keys, "_bin"]).withColumn(
-        "_upto", F.col("_start") + F.sum("_c").over(inside)
+    ranked = (
+        counts.withColumn("_local", F.sum("_c").over(inside))
+        .join(offsets, [*keys, BLOCK])
+        .withColumn("_upto", F.col("_start") + F.col("_local"))
     )
-    ranked = ranked.withColumn("_from", F.col("_upto") - F.col("_c"))
-    picks = ranked.select(*keys, "_v", "_from", "_upto", F.explode("_targets").alias("_t"))
-    lo = (F.col("_t.lo") >= F.col("_from")) & (F.col("_t.lo") < F.col("_upto"))
-    hi = (F.col("_t.hi") >= F.col("_from")) & (F.col("_t.hi") < F.col("_upto"))
+    n_minus_1 = F.col("_n") - 1
     aggs = []
-    for name in quantiles:
-        mine = F.col("_t.q") == name
-        low = F.max(F.when(mine & lo, F.col("_v")))
-        high = F.max(F.when(mine & hi, F.col("_v")))
-        weight = F.max(F.when(mine, F.col("_t.w")))
-        aggs.append(
-            (low + (high - low) * weight if method == "linear" else low).alias(name)
-        )
-    return picks.groupBy(*keys).agg(*aggs)
+    for name, q in quantiles.items():
+        exact = F.lit(float(q)) * n_minus_1
+
+        def at(rank: Column) -> Column:
+            hit = (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
+            return F.max(F.when(hit, F.col("_v")))
+
+        low = at(F.floor(exact))
+        if method == "linear":
+            high, weight = at(F.ceil(exact)), F.max(exact - F.floor(exact))
+            aggs.append((low + (high - low) * weight).alias(name))
+        else:
+            aggs.append(low.alias(name))
+    return ranked.groupBy(*keys).agg(*aggs)
