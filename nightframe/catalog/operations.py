@@ -142,12 +142,12 @@ _CODE = "CASE ground_truth_stage WHEN 'W' THEN 0 WHEN 'N1' THEN 1 WHEN 'N2' THEN
 
 
 def nights(spark, sf):
-    df = predictions(spark, sf).withColumn("code", F.expr(_CODE)).withColumn("valid", (F.col("code") >= 0) & (F.col("hr_mean") > 45))
+    df = predictions(spark, sf).withColumn("code", F.expr(_CODE)).withColumn("valid", F.col("hr_mean") > 45)
     return stat.night_classes(df, ["dataset_id", "recording_id"], "code", "valid")
 
 
-_NIGHTS = f"""c_v AS (SELECT *, {_CODE} AS code FROM preds_v), nt_v AS (SELECT dataset_id, recording_id, count(*) AS n_epochs, count(*) FILTER (WHERE code = -1) AS n_unknown,
-  {", ".join(f"count(*) FILTER (WHERE code = {i}) AS n_{i}" for i in range(5))}, avg(CASE WHEN code >= 0 AND hr_mean > 45 THEN 1.0 ELSE 0.0 END) AS valid_ratio FROM c_v GROUP BY 1, 2)"""
+_NIGHTS = f"""c_v AS (SELECT *, {_CODE} AS code FROM preds_v), nt_v AS (SELECT dataset_id, recording_id, count(*) AS n_epochs, count(*) FILTER (WHERE code = -1 AND hr_mean > 45) AS n_unknown,
+  {", ".join(f"count(*) FILTER (WHERE code = {i} AND hr_mean > 45) AS n_{i}" for i in range(5))}, avg(CASE WHEN hr_mean > 45 THEN 1.0 ELSE 0.0 END) AS valid_ratio FROM c_v GROUP BY 1, 2)"""
 
 
 @query("agg_30_night_classes", f"WITH {PREDS}, {_NIGHTS} SELECT * REPLACE (round(valid_ratio, 6) AS valid_ratio) FROM nt_v")

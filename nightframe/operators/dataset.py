@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from nightframe.operators.ordered import (
     block_of,
-    running_totals,
     with_frame,
     with_neighbours,
     with_position,
@@ -215,7 +214,7 @@ def purge_gap(
     if gap <= 0:
         return df
     placed = with_position(df, keys, [index], block_of(index), "_pos")
-    seq = with_neighbours(placed, keys, ["_pos"], block_of("_pos"), [split])
+    seq = with_neighbours(placed, keys, ["_pos"], block_of("_pos"), [split], dense=BLOCK_ROWS)
     changed = seq.withColumn(
         "_edge", F.coalesce((F.col(f"prev.{split}") != F.col(split)).cast("int"), F.lit(0))
     ).drop("prev")

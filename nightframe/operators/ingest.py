@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nightframe.operators.ordered import block_of, with_neighbours, with_position
 from nightframe.operators.scan import scan
-from nightframe.schema import RECORDING_TIMEOUT_HOURS
+from nightframe.schema import BLOCK_ROWS, RECORDING_TIMEOUT_HOURS
 
 # --- fixed values -----------------------------------------------------------
 EPOCH_RETENTION_DAYS, PREDICTION_RETENTION_DAYS = 90, 180
@@ -73,7 +73,7 @@ def recording_sessions(
     keys = list(keys)
     cap = cap_hours * 3600
     placed = with_position(events, keys, [sec, *ids], F.floor(F.col(sec) / 3600), "_pos")
-    seq = with_neighbours(placed, keys, ["_pos"], block_of("_pos"), [sec])
+    seq = with_neighbours(placed, keys, ["_pos"], block_of("_pos"), [sec], dense=BLOCK_ROWS)
     end_flag = F.col(closes).cast("double") if closes else F.lit(0.0)
     rows = seq.withColumns({"_gap": F.col(sec) - F.col(f"prev.{sec}"), "_close": end_flag}).drop("prev")
 

@@ -93,13 +93,26 @@ def with_neighbours(
     cols: Sequence[str],
     prev: str | None = "prev",
     next_: str | None = None,
+    dense: int = 0,
 ) -> DataFrame:
     """Attach the previous and/or next row of the key as structs of ``cols``.
 
     The first and last row of each block come from the neighbouring block's
-    edge, computed by a partial aggregate (``max_by`` / ``min_by``).
+    edge, computed by a partial aggregate (``max_by`` / ``min_by``). When
+    ``order`` is one column of consecutive integers, ``dense`` gives the block
+    size and each block simply carries one row of its neighbours: one shuffle,
+    one pass.
     """
     keys = list(keys)
+    if dense:
+        payload = F.struct(*[F.col(c) for c in cols])
+        inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+        out = with_halo(df, order[0], 1, 1, dense)
+        if prev:
+            out = out.withColumn(prev, F.lag(payload).over(inside))
+        if next_:
+            out = out.withColumn(next_, F.lead(payload).over(inside))
+        return out.filter(F.col(BLOCK) == F.col("_own")).drop(BLOCK, "_own")
     source = df.withColumn(BLOCK, block if isinstance(block, Column) else F.col(block))
     payload = F.struct(*[F.col(c) for c in cols])
     rank = F.struct(*[F.col(c) for c in order])

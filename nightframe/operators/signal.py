@@ -206,7 +206,9 @@ def robust_threshold(df: DataFrame, keys: Sequence[str], factor: float, value: s
 # --- peaks and rates ---------------------------------------------------------
 def local_maxima(df: DataFrame, keys: Sequence[str], value: str, index: str = "sample_idx") -> DataFrame:
     """Strict local maxima; a flat top counts once, at its middle."""
-    steps = with_neighbours(df.select(*keys, index, value), keys, [index], block_of(index, SAMPLE_BLOCK), [value])
+    steps = with_neighbours(
+        df.select(*keys, index, value), keys, [index], block_of(index, SAMPLE_BLOCK), [value], dense=SAMPLE_BLOCK
+    )
     starts = steps.filter(F.col("prev").isNull() | (F.col(f"prev.{value}") != F.col(value))).drop("prev")
     runs = with_neighbours(starts, keys, [index], block_of(index, SAMPLE_BLOCK), [index, value], next_="next")
     top = (F.col(value) > F.col(f"prev.{value}")) & (F.col(value) > F.col(f"next.{value}"))
@@ -694,7 +696,7 @@ def imu_score(df: DataFrame, keys: Sequence[str], index: str = "sample_idx", rin
     Input ``ax, ay, az, gx, gy, gz``. The ring starts with zeros, as on the device.
     """
     axes = ["ax", "ay", "az"]
-    seq = with_neighbours(df, keys, [index], block_of(index, SAMPLE_BLOCK), axes)
+    seq = with_neighbours(df, keys, [index], block_of(index, SAMPLE_BLOCK), axes, dense=SAMPLE_BLOCK)
     moved = reduce(lambda a, b: a + b, [F.abs(F.col(a) - F.coalesce(F.col(f"prev.{a}"), F.lit(0.0))) for a in axes])
 
     def norm(cols: Sequence[str]) -> Column:

@@ -160,11 +160,11 @@ def extraction_qc(df: DataFrame, keys: Sequence[str], channels: Column | None =
 
 
 def night_classes(df: DataFrame, keys: Sequence[str], stage: str, valid: str) -> DataFrame:
-    """Counts of codes -1..4 and the valid ratio of a night (AGG-30)."""
+    """Counts of codes -1..4 among valid epochs and the valid ratio of a night (AGG-30)."""
     codes = [STAGE_UNKNOWN, 0, 1, 2, 3, 4]
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_epochs"),
-        *[F.count_if(F.col(stage) == c).alias(f"n_{'unknown' if c < 0 else c}") for c in codes],
+        *[F.count_if(F.col(valid) & (F.col(stage) == c)).alias(f"n_{'unknown' if c < 0 else c}") for c in codes],
         F.avg(F.col(valid).cast("double")).alias("valid_ratio"),
     )
 
