@@ -230,10 +230,10 @@ def reliability(spark, sf):
     "agg_14_ece",
     f"""WITH {PREDS}{_TOP},
 bins AS (SELECT recording_id, bin, count(*) AS n, abs(avg(correct) - avg(conf)) AS gap FROM top_b GROUP BY 1, 2)
-SELECT recording_id, round(sum(gap * n) / sum(n), 6) AS ece FROM bins GROUP BY 1""",
+SELECT recording_id, round(round(sum(gap * n) / sum(n), 10), 6) AS ece FROM bins GROUP BY 1""",
 )
 def ece(spark, sf):
-    return cal.ece(labelled(spark, sf), ["recording_id"], "conf", "correct").select("recording_id", r6("ece"))
+    return cal.ece(labelled(spark, sf), ["recording_id"], "conf", "correct").select("recording_id", r6(F.round("ece", 10), "ece"))
 
 
 @query(
@@ -242,12 +242,12 @@ def ece(spark, sf):
     unnest([p_w, p_light, p_deep, p_rem]) AS conf FROM preds_v WHERE true4 IS NOT NULL),
 b AS (SELECT dataset_id, label, len(list_filter({_EDGES}, lambda e : conf >= e)) AS bin, count(*) AS n,
     abs(avg(CASE WHEN true4 = label THEN 1.0 ELSE 0.0 END) - avg(conf)) AS gap FROM x GROUP BY 1, 2, 3)
-SELECT dataset_id, label, round(sum(gap * n) / sum(n), 6) AS ece FROM b GROUP BY 1, 2""",
+SELECT dataset_id, label, round(round(sum(gap * n) / sum(n), 10), 6) AS ece FROM b GROUP BY 1, 2""",
 )
 def ece_per_class(spark, sf):
     df = predictions(spark, sf).filter(F.col("true4").isNotNull())
     rows = cal.one_vs_rest(df, ["dataset_id"], "probabilities", "true4")
-    return cal.ece(rows, ["dataset_id", "label"], "conf", "correct").select("dataset_id", "label", r6("ece"))
+    return cal.ece(rows, ["dataset_id", "label"], "conf", "correct").select("dataset_id", "label", r6(F.round("ece", 10), "ece"))
 
 
 _BRIER = " + ".join(f"pow(p_{c.lower()} - CASE WHEN true4 = '{c}' THEN 1 ELSE 0 END, 2)" for c in CLASSES)
@@ -255,10 +255,10 @@ _BRIER = " + ".join(f"pow(p_{c.lower()} - CASE WHEN true4 = '{c}' THEN 1 ELSE 0
 
 @query(
     "agg_15_brier",
-    f"""WITH {PREDS} SELECT {R}, round(avg({_BRIER}), 6) AS brier FROM preds_v WHERE true4 IS NOT NULL GROUP BY {R}""",
+    f"""WITH {PREDS} SELECT {R}, round(round(avg({_BRIER}), 10), 6) AS brier FROM preds_v WHERE true4 IS NOT NULL GROUP BY {R}""",
 )
 def brier(spark, sf):
-    return cal.brier(predictions(spark, sf), REC).select(*REC, r6("brier"))
+    return cal.brier(predictions(spark, sf), REC).select(*REC, r6(F.round("brier", 10), "brier"))
 
 
 @query(
@@ -571,12 +571,10 @@ k AS (SELECT *, row_number() OVER (ORDER BY macro_f1_all, recording_id) AS rn, c
 SELECT recording_id, round(macro_f1_all, 6) AS macro_f1_all, rn AS worst_rank FROM k WHERE rn <= greatest(ceil(cnt * 0.2), 1)""",
 )
 def hardest(spark, sf):
-    nights = ev.classification_report(predictions(spark, sf), ["recording_id"]).withColumn(
-        "_all", F.lit(0)
-    )
+    nights = ev.classification_report(predictions(spark, sf), ["recording_id"])
     # scores are compared at nine places so that the order is the same on every run
     nights = nights.withColumn("macro_f1_all", F.round("macro_f1_all", 9))
-    worst = ni.worst_rows(nights, ["_all"], [F.col("macro_f1_all"), F.col("recording_id")], 0.2)
+    worst = ni.worst_rows(nights, [], [F.col("macro_f1_all"), F.col("recording_id")], 0.2)
     return worst.select("recording_id", r6("macro_f1_all"), "worst_rank")
 
 

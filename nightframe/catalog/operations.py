@@ -340,9 +340,9 @@ SELECT unnest(['p95_latency_ms', 'p99_latency_ms', 'failure_rate']) AS objective
  unnest([p95_latency_ms <= 350, p99_latency_ms <= 700, failure_rate <= 0.01]) AS met FROM m""",
 )
 def slo(spark, sf):
-    snap = stat.latency_snapshot(latest_usage(spark, sf)).withColumn("_one", F.lit(1))
-    fails = dr.failure_rate(read(spark, sf, "orders").select((F.col("o_orderstatus") != "P").alias("ok"), F.lit(1).alias("_one")), ["_one"])
-    return dr.slo_report(snap.join(fails, "_one")).withColumn("value", r6("value"))
+    snap = stat.latency_snapshot(latest_usage(spark, sf))
+    fails = dr.failure_rate(read(spark, sf, "orders").select((F.col("o_orderstatus") != "P").alias("ok")), [])
+    return dr.slo_report(card.side_by_side([snap, fails])).withColumn("value", r6("value"))
 
 
 # --- feature registry ------------------------------------------------------

@@ -203,11 +203,11 @@ def slew(spark, sf):
     return sig.slew_limit(hr_rows(spark, sf), ["recording_id"], "hr", "capped").select("recording_id", "epoch_index", "capped")
 
 
-@query("sig_13_ewma", f"WITH RECURSIVE {PREDS}, {_HR}, {_recurrence('CASE WHEN h.hr IS NULL THEN NULL WHEN y IS NULL THEN h.hr ELSE 0.3 * h.hr + 0.7 * y END')} SELECT recording_id, epoch_index, round(y, 6) AS smooth, round(round(CASE WHEN y IS NOT NULL THEN avg(y) OVER (PARTITION BY recording_id ORDER BY epoch_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END, 10), 6) AS mean3 FROM rw")
+@query("sig_13_ewma", f"WITH RECURSIVE {PREDS}, {_HR}, {_recurrence('CASE WHEN h.hr IS NULL THEN NULL WHEN y IS NULL THEN h.hr ELSE 0.3 * h.hr + 0.7 * y END')} SELECT recording_id, epoch_index, round(y, 6) AS smooth, round(CASE WHEN y IS NOT NULL THEN avg(y) OVER (PARTITION BY recording_id ORDER BY epoch_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END + 1e-9, 6) AS mean3 FROM rw")
 def smoothing(spark, sf):
     out = sig.ewma(hr_rows(spark, sf), ["recording_id"], "hr", "smooth")
     out = sig.rolling_mean(out, ["recording_id"], "smooth", "mean3", 3)
-    return out.select("recording_id", "epoch_index", r6("smooth"), r6(F.round("mean3", 10), "mean3"))
+    return out.select("recording_id", "epoch_index", r6("smooth"), r6(F.col("mean3") + 1e-9, "mean3"))
 
 
 @query("sig_14_first_difference", f"WITH {PREDS}, {_HR}, d AS (SELECT recording_id, epoch_index, hr * 0.5 - lag(hr * 0.5) OVER w AS d FROM hr_v {_EW}) SELECT recording_id, epoch_index, CASE WHEN d IS NOT NULL THEN CAST(least(greatest(round_even(d, 0), -128), 127) AS DOUBLE) + 0.0 END AS dhr FROM d")

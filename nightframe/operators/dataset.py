@@ -18,6 +18,7 @@ from nightframe.operators.ordered import (
 from nightframe.operators.scan import scan
 from nightframe.operators.windows import index_range
 from nightframe.schema import BLOCK_ROWS, STAGES
+from nightframe.session import cut_lineage
 
 STRATEGIES = ("ground_truth_only", "predicted_only", "ground_truth_or_predicted")
 
@@ -184,12 +185,11 @@ def order_groups(
 
 def assign_groups(ordered: DataFrame, ratios: SplitRatios = BUILD_RATIOS) -> DataFrame:
     """Cut ordered groups into splits (DST-04)."""
-    total = ordered.agg(F.count(F.lit(1)).cast("double").alias("_total")).withColumn("_one", F.lit(1))
+    total = ordered.agg(F.count(F.lit(1)).cast("double")).scalar()
     return (
-        ordered.withColumn("_one", F.lit(1))
-        .join(total, "_one")
+        ordered.withColumn("_total", total)
         .withColumn("split", _split_by_position(F.col("order"), F.col("_total"), ratios))
-        .drop("_one", "_total")
+        .drop("_total")
     )
 
 
@@ -202,8 +202,12 @@ def grouped_split(
     by_time: bool = False,
     stratify: str | None = None,
 ) -> DataFrame:
-    """Assign whole groups (recordings, time groups or blocks) to splits (DST-04)."""
-    ordered = order_groups(group_table(df, group, ts_sec), group, seed, by_time, stratify)
+    """Assign whole groups (recordings, time groups or blocks) to splits (DST-04).
+
+    The group table, one row per group, is stored before it is ranked.
+    """
+    groups = cut_lineage(group_table(df, group, ts_sec), "groups")
+    ordered = order_groups(groups, group, seed, by_time, stratify)
     return df.join(assign_groups(ordered, ratios).select(*group, "split"), list(group))
 
 
@@ -267,12 +271,12 @@ def snapshot_digest(
 
 def verify_snapshot(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Compare two digest rows (DST-12)."""
-    a = stored.select(F.lit(1).alias("_one"), F.col("checksum").alias("expected"), F.col("row_count").alias("expected_rows"))
-    b = rebuilt.select(F.lit(1).alias("_one"), F.col("checksum").alias("computed"), F.col("row_count").alias("computed_rows"))
-    return a.join(b, "_one").select(
-        "expected", "computed", "expected_rows", "computed_rows",
-        ((F.col("expected") == F.col("computed")) & (F.col("expected_rows") == F.col("computed_rows"))).alias("matches"),
+    out = stored.select(
+        F.col("checksum").alias("expected"), rebuilt.select("checksum").scalar().alias("computed"),
+        F.col("row_count").alias("expected_rows"), rebuilt.select("row_count").scalar().alias("computed_rows"),
     )
+    same = (F.col("expected") == F.col("computed")) & (F.col("expected_rows") == F.col("computed_rows"))
+    return out.withColumn("matches", same)
 
 
 def reload_snapshot(stored: DataFrame, windows: DataFrame, keys: Sequence[str], strict: bool = False) -> DataFrame:

@@ -123,18 +123,18 @@ def clinical(
 
 def metric_summary(nights: DataFrame, key: str, metric: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean, population std, linear p10 and worst-decile mean over nights (AGG-27)."""
-    scope = list(by) or ["_all"]
-    rows = nights.select(
-        *by, *([] if by else [F.lit(0).alias("_all")]), F.col(key), F.col(metric).alias("v")
-    )
-    stats = rows.groupBy(*scope).agg(
+    by = list(by)
+    rows = nights.select(*by, F.col(key), F.col(metric).alias("v"))
+    stats = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("nights"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")
     )
-    p10 = exact_quantiles(rows, scope, "v", {"p10": 0.1})
-    worst = worst_rows(rows, scope, [F.col("v"), F.col(key)], 0.1)
-    tail = worst.groupBy(*scope).agg(F.avg("v").alias("worst_decile_mean"))
-    out = stats.join(p10, scope).join(tail, scope)
-    return out if by else out.drop("_all")
+    p10 = exact_quantiles(rows, by, "v", {"p10": 0.1})
+    tail = worst_rows(rows, by, [F.col("v"), F.col(key)], 0.1).groupBy(*by).agg(
+        F.avg("v").alias("worst_decile_mean")
+    )
+    if by:
+        return stats.join(p10, by).join(tail, by)
+    return stats.withColumns({"p10": p10.scalar(), "worst_decile_mean": tail.scalar()})
 
 
 def worst_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], fraction: float) -> DataFrame:
@@ -144,14 +144,14 @@ def worst_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], fracti
     by a single task.
     """
     by = list(by)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     keyed = df.withColumns({f"_k{i}": c for i, c in enumerate(order)})
     names = [f"_k{i}" for i in range(len(order))]
     ranked = with_position(keyed, by, names, value_block(F.col("_k0").cast("double")), "_rank")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sized = ranked.join(sizes, by) if by else ranked.withColumn("_n", sizes.scalar())
     limit = F.greatest(F.ceil(F.col("_n") * F.lit(fraction)), F.lit(1))
     return (
-        ranked.join(sizes, by)
-        .filter(F.col("_rank") < limit)
+        sized.filter(F.col("_rank") < limit)
         .withColumn("worst_rank", (F.col("_rank") + 1).cast("bigint"))
         .drop(*names, "_n", "_rank")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nightframe.operators.evaluation import is_finite
 from nightframe.operators.ordered import running_max, running_totals
+from nightframe.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -109,9 +110,11 @@ def overlap_groups(
 
     A new group starts where ``start`` exceeds the largest end seen so far;
     touching intervals share a group. Rows are blocked by start time, so no
-    single task orders all recordings. Recordings without a start get their own
+    single task orders all recordings; the recording table is stored first because
+    several steps read it. Recordings without a start get their own
     group each (SET-04): the group id is null and the key itself identifies it.
     """
+    recs = cut_lineage(recs, "recordings")
     timed = recs.filter(F.col(start).isNotNull()).withColumn(
         "_blk", F.floor(F.col(start) / block_seconds)
     )

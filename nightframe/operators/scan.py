@@ -82,7 +82,7 @@ def scan(
         )
     )
     key_fields = [df.schema[k] for k in keys]
-    row_type = blocks.schema["_rows"]
+    row_type = T.StructField("_rows", blocks.schema["_rows"].dataType, True)
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -143,23 +143,18 @@ def normalise_windows(
         out = out.join(window_stats(out, keys, width), list(keys)).withColumn(
             "window", _standardise(F.col("window"), F.col("_mean"), F.col("_std"))
         ).drop("_mean", "_std")
-    fit = window_stats(out.filter(train).withColumn("_one", F.lit(1)), ["_one"], width)
-    return (
-        out.withColumn("_one", F.lit(1))
-        .join(fit, "_one")
-        .withColumn("window", _standardise(F.col("window"), F.col("_mean"), F.col("_std")))
-        .drop("_mean", "_std", "_one")
-    )
+    fit = window_stats(out.filter(train), [], width)
+    fitted = out.withColumn("_fit", fit.select(F.struct("_mean", "_std")).scalar())
+    return fitted.withColumn(
+        "window", _standardise(F.col("window"), F.col("_fit._mean"), F.col("_fit._std"))
+    ).drop("_fit")
 
 
 def low_agreement_threshold(train: DataFrame, col: str = "agree_flags") -> DataFrame:
     """0.15 quantile of the training agreement flags, 0.5 without data (MOD-04)."""
-    rows = train.select(F.lit(1).alias("_one"), F.col(col).cast("double").alias("_v")).filter(is_finite(F.col("_v")))
-    fit = exact_quantiles(rows, ["_one"], "_v", {"threshold": LOW_AGREEMENT_QUANTILE})
-    base = train.sparkSession.range(1).select(F.lit(1).alias("_one"))
-    return base.join(fit, "_one", "left").select(
-        F.coalesce("threshold", F.lit(LOW_AGREEMENT_DEFAULT)).alias("threshold")
-    )
+    rows = train.select(F.col(col).cast("double").alias("_v")).filter(is_finite(F.col("_v")))
+    fit = exact_quantiles(rows, [], "_v", {"threshold": LOW_AGREEMENT_QUANTILE})
+    return fit.select(F.coalesce("threshold", F.lit(LOW_AGREEMENT_DEFAULT)).alias("threshold"))
 
 
 def fit_temperature(

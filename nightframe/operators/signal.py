@@ -30,6 +30,7 @@ from nightframe.operators.ordered import (
     with_neighbours,
 )
 from nightframe.operators.scan import scan
+from nightframe.session import cut_lineage
 
 SAMPLE_BLOCK = 16384
 KEYS = ["recording_id", "channel"]
@@ -187,9 +188,11 @@ def fir(df: DataFrame, keys: Sequence[str], kernel: Sequence[float], out: str, v
 
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Exact median and median absolute deviation per channel, and the standard
-    deviation that replaces a MAD of 0 (SIG-06)."""
+    deviation that replaces a MAD of 0 (SIG-06).
+
+    The medians, one row per channel, are stored between the two passes."""
     keys = list(keys)
-    med = exact_quantiles(df, keys, value, {"median": 0.5})
+    med = cut_lineage(exact_quantiles(df, keys, value, {"median": 0.5}), "medians")
     away = df.select(*keys, value).join(med, keys).withColumn("_away", F.abs(F.col(value) - F.col("median")))
     mad = exact_quantiles(away, keys, "_away", {"mad": 0.5})
     std = away.groupBy(*keys).agg(F.stddev_pop(value).alias("std"), F.max("median").alias("median"))
@@ -222,7 +225,8 @@ def space_peaks(peaks: DataFrame, keys: Sequence[str], distance: int, value: str
     A peak that is highest among all open peaks within reach is final, and so is
     the removal of its neighbours. A few such rounds settle nearly everything
     with windows over one shuffle (each round looks ``2 * reach`` further); what
-    stays open is cut into independent clusters and settled in order.
+    stays open is cut into independent clusters and settled in order. Candidate
+    peaks, a small part of the samples, are stored between the steps.
     """
     if distance <= 1:
         return peaks
@@ -230,7 +234,8 @@ def space_peaks(peaks: DataFrame, keys: Sequence[str], distance: int, value: str
     reach = distance - 1
     far = 2 * reach * rounds
     near = Window.partitionBy(*keys, BLOCK).orderBy(index).rangeBetween(-reach, reach)
-    out = with_halo(peaks.select(*keys, index, value), index, far, far, SAMPLE_BLOCK).withColumn("_state", F.lit(0))
+    stored = cut_lineage(peaks.select(*keys, index, value), "peaks")
+    out = with_halo(stored, index, far, far, SAMPLE_BLOCK).withColumn("_state", F.lit(0))
     rank = F.struct(value, index)
     for _ in range(rounds):
         out = out.withColumn("_top", F.max(F.when(F.col("_state") == 0, rank)).over(near))
@@ -238,7 +243,9 @@ def space_peaks(peaks: DataFrame, keys: Sequence[str], distance: int, value: str
         out = out.withColumn("_near", F.max("_win").over(near))
         settled = F.when(F.col("_state") != 0, F.col("_state")).when(F.col("_win") == 1, 1).when(F.col("_near") == 1, 2).otherwise(0)
         out = out.withColumn("_state", settled)
-    out = out.filter(F.col(BLOCK) == F.col("_own")).select(*keys, index, value, "_state")
+    out = cut_lineage(
+        out.filter((F.col(BLOCK) == F.col("_own")) & (F.col("_state") != 2)).select(*keys, index, value, "_state"), "peaks"
+    )
     kept = out.filter(F.col("_state") == 1).drop("_state")
     open_ = out.filter(F.col("_state") == 0).drop("_state")
     gaps = with_neighbours(open_, keys, [index], block_of(index, SAMPLE_BLOCK), [index])

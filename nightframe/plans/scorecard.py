@@ -12,6 +12,7 @@ from nightframe.operators import drift
 from nightframe.operators import evaluation as ev
 from nightframe.operators import nights as ni
 from nightframe.operators import sequences as sq
+from nightframe.session import cut_lineage
 
 TEMPORAL = ["error_raw", "error_norm", "entropy_diff", "distance", "distance_norm", "fragmentation_error", "forbidden_rate", "pair_rate"]
 
@@ -42,23 +43,21 @@ def night_scores(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def scorecard(df: DataFrame, keys: Sequence[str], night: str, dataset: str, nights: DataFrame | None = None) -> DataFrame:
     """One row of global metrics that the gates read (MOD-08).
 
-    ``nights`` may be a stored copy of :func:`night_scores`.
+    ``nights`` may be a stored copy of :func:`night_scores`; otherwise it is
+    computed and stored here, one row per night.
     """
-    keys = list(keys)
-    labelled = df.filter(F.col("true4").isNotNull()).withColumn("_one", F.lit(1))
-    classes = ev.per_class(ev.confusion_counts(labelled, ["_one"], "true4", "pred4"), ["_one"])
-    scores = ev.scope_scores(classes, ["_one"])
-    recalls = classes.groupBy("_one").agg(
+    labelled = df.filter(F.col("true4").isNotNull())
+    classes = ev.per_class(ev.confusion_counts(labelled, [], "true4", "pred4"), [])
+    recalls = classes.agg(
         *[
             F.coalesce(F.max(F.when(F.col("label") == c, F.col("recall"))), F.lit(0.0)).alias(f"{c.lower()}_recall")
             for c in ("REM", "Deep")
         ]
     )
     per_dataset = ev.classification_report(labelled, [dataset])
-    spread = ev.spread(per_dataset, ["macro_f1", "mcc", "kappa"]).withColumn("_one", F.lit(1))
-    nights = night_scores(df, keys) if nights is None else nights
-    summary = ni.metric_summary(nights.withColumn("_one", F.lit(1)), night, "macro_f1", ["_one"]).select(
-        "_one", F.col("p10").alias("p10_macro_f1"), F.col("worst_decile_mean").alias("worst_decile_macro_f1"), "nights"
+    nights = cut_lineage(night_scores(df, list(keys)), "nights") if nights is None else nights
+    summary = ni.metric_summary(nights, night, "macro_f1").select(
+        F.col("p10").alias("p10_macro_f1"), F.col("worst_decile_mean").alias("worst_decile_macro_f1"), "nights"
     )
     means = nights.agg(
         F.avg("rem_latency_min_mae").alias("rem_latency_mae"),
@@ -67,11 +66,21 @@ def scorecard(df: DataFrame, keys: Sequence[str], night: str, dataset: str, nigh
         F.avg("ece").alias("mean_night_ece"),
         F.avg("distance_norm").alias("mean_edit_distance_norm"),
         F.avg("fragmentation_error").alias("mean_fragmentation_error"),
-    ).withColumn("_one", F.lit(1))
-    out = scores
-    for part in (recalls, spread, summary, means):
-        out = out.join(part, "_one")
-    return out.drop("_one")
+    )
+    return side_by_side(
+        [ev.scope_scores(classes, []), recalls, ev.spread(per_dataset, ["macro_f1", "mcc", "kappa"]), summary, means]
+    )
+
+
+def side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
+    """One wide row of doubles from several one-row tables, without a join."""
+    long = None
+    for part in parts:
+        cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in part.columns]
+        rows = part.select(F.explode(F.array(*cells)).alias("m")).select("m.*")
+        long = rows if long is None else long.unionByName(rows)
+    names = [c for part in parts for c in part.columns]
+    return long.agg(*[F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in names])
 
 
 def gated_scorecard(card: DataFrame) -> DataFrame:
