@@ -10,6 +10,7 @@ from nightframe.functions import numeric as num
 from nightframe.functions import payload as pay
 from nightframe.functions import probability as prob
 from nightframe.functions import stages as st
+from nightframe.functions.binding import bind
 from nightframe.operators.evaluation import row_entropy
 from nightframe.schema import CLASSES, ENGINEERED, FEATURES
 
@@ -129,7 +130,7 @@ def encode_float32(x):
         + (exponent + 127).cast("bigint") * (1 << 23)
         + mantissa
     )
-    return pay.bind(
+    return bind(
         F.lpad(F.hex(bits), 8, "0"),
         lambda word: F.concat(*[F.substring(word, p, 2) for p in (7, 5, 3, 1)]),
     )

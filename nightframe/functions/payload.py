@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nightframe.functions.binding import bind
 from nightframe.functions.stages import lookup
 from nightframe.operators.evaluation import is_finite
 
@@ -19,15 +20,6 @@ METRIC_ALIASES = {
 # --- end of fixed values ----------------------------------------------------
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``.
-
-    The lambda variable keeps the optimizer from copying a large expression
-    into every place that uses it.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def float32_from_hex(word: Column) -> Column:
     """IEEE-754 single from eight little-endian hex digits."""
     big_endian = F.concat(*[F.substring(word, p, 2) for p in (7, 5, 3, 1)])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nightframe.functions.binding import bind
+
 
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
@@ -21,14 +23,19 @@ def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
     t = F.greatest(
         temperature if isinstance(temperature, Column) else F.lit(float(temperature)), F.lit(1e-6)
     )
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda z: F.exp((z - top) / t))
-    return F.transform(weights, lambda w: w / total(weights))
+
+    def normalise(weights: Column) -> Column:
+        return bind(total(weights), lambda s: F.transform(weights, lambda w: w / s))
+
+    def shifted(z: Column) -> Column:
+        return bind(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp((x - top) / t)))
+
+    return bind(logits, lambda z: bind(shifted(z), normalise))
 
 
 def linear_logits(vector: Column, weights: Column, bias: Column) -> Column:
     """``x . W + b`` for one weight row per class (EXP-21)."""
-    return F.zip_with(weights, bias, lambda w, b: dot(vector, w) + b)
+    return bind(vector, lambda x: F.zip_with(weights, bias, lambda w, b: dot(x, w) + b))
 
 
 def argmax_label(probs: Column, labels: Sequence[str] | Column) -> Column:
@@ -57,7 +64,12 @@ def output_labels(labels: Column, n_classes: Column) -> Column:
 
 def log_loss(logits: Column, label_index: Column, temperature: Column) -> Column:
     """Negative log-likelihood of one row at a temperature."""
-    scaled = F.transform(logits, lambda z: z / temperature)
-    top = F.array_max(scaled)
-    norm = F.ln(total(F.transform(scaled, lambda z: F.exp(z - top)))) + top
-    return norm - F.element_at(scaled, label_index.cast("int"))
+
+    def loss(scaled: Column) -> Column:
+        norm = bind(
+            F.array_max(scaled),
+            lambda top: F.ln(total(F.transform(scaled, lambda z: F.exp(z - top)))) + top,
+        )
+        return norm - F.element_at(scaled, label_index.cast("int"))
+
+    return bind(F.transform(logits, lambda z: z / temperature), loss)

@@ -23,6 +23,12 @@ def block_of(index: str | Column, size: int = BLOCK_ROWS) -> Column:
     return F.floor(col / F.lit(size)).cast("bigint")
 
 
+def _block_column(block: str | Column) -> Column:
+    """Never null, so joins on it add no filter that computes it again."""
+    col = block if isinstance(block, Column) else F.col(block)
+    return F.coalesce(col.cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def _running(df, keys, order, block, values, aggregate, identity) -> DataFrame:
     keys = list(keys)
     inside = (
@@ -80,7 +86,7 @@ def with_position(
     name: str = "pos",
 ) -> DataFrame:
     """Zero-based position of each row within its key (an exact row number)."""
-    source = df.withColumn(BLOCK, block if isinstance(block, Column) else F.col(block))
+    source = df.withColumn(BLOCK, _block_column(block))
     out = running_totals(source, keys, order, BLOCK, {name: F.lit(1)})
     return out.withColumn(name, (F.col(name) - 1).cast("int")).drop(BLOCK)
 
@@ -113,7 +119,7 @@ def with_neighbours(
         if next_:
             out = out.withColumn(next_, F.lead(payload).over(inside))
         return out.filter(F.col(BLOCK) == F.col("_own")).drop(BLOCK, "_own")
-    source = df.withColumn(BLOCK, block if isinstance(block, Column) else F.col(block))
+    source = df.withColumn(BLOCK, _block_column(block))
     payload = F.struct(*[F.col(c) for c in cols])
     rank = F.struct(*[F.col(c) for c in order])
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
@@ -180,12 +186,8 @@ def value_block(value: Column, per_octave: int = 256) -> Column:
     by value never sorts one key's values in a single task.
     """
     size = F.floor(F.log2(F.abs(value)) * per_octave)
-    return (
-        F.when(value > 0, size + 10_000_000)
-        .when(value < 0, -size - 10_000_000)
-        .otherwise(F.lit(0))
-        .cast("bigint")
-    )
+    block = F.when(value > 0, size + 10_000_000).when(value < 0, -size - 10_000_000)
+    return F.coalesce(block.cast("bigint"), F.lit(0))
 
 
 def exact_quantiles(
@@ -202,11 +204,13 @@ def exact_quantiles(
     (the value at sorted position ``int(q * (n - 1))``).
     """
     keys = list(keys)
-    v = F.col(value).cast("double")
+    # unknown values form a group that counts nothing; a filter or a nullable
+    # block would be pushed below and evaluate the value again for every row
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     counts = (
-        df.filter(v.isNotNull() & ~F.isnan(v))
-        .groupBy(*keys, v.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        df.select(*keys, v.alias("_v"))
+        .groupBy(*keys, "_v")
+        .agg(F.count("_v").alias("_c"))
         .withColumn(BLOCK, value_block(F.col("_v")))
     )
     per_block = counts.groupBy(*keys, BLOCK).agg(F.sum("_c").alias("_bc"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightframe.functions.numeric import LOW_AGREEMENT_DEFAULT, LOW_AGREEMENT_QUANTILE
-from nightframe.functions.probability import argmax_label, linear_logits, log_loss, softmax
+from nightframe.functions.binding import bind
+from nightframe.functions.probability import argmax_label, linear_logits, log_loss, softmax, total
 from nightframe.operators.evaluation import is_finite
 from nightframe.operators.ordered import exact_quantiles
 from nightframe.operators.sequences import transition_cells
@@ -90,18 +91,21 @@ def ensemble(members: DataFrame, keys: Sequence[str], probs: str, n_classes: int
 
 def _window_moments(windows: DataFrame, width: int) -> DataFrame:
     """Per window and feature: sum, sum of squares and number of finite values."""
-    def over(j: int, f) -> Column:
-        return F.aggregate("window", F.lit(0.0), lambda acc, row: acc + f(F.element_at(row, j + 1).cast("double")))
+    def moments(rows: Column) -> Column:
+        def column(j: int) -> Column:
+            cells = F.transform(rows, lambda row: F.get(row, F.lit(j)).cast("double"))
+            return F.filter(cells, lambda v: is_finite(v))
 
-    def usable(x: Column) -> Column:
-        return is_finite(x)
+        def sums(x: Column) -> Column:
+            squares = total(F.transform(x, lambda v: v * v))
+            return F.struct(total(x).alias("s"), squares.alias("q"), F.size(x).cast("double").alias("n"))
 
-    cols = {}
-    for j in range(width):
-        cols[f"_s{j}"] = over(j, lambda x: F.when(usable(x), x).otherwise(0.0))
-        cols[f"_q{j}"] = over(j, lambda x: F.when(usable(x), x * x).otherwise(0.0))
-        cols[f"_n{j}"] = over(j, lambda x: F.when(usable(x), 1.0).otherwise(0.0))
-    return windows.withColumns(cols)
+        return F.array(*[bind(column(j), sums) for j in range(width)])
+
+    packed = windows.withColumn("_m", bind(F.col("window"), moments))
+    return packed.withColumns(
+        {f"_{m}{j}": F.get("_m", F.lit(j))[m] for j in range(width) for m in "sqn"}
+    ).drop("_m")
 
 
 def window_stats(windows: DataFrame, by: Sequence[str], width: int) -> DataFrame:

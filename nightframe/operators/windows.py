@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nightframe.functions.binding import bind
 from nightframe.functions.numeric import clip
 from nightframe.operators.ordered import (
     BLOCK,
@@ -53,10 +54,10 @@ def build_windows(
     )
     if padding == "zero_fill":
         zero = F.transform(F.col(features), lambda x: x * 0)
-        lookup = F.map_from_entries("_items")
-        tensor = F.transform(
-            F.sequence(F.col("start_index"), F.col("end_index")),
-            lambda i: F.coalesce(F.try_element_at(lookup, i), zero),
+        steps = F.sequence(F.col("start_index"), F.col("end_index"))
+        tensor = bind(
+            F.map_from_entries("_items"),
+            lambda held: F.transform(steps, lambda i: F.coalesce(F.try_element_at(held, i), zero)),
         )
         out = out.withColumn("status", F.lit("ok"))
     elif padding == "reject":
@@ -123,13 +124,15 @@ def latest_epochs(df: DataFrame, keys: Sequence[str], n: int = WINDOW_SIZE, inde
 def model_input(window: Column, strategy: str = "mean") -> Column:
     """Window to model input: mean over time, flat vector or the sequence (WIN-07)."""
     if strategy == "mean":
-        n = F.size(window)
-        return F.transform(
-            F.sequence(F.lit(1), F.size(F.element_at(window, 1))),
-            lambda j: F.aggregate(
-                window, F.lit(0.0), lambda acc, row: acc + F.element_at(row, j).cast("double")
-            )
-            / n,
+        return bind(
+            window,
+            lambda rows: F.transform(
+                F.sequence(F.lit(1), F.size(F.element_at(rows, 1))),
+                lambda j: F.aggregate(
+                    rows, F.lit(0.0), lambda acc, row: acc + F.element_at(row, j).cast("double")
+                )
+                / F.size(rows),
+            ),
         )
     if strategy == "flatten":
         return F.flatten(window)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframe.functions.payload import bind
+from nightframe.functions.binding import bind
 from nightframe.schema import EPOCH_SECONDS, FEATURES
 
 # --- fixed values -----------------------------------------------------------

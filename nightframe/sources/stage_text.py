@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframe.functions.payload import bind, clock_seconds
+from nightframe.functions.binding import bind
+from nightframe.functions.payload import clock_seconds
 from nightframe.functions.stages import lookup
 
 # --- fixed values -----------------------------------------------------------
