@@ -344,3 +344,16 @@ def resample(spark, sf):
 def label_sources(spark, sf):
     out = ds.select_label(predictions(spark, sf), "ground_truth_or_predicted", allow_predicted=True)
     return out.groupBy("label_source").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query(
+    "jon_10_snapshot_windows_join",
+    f"""WITH {LAB}, w AS (SELECT recording_id, epoch_index FROM epochs_v WHERE value < 150)
+SELECT l.recording_id, l.epoch_index, l.label, w.epoch_index IS NOT NULL AS found FROM lab_v l LEFT JOIN w ON w.recording_id = l.recording_id AND w.epoch_index = l.epoch_index""",
+)
+def snapshot_join(spark, sf):
+    stored = labelled(spark, sf).select(*REC, "window_end_ts", "epoch_index", "label")
+    rebuilt = epochs(spark, sf).filter(F.col("value") < 150).select(
+        *REC, (F.col("epoch_start_ts") + F.expr("INTERVAL 30 SECONDS")).alias("window_end_ts")
+    )
+    return ds.reload_snapshot(stored, rebuilt, [*REC, "window_end_ts"]).select(*IDS, "label", "found")

@@ -166,8 +166,8 @@ def decode(spark, sf):
     )
 
 
-def feature_schema(spark, version: str = "v1"):
-    """The feature schema registry: one row per feature."""
+def feature_schema(spark):
+    """The feature schema registry: one row per version and feature."""
     return spark.range(1).select(
         F.explode(
             F.array(
@@ -176,6 +176,7 @@ def feature_schema(spark, version: str = "v1"):
                         F.lit(version).alias("version"), F.lit(i).alias("position"), F.lit(n).alias("name"),
                         F.lit("int").alias("dtype"), F.lit(0.0).alias("min"), F.lit(50.0).alias("max"),
                     )
+                    for version in ("v0", "v1")
                     for i, n in enumerate(FEATURES)
                 ]
             )
@@ -198,7 +199,8 @@ def validate(spark, sf):
     spo2 = F.when(F.col("epoch_index") % 7 == 0, F.array(F.struct(F.lit("spo2").alias("key"), F.lit(1.0).alias("value"))))
     none = F.filter(F.array(*entries), lambda _: F.lit(False))
     values = F.map_from_entries(F.concat(F.array(*entries), F.coalesce(flags, none), F.coalesce(spo2, none)))
-    packed = df.select(*KEY, F.lit("v1").alias("version"), values.alias("values"))
+    version = F.concat(F.lit("v"), (F.col("device_id") % 2).cast("string"))
+    packed = df.select(*KEY, version.alias("version"), values.alias("values"))
     schema = feature_schema(spark).groupBy("version").agg(
         F.sort_array(F.collect_list(F.struct("position", "name", "dtype", "min", "max"))).alias("schema")
     )

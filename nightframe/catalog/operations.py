@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nightframe.catalog.base import big, i4, query, r6, ts_text
 from nightframe.catalog.evaluation import CLIN_SQL, R, REC, class_sql, counts_sql, scores_sql
-from nightframe.catalog.expressions import BIAS, LOGIT_SQL, WEIGHTS, feature_schema, logits
+from nightframe.catalog.expressions import BIAS, LOGIT_SQL, WEIGHTS, logits
 from nightframe.catalog.views import BASE_SECONDS, EPOCHS, PREDS, RECS, epochs, feature_array, predictions, read, recordings
 from nightframe.catalog.windows import window_rows, with_schema
 from nightframe.functions.numeric import unpivot_features
@@ -412,8 +412,11 @@ g AS (SELECT *, greatest(z0, z1, z2, z3) AS m FROM z), p AS (SELECT *, 1 / (exp(
 SELECT recording_id, epoch_index, CASE WHEN z0 = m THEN 'W' WHEN z1 = m THEN 'Light' WHEN z2 = m THEN 'Deep' ELSE 'REM' END AS predicted, round(conf, 6)::DOUBLE AS confidence FROM p""",
 )
 def score_windows(spark, sf):
-    windows = window_rows(spark, sf, "reject", 5).filter(F.col("status") == "ok").withColumn("model_version", F.lit("lin-1"))
-    model = sc.linear_model(spark, WEIGHTS, BIAS, CLASSES, "lin-1")
+    version = F.concat(F.lit("m"), (F.col("device_id") % 2).cast("string"))
+    windows = window_rows(spark, sf, "reject", 5).filter(F.col("status") == "ok").withColumn("model_version", version)
+    model = sc.linear_model(spark, WEIGHTS, BIAS, CLASSES, "m0").unionByName(
+        sc.linear_model(spark, WEIGHTS, BIAS, CLASSES, "m1")
+    )
     return sc.score_windows(windows, model).select("recording_id", "epoch_index", "predicted", r6("confidence"))
 
 

@@ -17,6 +17,7 @@ from nightframe.operators.ordered import (
     with_neighbours,
 )
 from nightframe.schema import BLOCK_ROWS, EPOCH_SECONDS, STAGE_UNKNOWN, WINDOW_SIZE
+from nightframe.session import cut_lineage
 
 # --- fixed values: device thresholds ----------------------------------------
 VIB_LARGE, VIB_MINOR = 0.8, 0.15
@@ -251,6 +252,8 @@ def hypnogram_from_events(
     timed = rolled.withColumn("_abs", F.col("clock_sec") + F.col("_days") * 86400).filter(
         F.bround("duration_sec", 0) > 0
     )
+    # stage events are few; three steps below read them
+    timed = cut_lineage(timed.select(*keys, "line_no", "stage", "duration_sec", "_abs"), "stage-events")
     base = timed.groupBy(*keys).agg(F.min_by("_abs", "line_no").alias("_base"))
     placed = timed.join(base, keys).select(
         *keys,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nightframe.functions.binding import bind
@@ -97,11 +97,10 @@ def parse_isruc(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     rows = lines.filter(F.trim("line") != "")
     lone = ~F.trim("line").rlike(r"\s") & is_number(F.trim("line"))
-    # the k smallest line numbers of a file bound its probe
-    first = rows.groupBy(*keys).agg(F.min("line_no").alias("_first"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))
     probe = (
-        rows.join(first, keys)
-        .filter(F.col("line_no") < F.col("_first") + PROBE_LINES)
+        rows.withColumn("_rank", rank)
+        .filter(F.col("_rank") <= PROBE_LINES)
         .groupBy(*keys)
         .agg(F.min(lone.cast("int")).alias("_ok"))
         .filter(F.col("_ok") == 1)
