@@ -30,6 +30,7 @@ from nightframe.operators.ordered import (
     with_neighbours,
 )
 from nightframe.operators.scan import scan
+from nightframe.schema import BLOCK_ROWS
 from nightframe.session import cut_lineage
 
 SAMPLE_BLOCK = 16384
@@ -368,16 +369,17 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], value: str, out: str, width
 
 def first_difference(df: DataFrame, keys: Sequence[str], value: str, out: str, index: str = "epoch_index", rounding: str = "half_even") -> DataFrame:
     """Change from the previous epoch as int8, null if either is unknown (SIG-14)."""
-    seq = with_neighbours(df, keys, [index], block_of(index), [value])
-    delta = F.col(value) - F.col(f"prev.{value}")
+    seq = with_neighbours(df, keys, [index], block_of(index), [index, value], dense=BLOCK_ROWS)
+    delta = F.when(F.col(f"prev.{index}") == F.col(index) - 1, F.col(value) - F.col(f"prev.{value}"))
     whole = F.bround(delta, 0) if rounding == "half_even" else F.when(delta >= 0, F.floor(delta)).otherwise(F.ceil(delta))
     return seq.withColumn(out, clip(whole, -128, 127).cast("int")).drop("prev")
 
 
 def delta_metrics(df: DataFrame, keys: Sequence[str], value: str, limit: float = HR_JUMP, index: str = "epoch_index") -> DataFrame:
     """Jump rate and p95 of absolute changes, reset on null (SIG-15)."""
-    seq = with_neighbours(df, keys, [index], block_of(index), [value])
-    deltas = seq.withColumn("_d", F.abs(F.col(value) - F.col(f"prev.{value}")))
+    seq = with_neighbours(df, keys, [index], block_of(index), [index, value], dense=BLOCK_ROWS)
+    follows = F.col(f"prev.{index}") == F.col(index) - 1
+    deltas = seq.withColumn("_d", F.when(follows, F.abs(F.col(value) - F.col(f"prev.{value}"))))
     rates = deltas.groupBy(*keys).agg(
         F.coalesce(F.try_divide(F.count_if(F.col("_d") > limit), F.count("_d")), F.lit(0.0)).alias("jump_rate")
     )
