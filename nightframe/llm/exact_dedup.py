@@ -23,10 +23,10 @@ from nightframe.session import cut_lineage
 
 FAN_IN = 8
 RUN = "slot int, node int, digest binary, n_bytes bigint, doc_id bigint, rid bigint, copies bigint"
-
-
-def _columns(batch: pa.RecordBatch, names: list[str]) -> dict:
-    return {n: batch.column(batch.schema.get_field_index(n)) for n in names}
+_SCHEMA = pa.schema(
+    [("slot", pa.int32()), ("node", pa.int32()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("doc_id", pa.int64()),
+     ("rid", pa.int64()), ("copies", pa.int64())]
+)
 
 
 def reduce_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,6 +39,7 @@ def reduce_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         if not batch.num_rows:
             continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, schema=_SCHEMA)
         table = pa.Table.from_batches([batch] if waiting is None else [waiting, batch]).combine_chunks()
         n = table.num_rows
         new = np.ones(n, bool)
@@ -52,7 +53,7 @@ def reduce_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         starts = np.flatnonzero(new)
         copies = np.add.reduceat(table.column("copies").to_numpy(), starts)
         out = table.take(pa.array(starts))
-        out = out.set_column(out.schema.get_field_index("copies"), "copies", pa.array(copies, pa.int64()))
+        out = out.set_column(out.schema.get_field_index("copies"), _SCHEMA.field("copies"), pa.array(copies, pa.int64()))
         out = out.combine_chunks()
         waiting = out.slice(out.num_rows - 1).to_batches()[0]
         if out.num_rows > 1:
