@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,7 +50,8 @@ def scratch_root(spark: SparkSession) -> str:
     )
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     root = os.environ.get("NIGHTFRAME_LOCAL_SCRATCH")
     if not root:
@@ -57,9 +60,34 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique path below the scratch root."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _SCOPES:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collect the scratch paths made inside, for :func:`remove_scratch` once nothing reads them."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.pop()
+
+
+def remove_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored intermediates by way of the file system they lie in; empties ``paths``."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
