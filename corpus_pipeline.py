@@ -7,16 +7,36 @@ and returns a DataFrame, which is written and read again as the next one's
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightframe.llm import exact_dedup, language_id, ngram_join, packing, quality_rules
 from nightframe.llm.queries import prepared, tokenizer_path
-from nightframe.session import cut_lineage
+from nightframe.session import cut_lineage, remove_scratch, scratch_scope
 
 #: Ids that may be broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 1_000_000
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_spent: list[str] = []
+
+
+def _stage(fn: Stage) -> Stage:
+    """Drop the previous stage's intermediates: its result is stored by the time the next is asked for."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_scratch(prepared(spark), _spent)
+        with scratch_scope() as made:
+            out = fn(spark, docs, sf_dir)
+        _spent.extend(made)
+        return out
+
+    return run_stage
+
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows of some ids (null-safe)."""
@@ -25,23 +45,23 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host is not rejected."""
-    prepared(spark)
     counted = cut_lineage(quality_rules.document_counts(docs, keep_text=True), "counted-documents")
     return quality_rules.judged(counted).filter("kept").select(docs.columns)
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is predicted with enough confidence."""
-    prepared(spark)
     guess = language_id.predicted(docs, language_id.train(docs))
     return docs.withColumn("_guess", guess).filter("NOT _guess.rejected").select(docs.columns)
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts; of repeated rows one stays too."""
-    prepared(spark)
     found = cut_lineage(exact_dedup.exact_dedup(docs), "exact-groups")
     per_id = found.groupBy("doc_id").agg(
         F.max(F.col("kept").cast("int")).alias("some"), F.min(F.col("kept").cast("int")).alias("every")
@@ -61,17 +81,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(left, twice).unionByName(once)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word runs, similarity 0.8 or more."""
-    prepared(spark)
     found = ngram_join.ngram_jaccard_join(docs, n=5, percent=80)
     per_id = found.groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("some"))
     return _without(docs, per_id.filter("some = 0"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, packed into sequences of 4,096 tokens."""
-    prepared(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

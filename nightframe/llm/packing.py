@@ -30,7 +30,7 @@ OPEN = 48
 FAN_IN = 16
 END_ID = 2
 #: Texts are tokenized in groups of so many characters at most (or one text).
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "window bigint, offset bigint, is_open boolean"
@@ -42,7 +42,7 @@ _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 _ASCII_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 _PLAIN = re.compile(r"[!-~]+", re.ASCII)
 #: Words kept between groups of texts; beyond it the memory starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 
 
 class WordTokenizer:

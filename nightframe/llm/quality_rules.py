@@ -24,6 +24,8 @@ RULES = {
     "lines": "10 * n_dup_lines > 3 * n_lines",
 }
 BASE = ("short", "repeat")
+#: Host verdicts that may be broadcast (about 200 bytes each); more are joined by shuffle.
+BROADCAST_HOSTS = 100_000
 
 
 def document_counts(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -119,8 +121,11 @@ def host_verdicts(counted: DataFrame, host: str = "source", limit: float = 0.5)
 def judged(counted: DataFrame, host: str = "source", limit: float = 0.5) -> DataFrame:
     """Add the host's figures, ``base_failed`` and ``kept`` to counted documents."""
     failed = F.expr(" OR ".join(f"({RULES[name]})" for name in BASE))
+    hosts = cut_lineage(host_verdicts(counted, host, limit), "host-verdicts")
+    if hosts.count() <= BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)
     return (
-        counted.join(host_verdicts(counted, host, limit), F.col(host).eqNullSafe(F.col("_host")), "left")
+        counted.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
         .drop("_host")

@@ -47,12 +47,12 @@ _KNOWN: dict[str, np.ndarray] = {"power": np.ones(1, np.uint64), "inverse": np.o
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; kept between calls up to 4 million."""
+    """Powers of the base and of its inverse; kept between calls up to a million."""
     if len(_KNOWN["power"]) >= n:
         return _KNOWN["power"][:n], _KNOWN["inverse"][:n]
-    size = max(n, 1 << 22) if n <= 1 << 22 else n
+    size = max(n, 1 << 20) if n <= 1 << 20 else n
     power, inverse = powers(size), powers(size, np.uint64(pow(int(_BASE), -1, 2**64)))
-    if size <= 1 << 22:
+    if size <= 1 << 20:
         _KNOWN.update(power=power, inverse=inverse)
     return power[:n], inverse[:n]
 
@@ -109,7 +109,7 @@ def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarra
     return owner[new], run[new]
 
 
-def in_groups(texts: list[str | None], most: int = 1_000_000) -> list[tuple[int, int]]:
+def in_groups(texts: list[str | None], most: int = 250_000) -> list[tuple[int, int]]:
     """Bounds of groups of texts with ``most`` characters at most, or one text."""
     bounds, at, size = [], 0, 0
     for k, t in enumerate(texts):
