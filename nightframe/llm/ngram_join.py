@@ -136,12 +136,34 @@ def _sign(sim: Similarity):
     def make(ids, texts):
         owner, run = shingle_sets(texts, sim.n)
         keys = set_keys(owner, run, len(texts))
+        # Copies of a set sign once.
+        once = np.zeros(len(texts), bool)
+        once[np.unique(keys, return_index=True)[1]] = True
+        owner, run = owner[once[owner]], run[once[owner]]
         doc, sig = signatures(owner, run, len(texts), sim)
         return sig, keys[doc]
 
     return _per_batch(make, ["sig", "node"], [pa.int64()] * 2)
 
 
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (sig, node) to (leader, node) for every node but the first under a signature."""
+    last, lead = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        leader = node[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
+        if last is not None and sig[0] == last:
+            leader[sig == last] = lead
+        last, lead = sig[-1], leader[-1]
+        led = leader != node
+        if led.any():
+            yield pa.RecordBatch.from_arrays([pa.array(leader[led]), pa.array(node[led])], names=["leader", "node"])
+
+
 def _sets(sim: Similarity):
     def make(ids, texts):
         owner, run = shingle_sets(texts, sim.n)
@@ -245,19 +267,20 @@ def candidate_links(source: DataFrame, nodes: DataFrame, sim: Similarity) -> Dat
     """Links (a, b) between set keys that connect exactly the similar sets.
 
     ``source`` has doc_id and text, ``nodes`` the set key of every document.
-    Signatures are first counted only; those of two sets or more name a leader
-    (their smallest set key), and all sets under one leader are compared in
-    blocks of ``BLOCK``, each pair of blocks in a task of its own.
+    Signatures are sorted once; the smallest set key under a signature leads the
+    others. All sets under one leader are compared in blocks of ``BLOCK``, each
+    pair of blocks apart from the others.
     """
-    signs = source.mapInArrow(_sign(sim), "sig bigint, node bigint")
-    shared = cut_lineage(
-        signs.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("top"))
-        .filter("leader < top").select("sig", "leader"),
-        "signatures",
-    )
+    partitions = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = cut_lineage(
-        _join_checked(signs, shared, "sig").select("leader", "node").distinct(), "neighbours"
+        source.mapInArrow(_sign(sim), "sig bigint, node bigint")
+        .repartition(partitions, "sig")
+        .sortWithinPartitions("sig", "node")
+        .mapInArrow(_leaders, "leader bigint, node bigint")
+        .distinct(),
+        "neighbours",
     )
+    near = near.unionByName(near.select("leader", F.col("leader").alias("node")).distinct())
     wanted = near.select("node").distinct()
     chosen = cut_lineage(
         nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "set-owners"
@@ -276,7 +299,6 @@ def candidate_links(source: DataFrame, nodes: DataFrame, sim: Similarity) -> Dat
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "features")
     )
-    partitions = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         rows.repartition(4 * partitions, "leader", "i", "j")
         .sortWithinPartitions("leader", "i", "j")
