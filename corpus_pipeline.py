@@ -48,8 +48,9 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host is not rejected."""
-    counted = cut_lineage(quality_rules.document_counts(docs, keep_text=True), "counted-documents")
-    return quality_rules.judged(counted).filter("kept").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", "text")  # other columns cannot clash
+    counted = cut_lineage(quality_rules.document_counts(rows), "counted-documents")
+    return quality_rules.judged(counted).filter("kept").select("row.*")
 
 
 @_stage

@@ -81,7 +81,7 @@ class WordTokenizer:
         """Ids of all texts on end, each followed by ``END_ID``, and the texts' bounds in them."""
         if len(self.known) > KNOWN_WORDS:
             self._forget()
-        words = [(_WHITE.split(t.strip()) if _ODD.search(t) else t.split()) for t in texts]
+        words = [(_WHITE.split(t) if _ODD.search(t) else t.split()) for t in texts]
         counts = np.array([len(w) for w in words], np.int64)
         bounds = np.concatenate([[0], np.cumsum(counts + 1)])
         flat = list(chain.from_iterable(words))

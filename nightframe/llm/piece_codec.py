@@ -4,15 +4,17 @@ Symbols merge in the order of the pieces' ranks, leftmost first. With dropout a
 candidate merge is skipped when a keyed hash of (seed, variant, unit, its three
 borders) falls below the rate. The choice depends on the key alone, so a lost
 task gives the same ids again, and other seeds or variants other segmentations.
-All distinct units of a group of texts are merged at once, one merge per unit
-and round.
+All new units of a group of texts are merged at once, one merge per unit and
+round, and remembered.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from nightframe.llm.words import in_groups, mix
 SPACE = "▁"
 #: Stands for a space mark in the text itself while it is merged (no text holds it); spelled in bytes.
 LITERAL = "\udcff"
+#: Units a worker remembers; beyond it the memory starts anew.
+KNOWN_UNITS = 400_000
 #: A unit: spaces and what follows them, or a line end. No piece goes across its borders.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _NONE = np.int64(1) << 40
@@ -52,6 +56,7 @@ class PieceCodec:
                 raw.append(name.replace(SPACE, " ").encode())
         if any(UNIT.fullmatch(p) is None for p in pieces):
             raise ValueError("a piece goes across the borders of units")
+        self._forget(())
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_sizes = np.array([len(r) for r in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_sizes) - self.raw_sizes
@@ -143,26 +148,50 @@ class PieceCodec:
             symbol, unit = out, np.repeat(unit, sizes_of)
         return symbol, np.searchsorted(unit, np.arange(len(units) + 1))
 
+    def _forget(self, setting: tuple) -> None:
+        self.setting = setting
+        self.known: dict[int, dict[str, int]] = {}
+        self.ids, self.sizes = array("i"), array("q")
+
     def encode(self, texts: list[str], variants: list[int], seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts on end and the texts' bounds in them."""
+        """Ids of all texts on end and the texts' bounds in them.
+
+        Units merged before are looked up, up to ``KNOWN_UNITS`` of them.
+        """
+        if self.setting != (seed, rate) or len(self.sizes) > KNOWN_UNITS:
+            self._forget((seed, rate))
         # A literal space mark is spelled in bytes, so that it does not come back as a space.
         parts = [UNIT.findall((" " + t).replace(SPACE, LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
-        counts = np.array([len(p) for p in parts])
-        index: dict[str, int] = {}
-        codes = np.array([index.setdefault(u, len(index)) for p in parts for u in p], np.int64)
-        if not len(codes):
-            return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        distinct = list(index)
-        variant = np.repeat(np.asarray(variants, np.int64), counts) if rate else np.zeros(len(codes), np.int64)
-        pairs, use = np.unique(codes * (int(variant.max()) + 1) + variant, return_inverse=True)
-        which, variant = np.divmod(pairs, int(variant.max()) + 1)
-        units = [distinct[k] for k in which.tolist()]
-        hashes = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in distinct], np.uint64)[which]
-        keys = mix(mix(hashes + (variant.astype(np.uint64) << np.uint64(32))) + np.uint64(seed % 2**64))
-        ids, bounds = self.merge(units, keys, rate)
-        n = np.diff(bounds)[use]
+        counts = np.array([len(p) for p in parts], np.int64)
+        variants = variants if rate else [0] * len(texts)
+        tables = [self.known.setdefault(v, {}) for v in variants]
+        codes = np.fromiter(
+            chain.from_iterable(map(d.get, p, repeat(-1)) for d, p in zip(tables, parts)), np.int64, int(counts.sum())
+        )
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            bounds = np.cumsum(counts)
+            owner = np.searchsorted(bounds, missing, side="right")
+            inner = missing - (bounds - counts)[owner]
+            units, of = [], []
+            for k, (t, i) in zip(missing.tolist(), zip(owner.tolist(), inner.tolist())):
+                unit, table = parts[t][i], tables[t]
+                code = table.get(unit)
+                if code is None:
+                    code = table[unit] = len(self.sizes) + len(units)
+                    units.append(unit)
+                    of.append(variants[t])
+                codes[k] = code
+            hashes = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in units], np.uint64)
+            keys = mix(mix(hashes + (np.array(of, np.uint64) << np.uint64(32))) + np.uint64(seed % 2**64))
+            new, borders = self.merge(units, keys, rate)
+            self.ids.frombytes(new.astype(np.int32).tobytes())
+            self.sizes.frombytes(np.diff(borders).astype(np.int64).tobytes())
+        sizes, ids = np.array(self.sizes), np.array(self.ids)
+        at = np.cumsum(sizes) - sizes
+        n = sizes[codes]
         ends = np.cumsum(n)
-        out = ids[np.repeat(bounds[:-1][use] - (ends - n), n) + np.arange(ends[-1])]
+        out = ids[np.repeat(at[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int64)
         return out, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -178,7 +207,7 @@ class PieceCodec:
 
 VARIANTS = 2
 #: Characters encoded together at most (or one text).
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def encode_documents(

@@ -28,14 +28,14 @@ BASE = ("short", "repeat")
 BROADCAST_HOSTS = 100_000
 
 
-def document_counts(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words; drop the text.
 
     A null text has no words: all counts are 0. Lines without a word are not
     counted. Repeated rows are counted row by row.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in names and (keep_text or c != text)]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *names)]
     full = F.coalesce(F.col(text), F.lit(""))
     split = docs.select(
         *keep,

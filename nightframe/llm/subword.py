@@ -157,7 +157,7 @@ def fit(rows: list, f: Features, dim: int = 8, epochs: int = 12, rate: float = 4
 
     Every fifth row is kept for calibration: a temperature that minimises its
     log loss, and the confidence below which ``reject_share`` of its rightly
-    classified rows lie (0.6 at most). Rows without features are not learned. None without
+    classified rows lie (0.5 at most). Rows without features are not learned. None without
     rows.
     """
     data = [(np.frombuffer(r["buckets"], "<u4").astype(np.int64), np.frombuffer(r["shares"], np.float32), r["label"])
@@ -199,6 +199,6 @@ def fit(rows: list, f: Features, dim: int = 8, epochs: int = 12, rate: float = 4
     p = softmax(logits / model.temperature)
     right = p.argmax(1) == truth
     sure = p.max(1)[right]
-    model.reject_below = min(0.6, float(np.quantile(sure, reject_share))) if len(sure) else 0.0
+    model.reject_below = min(0.5, float(np.quantile(sure, reject_share))) if len(sure) else 0.0
     model.report = {"rows": len(data), "accuracy": float(right.mean()), "log_loss": float(min(loss))}
     return model
