@@ -229,7 +229,7 @@ def build_metadata(spark, sf):
 
 _SNAP = f"""{LAB}, d AS (SELECT recording_id, epoch_index, sha256(recording_id || ':' || strftime(window_end_ts, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || label || chr(10)) AS rd FROM lab_v),
 b AS (SELECT recording_id, epoch_index // 2048 AS b, sha256(string_agg(rd, '' ORDER BY epoch_index)) AS bd, count(*) AS n FROM d GROUP BY 1, 2),
-k AS (SELECT recording_id % 4096 AS k, sha256(string_agg(bd, '' ORDER BY recording_id, b)) AS kd, sum(n) AS n FROM b GROUP BY 1),
+k AS (SELECT CAST('0x' || md5(CAST(recording_id AS VARCHAR))[1:12] AS BIGINT) % 4096 AS k, sha256(string_agg(bd, '' ORDER BY recording_id, b)) AS kd, sum(n) AS n FROM b GROUP BY 1),
 root AS (SELECT sha256(string_agg(kd, '' ORDER BY k)) AS checksum, CAST(sum(n) AS BIGINT) AS row_count FROM k)"""
 
 

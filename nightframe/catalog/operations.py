@@ -178,10 +178,15 @@ def dump_summary(spark, sf):
 _WORDS = ", ".join(f"CAST(sum(CAST(('0x' || substr(d, {1 + 8 * i}, 8)) AS BIGINT)) AS BIGINT) AS sum{i}" for i in range(4))
 
 
+def _led(col: str) -> str:
+    """A value led by its length, as in ``table_fingerprint``."""
+    return f"coalesce(length(CAST({col} AS VARCHAR)) || ':' || {col}, '-')"
+
+
 @query(
     "agg_36_table_parity",
-    f"""WITH f AS (SELECT 'orders' AS table_name, md5(o_orderkey || '|' || o_custkey || '|' || coalesce(o_orderstatus, 'null')) AS d FROM orders
- UNION ALL SELECT 'customer', md5(c_custkey || '|' || coalesce(c_name, 'null') || '|' || c_nationkey) FROM customer)
+    f"""WITH f AS (SELECT 'orders' AS table_name, md5({_led('o_orderkey')} || {_led('o_custkey')} || {_led('o_orderstatus')}) AS d FROM orders
+ UNION ALL SELECT 'customer', md5({_led('c_custkey')} || {_led('c_name')} || {_led('c_nationkey')}) FROM customer)
 SELECT table_name, count(*) AS rows, {_WORDS}, true AS equal FROM f GROUP BY 1""",
 )
 def table_parity(spark, sf):
@@ -195,7 +200,9 @@ def table_parity(spark, sf):
         prints = one if prints is None else prints.unionByName(one)
         copies = two if copies is None else copies.unionByName(two)
     verdict = stat.parity(prints, copies).select("table_name", "equal")
-    return prints.join(verdict, "table_name")
+    return prints.join(verdict, "table_name").select(
+        "table_name", "rows", *[big(f"sum{i}") for i in range(4)], "equal"
+    )
 
 
 _MISSING = f"""miss AS (SELECT {R}, CAST(max(epoch_index) - min(epoch_index) + 1 - count(*) AS BIGINT) AS missing FROM epochs_v GROUP BY {R})"""

@@ -262,7 +262,9 @@ def snapshot_digest(
     blocks = rows.groupBy(recording, block.alias("_b")).agg(
         _digest_of("row_digest", [index]).alias("_bd"), F.count(F.lit(1)).alias("_n")
     )
-    bucket = F.pmod(F.col(recording).cast("bigint"), F.lit(buckets))
+    bucket = F.pmod(
+        F.conv(F.substring(F.md5(F.col(recording).cast("string")), 1, 12), 16, 10).cast("bigint"), F.lit(buckets)
+    )
     level = blocks.groupBy(bucket.alias("_k")).agg(
         _digest_of("_bd", [recording, "_b"]).alias("_kd"), F.sum("_n").alias("_n")
     )

@@ -214,7 +214,7 @@ def is_finite(col: Column) -> Column:
 
 def confidence_histogram(df: DataFrame, by: Sequence[str], conf: str = "confidence", bins: int = 10) -> DataFrame:
     """Dense histogram of ``int(v * bins)`` clipped to the bin range (AGG-10)."""
-    idx = F.least(F.greatest((F.col(conf) * bins).cast("int"), F.lit(0)), F.lit(bins - 1))
+    idx = F.least(F.greatest(F.col(conf).cast("double") * bins, F.lit(0.0)), F.lit(bins - 1.0)).cast("int")
     finite = df.filter(is_finite(F.col(conf)))
     wide = finite.groupBy(*by).agg(
         F.array(*[F.count_if(idx == b) for b in range(bins)]).alias("_h")

@@ -61,15 +61,15 @@ def scan(
     cols: Sequence[str],
     step: Step,
     output: str,
-    probes: Sequence[float] = (),
+    bounds: str | None = None,
     size: int = BLOCK_ROWS,
     block=None,
 ) -> DataFrame:
     """Add ``output`` computed by ``step`` along ``index`` within each key.
 
-    State starts as NaN. ``probes`` are the smallest and largest state the
-    recurrence can hold; for a monotone step, blocks on which they and NaN
-    agree at the end forget their start.
+    State starts as NaN. ``bounds`` names the column between whose smallest and
+    largest value of the key every state lies; for a monotone step, blocks on
+    which these two and NaN agree at the end forget their start.
     """
     keys, cols = list(keys), list(cols)
     blocks = (
@@ -90,10 +90,10 @@ def scan(
             data, lengths = _pad(rows, cols)
             base = np.full(len(rows), np.nan)
             end, _, forgets = _run(step, data, lengths, base)
-            if probes:
+            if bounds:
                 agree = np.ones(len(rows), dtype=bool)
-                for probe in probes:
-                    other, _, _ = _run(step, data, lengths, np.full(len(rows), float(probe)))
+                for probe in ("_lo", "_hi"):
+                    other, _, _ = _run(step, data, lengths, pdf[probe].to_numpy(dtype=float))
                     agree &= _same(end, other)
                 forgets = forgets | agree
             out = pdf[[*keys, BLOCK]].copy()
@@ -129,18 +129,21 @@ def scan(
     start_type = T.StructType(
         [*key_fields, T.StructField(BLOCK, T.LongType()), T.StructField("_start", T.DoubleType())]
     )
+    usable = F.when(~F.isnan(F.col(bounds).cast("double")), F.col(bounds).cast("double")) if bounds else F.lit(None).cast("double")
     # Keys with a single block (every real night) need no carried state.
     long_keys = (
         df.groupBy(*keys)
         .agg(
             F.min(block_of(index, size) if block is None else block).alias("_b0"),
             F.max(block_of(index, size) if block is None else block).alias("_b1"),
+            F.min(usable).alias("_lo"),
+            F.max(usable).alias("_hi"),
         )
         .filter(F.col("_b0") < F.col("_b1"))
-        .select(*keys)
+        .select(*keys, "_lo", "_hi")
     )
     starts = (
-        blocks.join(long_keys, keys, "left_semi")
+        blocks.join(long_keys, keys)
         .mapInPandas(summarise, summary_type)
         .groupBy(*keys)
         .applyInPandas(chain, start_type)

@@ -346,7 +346,7 @@ def slew_limit(df: DataFrame, keys: Sequence[str], value: str, out: str, limit:
         new = np.where(np.isnan(x), np.nan, capped)
         return new, new, np.isnan(x)
 
-    return scan(df, keys, index, [value], step, out, probes=(-1e6, 1e6))
+    return scan(df, keys, index, [value], step, out, bounds=value)
 
 
 def ewma(df: DataFrame, keys: Sequence[str], value: str, out: str, alpha: float = HR_ALPHA, index: str = "epoch_index") -> DataFrame:
@@ -357,7 +357,7 @@ def ewma(df: DataFrame, keys: Sequence[str], value: str, out: str, alpha: float
         new = np.where(np.isnan(x), np.nan, new)
         return new, new, np.isnan(x)
 
-    return scan(df, keys, index, [value], step, out, probes=(-1e6, 1e6))
+    return scan(df, keys, index, [value], step, out, bounds=value)
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], value: str, out: str, width: int, causal: bool = False, index: str = "epoch_index") -> DataFrame:

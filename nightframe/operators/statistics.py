@@ -192,11 +192,13 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str], name: str) -> DataF
     """Row count and order-free digest of a table in one pass (AGG-36).
 
     Each row's md5 is split into four 32-bit words that are summed: equal
-    tables agree for any row order or partitioning.
+    tables agree for any row order or partitioning. Values are led by their
+    length, so no two rows have one text; ``columns`` is all of them if empty.
     """
-    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]))
+    values = [F.col(c).cast("string") for c in columns or df.columns]
+    digest = F.md5(F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]))
     words = df.select(
-        *[F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint").alias(f"w{i}") for i in range(4)]
+        *[F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)").alias(f"w{i}") for i in range(4)]
     )
     return words.agg(
         F.count(F.lit(1)).alias("rows"), *[F.sum(f"w{i}").alias(f"sum{i}") for i in range(4)]

@@ -34,15 +34,30 @@ def build_windows(
     start_ts: str = "epoch_start_ts",
     epoch_seconds: int = EPOCH_SECONDS,
     strict: bool = False,
+    schema_id: str | None = None,
 ) -> DataFrame:
     """Trailing windows of ``window_size`` epochs ending at each epoch (WIN-04).
 
     ``zero_fill`` replaces absent epochs by zero rows. ``reject`` keeps windows
-    that start at index 0 or later and marks incomplete ones ``gap``; with
-    ``strict`` such a window raises instead.
+    that start at index 0 or later and marks incomplete ones ``gap``. A window
+    over two feature schemas (``schema_id``) is marked ``mixed_schema``, one of
+    unequal widths ``width``. With ``strict`` any such window raises instead.
+    Of several rows of one index the one with the latest start (then the
+    largest row) counts.
     """
+    others = [c for c in df.columns if c not in (*keys, index)]
+    df = (
+        df.groupBy(*keys, index)
+        .agg(F.max_by(F.struct(*others), F.struct(F.col(start_ts), F.struct(*[F.col(c).cast("string") for c in others]))).alias("_row"))
+        .select(*keys, index, "_row.*")
+        .select(*df.columns)
+    )
+    width = F.size(features)
+    checked = {"_w0": F.min(width), "_w1": F.max(width)}
+    if schema_id:
+        checked |= {"_s0": F.min(schema_id), "_s1": F.max(schema_id)}
     item = F.struct(F.col(index).alias("i"), F.col(features).alias("x"))
-    framed = with_frame(df, keys, index, window_size - 1, 0, {"_items": F.collect_list(item)})
+    framed = with_frame(df, keys, index, window_size - 1, 0, {"_items": F.collect_list(item), **checked})
     first = F.col(index) - (window_size - 1)
     present = F.size("_items")
     out = framed.withColumns(
@@ -60,18 +75,22 @@ def build_windows(
             F.map_from_entries("_items"),
             lambda held: F.transform(steps, lambda i: F.coalesce(F.try_element_at(held, i), zero)),
         )
-        out = out.withColumn("status", F.lit("ok"))
+        status = F.lit("ok")
     elif padding == "reject":
         tensor = F.transform(F.array_sort("_items"), lambda e: e["x"])
         out = out.filter(F.col("start_index") >= 0)
         status = F.when(F.col("padded"), "gap").otherwise("ok")
-        if strict:
-            status = F.when(
-                F.col("padded"), F.raise_error(F.lit("Missing epoch index in window"))
-            ).otherwise("ok")
-        out = out.withColumn("status", status).withColumn("padded", F.lit(False))
     else:
         raise ValueError("padding must be 'reject' or 'zero_fill'")
+    status = F.when(F.col("_w0") != F.col("_w1"), "width").otherwise(status)
+    if schema_id:
+        status = F.when(F.col("_s0") != F.col("_s1"), "mixed_schema").otherwise(status)
+    out = out.withColumn("status", status).drop(*checked)
+    if strict:
+        found = F.concat(F.lit("Window of epochs refused: "), F.col("status"))
+        out = out.withColumn("status", F.when(F.col("status") != "ok", F.raise_error(found)).otherwise(F.col("status")))
+    if padding == "reject":
+        out = out.withColumn("padded", F.lit(False))
     end = F.col(start_ts) + F.make_interval(secs=F.lit(epoch_seconds))
     return (
         out.withColumn("window", tensor)
