@@ -207,7 +207,9 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
         .withColumn("rid", F.monotonically_increasing_id()),
         "page-blocks",
     )
-    suffixes = parsed.filter(F.size("undecided") > 0).select("rid", "host", "undecided").mapInArrow(
+    settled = parsed.filter(F.size("undecided") == 0).select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
+    open_pages = parsed.filter(F.size("undecided") > 0)
+    suffixes = open_pages.select("rid", "host", "undecided").mapInArrow(
         _suffixes, "host string, run bigint, stream bigint, rid bigint, pos bigint"
     )
     repeated = (
@@ -215,8 +217,9 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
         .filter("s < t").select("host", "run")
     )
     starts = suffixes.join(repeated, ["host", "run"]).groupBy("rid").agg(F.collect_list("pos").alias("starts"))
-    return (
-        parsed.join(starts, "rid", "left")
+    own = (
+        open_pages.join(starts, "rid", "left")
         .select("page_id", "url", "blocks", "undecided", "starts")
         .mapInArrow(_assemble, "page_id bigint, url string, text string")
     )
+    return settled.unionByName(own)
