@@ -69,12 +69,13 @@ def stage_events(spark, sf):
 
 @query(
     "src_08_isruc_stages",
-    f"""WITH {PREDS}, {_POS}, l AS (SELECT recording_id, pos, k % 7 AS c FROM pos_v), bad AS (SELECT DISTINCT recording_id FROM l WHERE pos < 20 AND recording_id % 4 = 1 AND pos = 3)
+    f"""WITH {PREDS}, {_POS}, l AS (SELECT recording_id, pos, k % 7 AS c FROM pos_v), bad AS (SELECT DISTINCT recording_id FROM l WHERE recording_id % 4 = 1 AND pos = 3 OR recording_id % 4 = 2 AND pos = 25)
 SELECT recording_id, pos AS line_no, CASE c WHEN 5 THEN 4 WHEN 4 THEN -1 WHEN 6 THEN -1 ELSE c END AS stage, c IN (4, 6) AS unknown_code FROM l WHERE recording_id NOT IN (SELECT recording_id FROM bad)""",
 )
 def isruc(spark, sf):
     df = positions(predictions(spark, sf), ["recording_id"])
-    broken = (F.col("recording_id") % 4 == 1) & (F.col("pos") == 3)
+    quarter = F.col("recording_id") % 4
+    broken = ((quarter == 1) & (F.col("pos") == 3)) | ((quarter == 2) & (F.col("pos") == 25))
     line = F.when(broken, "2 stage").otherwise(F.concat(F.lit(" "), (F.col("k") % 7).cast("string"), F.lit(".0 ")))
     lines = df.select("recording_id", F.col("pos").alias("line_no"), line.alias("line"))
     return text.parse_isruc(lines, ["recording_id"])

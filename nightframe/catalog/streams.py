@@ -13,20 +13,20 @@ from nightframe.session import scratch_path
 from nightframe.streaming import jobs
 
 _EV = "ev AS (SELECT *, CAST(user_id % 5 AS BIGINT) AS device_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec FROM events)"
-# the tables cover January 2024; uploads arrive in these periods
-PERIODS = ["2000-01-01", "2024-01-09", "2024-01-17", "2024-01-25", "2024-02-15", "2100-01-01"]
+# the tables cover January 2024; uploads arrive in the periods between these days, the first and last are open
+CUTS = ["2024-01-09", "2024-01-17", "2024-01-25", "2024-02-15"]
 
 
 def feed(spark, df, label: str, run) -> None:
     """Let ``df`` arrive period by period and run the stream after each arrival.
 
     Each run takes all new files as one batch and continues from the checkpoint,
-    as a scheduled ``availableNow`` job does.
+    as a scheduled ``availableNow`` job does. Rows without a time arrive first.
     """
     path = scratch_path(spark, label)
-    for low, high in zip(PERIODS, PERIODS[1:]):
-        part = df.filter((F.col("ts") >= F.lit(low).cast("timestamp")) & (F.col("ts") < F.lit(high).cast("timestamp")))
-        part.write.mode("append").parquet(path)
+    period = F.coalesce(sum((F.col("ts") >= F.lit(day).cast("timestamp")).cast("int") for day in CUTS), F.lit(0))
+    for k in range(len(CUTS) + 1):
+        df.filter(period == k).write.mode("append").parquet(path)
         run(jobs.file_stream(spark, path, df.schema))
 
 
@@ -48,7 +48,7 @@ def to_table(spark, df, label: str, transform, mode: str = "append"):
 def latest_batches(spark, df, label: str, transform, keys):
     """Rows of an update-mode stream; the latest batch of a key wins."""
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    body = jobs.periodic_report(path, lambda batch: batch)
+    body = jobs.batch_report(path, lambda batch: batch)
     feed(spark, df, f"{label}-source", lambda stream: jobs.run_batches(transform(stream), body, checkpoint, "update"))
     stored = spark.read.option("basePath", path).parquet(path)
     return first_per_key(stored.withColumn("age", -F.col("batch")), keys, ["age"])
@@ -107,7 +107,9 @@ w AS (SELECT a.user_id, a.i AS window_end_index, count(*) AS c, avg(b.value) AS
 SELECT user_id, window_end_index, round(m, 6) AS mean_value FROM w WHERE c = 21""",
 )
 def complete_windows(spark, sf):
-    out = to_table(spark, user_rows(spark, sf), "windows", lambda s: jobs.windows_when_complete(s, ["user_id"]))
+    """Every 97th epoch arrives two months late and fills its gap then."""
+    late = F.when(F.col("epoch_index") % 97 == 5, F.col("ts") + F.expr("INTERVAL 60 DAYS")).otherwise(F.col("ts"))
+    out = to_table(spark, user_rows(spark, sf).withColumn("ts", late), "windows", lambda s: jobs.windows_when_complete(s, ["user_id"]))
     return out.select("user_id", "window_end_index", r6("mean_value"))
 
 
@@ -167,10 +169,10 @@ a AS (SELECT user_id, CAST(max(i) - min(i) + 1 - count(*) AS BIGINT) AS missing
 SELECT user_id, missing, CASE WHEN missing >= 10 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM a WHERE missing > 0""",
 )
 def audit(spark, sf):
-    """All files arrive in one poll, as in a nightly audit."""
-    rows, source, path = user_rows(spark, sf), scratch_path(spark, "audit-source"), scratch_path(spark, "audit")
-    rows.write.parquet(source)
-    body = jobs.periodic_report(path, lambda batch: stat.missing_epochs(batch, ["user_id"]))
-    jobs.run_batches(jobs.file_stream(spark, source, rows.schema), body, scratch_path(spark, "audit-checkpoint"))
-    out = spark.read.option("basePath", path).parquet(path)
-    return out.select("user_id", "missing", "severity")
+    """Nights arrive over several batches; the latest report of a user counts."""
+    rows, table, path = user_rows(spark, sf), scratch_path(spark, "audited-epochs"), scratch_path(spark, "audit")
+    body = jobs.stored_report(table, path, ["user_id"], lambda stored: stat.missing_epochs(stored, ["user_id"], complete=True))
+    checkpoint = scratch_path(spark, "audit-checkpoint")
+    feed(spark, rows, "audit-source", lambda stream: jobs.run_batches(stream, body, checkpoint))
+    out = spark.read.option("basePath", path).parquet(path).withColumn("age", -F.col("batch"))
+    return first_per_key(out, ["user_id"], ["age"]).filter("missing > 0").select("user_id", "missing", "severity")

@@ -215,13 +215,19 @@ def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def missing_epochs(epochs: DataFrame, keys: Sequence[str], index: str = "epoch_index", high: int = 10) -> DataFrame:
-    """Recordings with absent epochs between first and last index (AGG-37)."""
+def missing_epochs(
+    epochs: DataFrame, keys: Sequence[str], index: str = "epoch_index", high: int = 10, complete: bool = False
+) -> DataFrame:
+    """Recordings with absent epochs between first and last index (AGG-37).
+
+    ``complete`` also reports recordings without a gap, with no severity.
+    """
     agg = epochs.groupBy(*keys).agg(
         (F.max(index) - F.min(index) + 1 - F.count(index)).cast("bigint").alias("missing")
     )
-    return agg.filter(F.col("missing") > 0).withColumn(
-        "severity", F.when(F.col("missing") >= high, "HIGH").otherwise("MEDIUM")
+    gaps = agg if complete else agg.filter(F.col("missing") > 0)
+    return gaps.withColumn(
+        "severity", F.when(F.col("missing") >= high, "HIGH").when(F.col("missing") > 0, "MEDIUM")
     )
 
 

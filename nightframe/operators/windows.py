@@ -87,7 +87,9 @@ def build_windows(
         status = F.when(F.col("_s0") != F.col("_s1"), "mixed_schema").otherwise(status)
     out = out.withColumn("status", status).drop(*checked)
     if strict:
-        found = F.concat(F.lit("Window of epochs refused: "), F.col("status"))
+        found = F.when(F.col("status") == "gap", "Missing epoch index in a window").otherwise(
+            F.concat(F.lit("Window of epochs refused: "), F.col("status"))
+        )
         out = out.withColumn("status", F.when(F.col("status") != "ok", F.raise_error(found)).otherwise(F.col("status")))
     if padding == "reject":
         out = out.withColumn("padded", F.lit(False))

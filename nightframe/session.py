@@ -90,6 +90,12 @@ def remove_scratch(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system it names."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to shared storage and read it back.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightframe.functions.binding import bind
@@ -19,7 +19,6 @@ STAGE_EVENTS = {
 ISRUC_STAGES = {0: 0, 1: 1, 2: 2, 3: 3, 5: 4}
 CLOCK = r"(\d{1,2})[:.](\d{2})[:.](\d{2})"
 HYPNOGRAM_SUFFIXES = ["txt", "tsv", "csv", "cap"]
-PROBE_LINES = 20
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -88,27 +87,33 @@ def read_stage_events(spark: SparkSession, path: str) -> DataFrame:
     return parse_stage_events(read_lines(spark, path), ["file"])
 
 
+def isruc_files(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per file: non-blank lines, those that are one number, and ``format``.
+
+    ``stages``: every line is one number; ``mixed``: some are, which is an error
+    to report; ``other``: none is.
+    """
+    line = F.trim("line")
+    lone = ~line.rlike(r"\s") & is_number(line)
+    counts = lines.filter(line != "").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(lone).alias("stage_lines")
+    )
+    kind = F.when(F.col("stage_lines") == F.col("lines"), "stages").when(F.col("stage_lines") > 0, "mixed").otherwise("other")
+    return counts.withColumn("format", kind)
+
+
 def parse_isruc(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One stage number per line to epochs (SRC-08).
 
-    A file qualifies when each of its first 20 non-blank lines is a single
-    number. Unknown codes become -1 with a warning.
+    A file qualifies when each of its non-blank lines is a single number;
+    :func:`isruc_files` reports the others. Unknown codes become -1 with a warning.
     """
     keys = list(keys)
     rows = lines.filter(F.trim("line") != "")
-    lone = ~F.trim("line").rlike(r"\s") & is_number(F.trim("line"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))
-    probe = (
-        rows.withColumn("_rank", rank)
-        .filter(F.col("_rank") <= PROBE_LINES)
-        .groupBy(*keys)
-        .agg(F.min(lone.cast("int")).alias("_ok"))
-        .filter(F.col("_ok") == 1)
-        .select(*keys)
-    )
-    code = F.element_at(F.split(F.trim("line"), r"\s+"), 1).try_cast("double").cast("int")
+    whole = isruc_files(lines, keys).filter("format = 'stages'").select(*keys)
+    code = F.trim("line").try_cast("double").cast("int")
     stage = F.coalesce(lookup(code, ISRUC_STAGES), F.lit(-1))
-    return rows.join(probe, keys, "left_semi").select(
+    return rows.join(whole, keys, "left_semi").select(
         *keys, "line_no", stage.alias("stage"), (~code.isin(*ISRUC_STAGES)).alias("unknown_code")
     )
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from nightframe.operators.evaluation import ratio
 from nightframe.operators.ingest import insert_ignore
 from nightframe.operators.statistics import with_moments
 from nightframe.schema import RECORDING_TIMEOUT_HOURS, WINDOW_SIZE
-from nightframe.session import ROCKSDB_PROVIDER
+from nightframe.session import ROCKSDB_PROVIDER, path_exists
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -68,52 +69,78 @@ def append_new(target_path: str, keys: Sequence[str], order: Sequence[str]) -> C
             stored = spark.read.option("basePath", target_path).schema(
                 T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
             )
-            try:
+            if path_exists(spark, target_path):  # else all earlier batches were empty
                 known = stored.parquet(target_path).filter(F.col("batch") < batch_id).select(*keys)
-            except Exception as exc:  # nothing written yet: all earlier batches were empty
-                if "PATH_NOT_FOUND" not in str(exc):
-                    raise
         insert_ignore(batch, known, keys, order).write.mode("overwrite").parquet(f"{target_path}/batch={batch_id}")
 
     return write
 
 
 class LastEpochs(StatefulProcessor):
-    """Keeps the last epochs of a recording and emits complete windows."""
+    """Emits every complete window of a recording once, however late its epochs come.
+
+    State: the runs of indexes seen so far, and the values of those epochs that
+    still belong to a window with an absent epoch. Inside a run only its first
+    and last ``size - 1`` values wait, so state grows with the gaps and not with
+    the length of the recording.
+    """
 
     def __init__(self, key_fields: list[str], size: int):
         self.key_fields = key_fields
         self.size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getMapState("recent", "epoch_index int", "value double")
+        self.waiting = handle.getMapState("waiting", "epoch_index int", "value double")
+        self.seen = handle.getMapState("seen", "first int", "last int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, float] = {}
-        for pdf in rows:
-            new.update(zip(pdf["epoch_index"].astype(int), pdf["value"].astype(float)))
-        held = {k[0]: v[0] for k, v in self.recent.iterator()} if self.recent.exists() else {}
-        merged = {**held, **{i: v for i, v in new.items() if i not in held}}
-        ready = []
-        for i in sorted(set(new) - set(held)):
-            for end in range(i, i + self.size):
-                span = range(end - self.size + 1, end + 1)
-                if end in merged and all(j in merged for j in span) and end not in ready:
-                    ready.append(end)
-        newest = max(merged)
-        for i, v in new.items():
-            if i not in held:
-                self.recent.updateValue((int(i),), (float(v),))
-        for i in merged:
-            if i <= newest - 4 * self.size and self.recent.containsKey((int(i),)):
-                self.recent.removeKey((int(i),))
-        if ready:
-            out = {name: [part] * len(ready) for name, part in zip(self.key_fields, key)}
-            out["window_end_index"] = sorted(ready)
-            out["mean_value"] = [
-                sum(merged[j] for j in range(e - self.size + 1, e + 1)) / self.size for e in sorted(ready)
-            ]
-            yield pd.DataFrame(out)
+        size = self.size
+        runs = {k[0]: v[0] for k, v in self.seen.iterator()} if self.seen.exists() else {}
+        held = {k[0]: v[0] for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
+        firsts = np.array(sorted(runs), np.int64)
+        lasts = np.array([runs[i] for i in firsts.tolist()], np.int64)
+        batch = pd.concat(list(rows))[["epoch_index", "value"]].sort_values(["epoch_index", "value"])
+        batch = batch.drop_duplicates("epoch_index")
+        index, value = batch["epoch_index"].to_numpy(np.int64), batch["value"].to_numpy(float)
+        if len(firsts):
+            at = np.searchsorted(firsts, index, "right") - 1
+            fresh = (at < 0) | (index > lasts[np.maximum(at, 0)])
+            index, value = index[fresh], value[fresh]
+        if not len(index):
+            return
+        # Values at hand, in order, and the windows among them that hold a new one.
+        all_index = np.concatenate([np.array(list(held), np.int64), index])
+        order = np.argsort(all_index)
+        is_new = (order >= len(held)).astype(np.int64)
+        all_value = np.concatenate([np.array(list(held.values()), float), value])[order]
+        all_index = all_index[order]
+        if len(all_index) >= size:
+            new_before = np.concatenate([[0], np.cumsum(is_new)])
+            whole = all_index[size - 1 :] - all_index[: len(all_index) - size + 1] == size - 1
+            ready = np.flatnonzero(whole & (new_before[size:] > new_before[:-size]))
+            if len(ready):
+                out = {name: [part] * len(ready) for name, part in zip(self.key_fields, key)}
+                out["window_end_index"] = all_index[ready + size - 1]
+                out["mean_value"] = np.lib.stride_tricks.sliding_window_view(all_value, size)[ready].mean(1)
+                yield pd.DataFrame(out)
+        # Runs grow and meet; an epoch all of whose windows are out need not wait.
+        low, high = np.concatenate([firsts, index]), np.concatenate([lasts, index])
+        order_of = np.argsort(low)
+        low, high = low[order_of], high[order_of]
+        opens = np.append(True, low[1:] > high[:-1] + 1)
+        first, last = low[opens], high[np.append(opens[1:], True)]
+        run = np.searchsorted(first, all_index, "right") - 1
+        done = (all_index - size + 1 >= first[run]) & (all_index + size - 1 <= last[run])
+        for i in all_index[done & (is_new == 0)].tolist():
+            self.waiting.removeKey((i,))
+        for i, v in zip(all_index[~done & (is_new == 1)].tolist(), all_value[~done & (is_new == 1)].tolist()):
+            self.waiting.updateValue((i,), (v,))
+        after = dict(zip(first.tolist(), last.tolist()))
+        for i in runs.keys() - after.keys():
+            self.seen.removeKey((i,))
+        for i, end in after.items():
+            if runs.get(i) != end:
+                self.seen.updateValue((i,), (end,))
 
     def close(self) -> None:
         pass
@@ -122,8 +149,9 @@ class LastEpochs(StatefulProcessor):
 def windows_when_complete(stream: DataFrame, keys: Sequence[str], size: int = WINDOW_SIZE) -> DataFrame:
     """Emit a window as soon as ``size`` contiguous epochs exist (STR-03).
 
-    Input ``epoch_index, value``. State holds the most recent epochs of each
-    recording, so an upload that fills a recent gap completes its windows too.
+    Input ``epoch_index, value``. An epoch may come at any time: nothing is
+    dropped by age, and one that fills a gap completes its windows then. Of
+    repeated uploads the first batch's value counts, inside a batch the smallest.
     """
     use_rocksdb(stream.sparkSession)
     schema = T.StructType(
@@ -218,8 +246,8 @@ def ingest_failure_rate(stream: DataFrame, ts: str, window: str = "1 hour") -> D
     )
 
 
-def periodic_report(path: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body that writes a report of each batch (STR-08)."""
+def batch_report(path: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body that writes what ``build`` makes of each batch's rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         build(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -227,6 +255,29 @@ def periodic_report(path: str, build: Callable[[DataFrame], DataFrame]) -> Calla
     return write
 
 
+def stored_report(
+    table: str, path: str, keys: Sequence[str], build: Callable[[DataFrame], DataFrame]
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body that stores each batch and audits the table (STR-08).
+
+    A report covers the keys that the batch touched, over all their rows stored
+    so far, so a night that spans batches is judged whole. Batch and report own
+    one folder each, replaced when the batch is retried.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        shape = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        stored = batch.sparkSession.read.option("basePath", table).schema(shape).parquet(table)
+        stored = stored.filter(F.col("batch") <= batch_id)
+        touched = stored.filter(F.col("batch") == batch_id).select(*keys).distinct()
+        build(stored.drop("batch").join(touched, list(keys), "left_semi")).write.mode("overwrite").parquet(
+            f"{path}/batch={batch_id}"
+        )
+
+    return write
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available into Parquet files, then stop."""
     (

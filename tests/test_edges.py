@@ -3,10 +3,13 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from nightframe.operators import dataset, evaluation, signal, statistics, windows
+from nightframe.sources import stage_text
+from nightframe.streaming import jobs
 
 
 def epochs(spark, indexes, schemas=None, widths=None):
@@ -74,3 +77,50 @@ def test_fingerprint_tells_columns_apart(spark):
     two = spark.createDataFrame([("a", "b|c"), ("null", None)], "x string, y string")
     prints = [statistics.table_fingerprint(df, [], "t").select("sum0", "sum1").first() for df in (one, two)]
     assert prints[0] != prints[1]
+
+
+def test_stage_file_is_judged_by_all_its_lines(spark):
+    numbers = [("long", i, str(i % 3)) for i in range(30)]
+    lines = spark.createDataFrame(
+        [*numbers, ("long", 30, "remark"), ("good", 0, "2"), ("good", 1, " "), ("text", 0, "a b")], "file string, line_no int, line string"
+    )
+    kinds = {r["file"]: r["format"] for r in stage_text.isruc_files(lines, ["file"]).collect()}
+    assert kinds == {"long": "mixed", "good": "stages", "text": "other"}
+    assert [r["file"] for r in stage_text.parse_isruc(lines, ["file"]).collect()] == ["good"]
+
+
+class MapInMemory(dict):
+    exists = property(lambda self: lambda: bool(self))
+    iterator = property(lambda self: lambda: iter(list(self.items())))
+    updateValue = dict.__setitem__
+    removeKey = dict.__delitem__
+
+
+def fed(batches, size):
+    """Window ends emitted per batch, and how many values wait at the end."""
+    job = jobs.LastEpochs(["rec"], size)
+    job.waiting, job.seen = MapInMemory(), MapInMemory()
+    found = []
+    for indexes in batches:
+        frame = pd.DataFrame({"epoch_index": indexes, "value": [float(i) for i in indexes]})
+        found.append([w for out in job.handleInputRows(("r",), iter([frame]), None) for w in zip(out["window_end_index"], out["mean_value"])])
+    return found, len(job.waiting)
+
+
+def test_windows_come_whatever_the_lateness():
+    size = 21
+    first, second, again = fed([[i for i in range(200) if i != 50], [50], [50, 60]], size)[0]
+    assert sorted(e for e, _ in first + second) == list(range(20, 200)) and not again
+    assert all(abs(m - (e - 10)) < 1e-9 for e, m in first + second)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_windows_in_any_order_come_once(seed):
+    rng = np.random.default_rng(seed)
+    stream = rng.permutation(np.repeat(np.flatnonzero(rng.random(90) > 0.1), 2))
+    found, waiting = fed(np.array_split(stream, 12), 4)
+    present = set(stream.tolist())
+    want = [e for e in range(90) if all(e - k in present for k in range(4))]
+    assert sorted(e for part in found for e, _ in part) == want
+    gaps = sum(i + 1 not in present for i in present)
+    assert waiting <= 6 * gaps
