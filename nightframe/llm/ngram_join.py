@@ -174,32 +174,41 @@ def _sets(sim: Similarity):
     return _per_batch(make, ["node", "features"], [pa.int64(), pa.binary()])
 
 
-def _links(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int):
-    """A spanning forest of the links between the sets numbered ``left`` and ``right``."""
-    size = np.array([len(s) for s in sets])
-    if len(nodes) <= 3:
-        common = np.zeros((len(left), len(right)))
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered ``left`` with those numbered ``right``."""
+    common = np.zeros((len(left), len(right)), np.float32)
+    if len(sets) <= 3:
         for x, i in enumerate(left):
             for y, j in enumerate(right):
-                if i < j or left is not right:
-                    common[x, y] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-    else:
-        values, code = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), size)
-        often = np.bincount(code, minlength=len(values)) > 1
-        column = np.where(often, np.cumsum(often) - 1, -1)[code]
-        row, column = row[column >= 0], column[column >= 0]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        common = np.zeros((len(left), len(right)), np.float32)
-        width = int(often.sum())
-        for at in range(0, width, COLUMNS):
-            a, b = np.searchsorted(column, [at, at + COLUMNS])
-            table = np.zeros((len(sets), min(COLUMNS, width - at)), np.float32)
-            table[row[a:b], column[a:b] - at] = 1
-            common += table[left] @ table[right].T
+                common[x, y] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return common
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(code, minlength=len(values)) > 1
+    column = np.where(often, np.cumsum(often) - 1, -1)[code]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = int(often.sum())
+    for at in range(0, width, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        table = np.zeros((len(sets), min(COLUMNS, width - at)), np.float32)
+        table[row[a:b], column[a:b] - at] = 1
+        common += table[left] @ table[right].T
+    return common
+
+
+def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs link; inside one block each pair stands once."""
+    size = np.array([len(s) for s in sets])
+    common = _common(sets, left, right).astype(np.float64)
     union = size[left][:, None] + size[right][None, :] - common
-    hit = 100 * common.astype(np.float64) >= percent * union.astype(np.float64)
+    hit = 100 * common >= percent * union
+    return np.triu(hit, 1) if left is right else hit
+
+
+def _forest(nodes: list[int], left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links."""
     parent = list(range(len(nodes)))
 
     def root(x):
@@ -216,10 +225,16 @@ def _links(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, right: np
 
 
 def _compare(percent: int):
-    """Rows (leader, i, j, block, node, features) sorted by leader, i, j to links (a, b)."""
+    """Rows (leader, i, j, block, node, features, copies, earlier) sorted by leader, i, j.
+
+    Gives (a, b, null): links enough to connect what is similar, and (a, null,
+    documents): how many documents of other sets the set ``a`` links with. A
+    pair under several leaders is counted under the first: ``earlier`` holds a
+    set's leaders before this one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, blocks, sets, out = None, [], [], [], []
+        key, nodes, blocks, sets, copies, earlier, out = None, [], [], [], [], [], []
 
         def settle():
             if len(nodes) < 2:
@@ -229,26 +244,38 @@ def _compare(percent: int):
                 left = right = np.arange(len(nodes))
             else:
                 left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-            if len(left) and len(right):
-                out.extend(_links(nodes, sets, left, right, percent))
+            if not len(left) or not len(right):
+                return
+            hit = _similar(sets, left, right, percent)
+            if not hit.any():
+                return
+            out.extend((a, b, None) for a, b in _forest(nodes, left, right, hit))
+            if sum(map(len, earlier)):
+                hit &= _common(earlier, left, right) == 0
+            weight = np.array(copies, np.int64)
+            linked = np.zeros(len(nodes), np.int64)
+            np.add.at(linked, left, hit @ weight[right])
+            np.add.at(linked, right, weight[left] @ hit)
+            out.extend((nodes[k], None, int(linked[k])) for k in np.flatnonzero(linked).tolist())
 
         def flush():
-            rows = [p for p in out if p[0] != p[1]]
+            columns = list(zip(*out))
             out.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in rows], pa.int64()), pa.array([p[1] for p in rows], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "documents"])
 
         for batch in batches:
-            leader, i, j, block, node = (batch.column(k).to_pylist() for k in range(5))
-            features = batch.column(5)
+            leader, i, j, block, node, weight = (batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 6))
+            features, before = batch.column(5), batch.column(7)
             for k in range(batch.num_rows):
                 here = (leader[k], i[k], j[k])
                 if here != key:
                     settle()
-                    key, nodes, blocks, sets = here, [], [], []
+                    key, nodes, blocks, sets, copies, earlier = here, [], [], [], [], []
                 nodes.append(node[k])
                 blocks.append(block[k])
                 sets.append(np.frombuffer(features[k].as_buffer(), np.uint64))
+                copies.append(weight[k])
+                earlier.append(before[k].values.to_numpy())
             if out:
                 yield flush()
         settle()
@@ -263,13 +290,14 @@ def _join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner") ->
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
 
 
-def candidate_links(source: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
-    """Links (a, b) between set keys that connect exactly the similar sets.
+def compared_sets(source: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b, documents): see ``_compare``; its links connect exactly the similar sets.
 
     ``source`` has doc_id and text, ``nodes`` the set key of every document.
     Signatures are sorted once; the smallest set key under a signature leads the
     others. All sets under one leader are compared in blocks of ``BLOCK``, each
-    pair of blocks apart from the others.
+    pair of blocks apart from the others. A set has no more leaders than it has
+    signatures, which its own size bounds.
     """
     partitions = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = cut_lineage(
@@ -281,14 +309,16 @@ def candidate_links(source: DataFrame, nodes: DataFrame, sim: Similarity) -> Dat
         "neighbours",
     )
     near = near.unionByName(near.select("leader", F.col("leader").alias("node")).distinct())
-    wanted = near.select("node").distinct()
+    leaders = near.groupBy("node").agg(F.collect_list("leader").alias("leaders"))
     chosen = cut_lineage(
-        nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "set-owners"
+        nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).join(leaders, "node"),
+        "set-owners",
     )
-    texts = _join_checked(source, chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    owners = chosen.select(F.col("doc_id").alias("_owner")).distinct()
+    texts = _join_checked(source, owners, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi")
     sets = (
         texts.mapInArrow(_sets(sim), "node bigint, features binary")
-        .join(chosen.select("node"), "node", "left_semi")
+        .join(chosen.select("node", "copies", "leaders"), "node")
         .dropDuplicates(["node"])
     )
     blocks = near.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
@@ -296,15 +326,15 @@ def candidate_links(source: DataFrame, nodes: DataFrame, sim: Similarity) -> Dat
         near.join(blocks, "leader")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         .join(sets, "node")
+        .withColumn("earlier", F.filter("leaders", lambda x: x < F.col("leader")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "features")
+        .select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node",
+                "features", "copies", "earlier")
     )
     return (
         rows.repartition(4 * partitions, "leader", "i", "j")
         .sortWithinPartitions("leader", "i", "j")
-        .mapInArrow(_compare(sim.percent), "a bigint, b bigint")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        .mapInArrow(_compare(sim.percent), "a bigint, b bigint, documents bigint")
     )
 
 
@@ -342,26 +372,35 @@ def components(links: DataFrame) -> DataFrame:
 def ngram_jaccard_join(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links, kept.
 
     Words are split at ASCII white space after A-Z became lower case. A text
     with fewer than ``n`` words is one run; one without words, or null, has an
     empty set, links with nothing and is its own component. ``component_id`` is
     the smallest id among the component's documents (null ids are passed over);
-    ``kept`` marks the rows of that id, or every row with an empty set.
-    Equal sets are one node throughout, so groups of copies cost one member.
+    ``n_links`` counts the other rows a row links with, copies included;
+    ``kept`` marks the rows of the component's id, every row with an empty set
+    and those of components without any id. Equal sets are one node throughout,
+    so groups of copies cost one member.
     """
     sim = Similarity(n, percent)
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     nodes = cut_lineage(source.mapInArrow(_describe(sim), "doc_id bigint, n_shingles bigint, node bigint"), "nodes")
-    labels = components(candidate_links(source, nodes, sim))
+    found = cut_lineage(compared_sets(source, nodes, sim), "compared")
+    pairs = found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = components(pairs)
+    linked = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("documents").alias("linked"))
+    sets = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    sets = sets.join(linked, "node", "left")
     if labels is None:
-        placed = nodes.withColumn("label", F.col("node"))
+        sets = sets.withColumn("label", F.col("node"))
     else:
-        placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = placed.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first_id"))
+        sets = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sets = sets.select("node", "label", "least", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    first = sets.groupBy("label").agg(F.min("least").alias("first_id"))
+    placed = nodes.join(sets.join(first, "label").select("node", "first_id", "n_links"), "node", "left")
     whole = F.coalesce(F.col("first_id"), F.col("doc_id"))
-    return placed.join(first, "label", "left").select(
-        "doc_id", "n_shingles", whole.alias("component_id"),
-        F.coalesce(F.col("doc_id") == whole, F.lit(True)).alias("kept"),
+    return placed.select(
+        "doc_id", "n_shingles", whole.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce(F.col("doc_id") == whole, whole.isNull()).alias("kept"),
     )

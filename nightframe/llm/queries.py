@@ -43,9 +43,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose three-word runs have a Jaccard similarity of 0.9 or more."""
+    """Components and numbers of links of documents whose three-word runs have a Jaccard similarity of 0.9 or more."""
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=3, percent=90).select(
-        "doc_id", "n_shingles", "component_id"
+        "doc_id", "n_shingles", "component_id", "n_links"
     )
 
 

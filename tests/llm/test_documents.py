@@ -53,12 +53,12 @@ def test_a_bad_host_takes_its_documents_along(llm):
 
 @pytest.mark.parametrize("n, percent", [(3, 90), (5, 80), (2, 50)])
 def test_ngram_join(docs, n, percent):
-    got = sorted(map(str, ngram_join.ngram_jaccard_join(docs, n=n, percent=percent).select("doc_id", "n_shingles", "component_id").collect()))
+    got = sorted(map(str, ngram_join.ngram_jaccard_join(docs, n=n, percent=percent).select("doc_id", "n_shingles", "component_id", "n_links").collect()))
     rows, sets = rows_of(docs), []
     for _, t in rows:
         w = (t or "").encode().lower().split()
         sets.append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
-    up = list(range(len(rows)))
+    up, links = list(range(len(rows))), Counter()
 
     def root(x):
         while up[x] != x:
@@ -70,19 +70,32 @@ def test_ngram_join(docs, n, percent):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 up[root(a)] = root(b)
+                links.update((a, b))
     least = {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[root(k)] = min(i, least.get(root(k), i))
-    assert got == sorted(f"Row(doc_id={i}, n_shingles={len(sets[k])}, component_id={least.get(root(k))})" for k, (i, _) in enumerate(rows))
+    assert got == sorted(f"Row(doc_id={i}, n_shingles={len(sets[k])}, component_id={least.get(root(k))}, n_links={links[k]})" for k, (i, _) in enumerate(rows))
 
 
 def test_blocks_of_a_large_group(llm, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     base = [f"t{k}" for k in range(120)]
     rows = [(k, " ".join([*base[:k], "x", *base[k + 1 :]])) for k in range(60)]
-    got = ngram_join.ngram_jaccard_join(llm.createDataFrame(rows, "doc_id bigint, text string"))
-    assert {r["component_id"] for r in got.collect()} == {0}
+    rows.append((100, rows[7][1]))
+    got = ngram_join.ngram_jaccard_join(llm.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    want = {i: sum(100 * len(s & t) >= 90 * len(s | t) for t in sets) - 1 for (i, _), s in zip(rows, sets)}
+    assert {r["doc_id"]: r["n_links"] for r in got} == want
+
+
+def test_rows_without_an_id_link_too(llm):
+    base = [f"t{k}" for k in range(120)]
+    rows = [(None, " ".join(base)), (5, " ".join([*base[:-1], "x"])), (7, " ".join(["y", *base[1:]]))]
+    got = ngram_join.ngram_jaccard_join(llm.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(None, 5, False), (5, 5, True), (7, 5, False)}
+    assert all(r["n_links"] == 2 for r in got)
 
 
 def test_exact_dedup(docs, monkeypatch):
