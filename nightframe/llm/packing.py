@@ -49,8 +49,8 @@ class WordTokenizer:
     """Token ids of texts, computed once per distinct word.
 
     For a tokenizer that lower-cases and drops white space, so that words are
-    independent of each other. Printable ASCII words are split here by the
-    tokenizer's own rule; all others go through its normaliser and splitter.
+    independent of each other. Printable ASCII words without an added token are
+    split here by the tokenizer's own rule; all others go through all of it.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,6 +59,11 @@ class WordTokenizer:
 
         whole = Tokenizer.from_file(path)
         self.whole, self.model = whole, whole.model
+        added = [t.content for t in whole.get_added_tokens_decoder().values()]
+        if any(not c or re.search(r"\s", c) for c in added):
+            raise ValueError("an added token goes across the borders of words")
+        # Finds more than the tokenizer does, whatever the case; it decides.
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
         self._forget()
 
     def _forget(self) -> None:
@@ -66,12 +71,10 @@ class WordTokenizer:
         self.ids, self.sizes = array("I", [END_ID]), array("q", [1])  # entry 0 ends a text
 
     def _learn(self, word: str) -> int:
-        if _PLAIN.fullmatch(word):
-            parts = _ASCII_PARTS.findall(word.lower())
+        if _PLAIN.fullmatch(word) and not self.added.search(word):
+            ids = [t.id for p in _ASCII_PARTS.findall(word.lower()) for t in self.model.tokenize(p)]
         else:
-            normal = self.whole.normalizer.normalize_str(word)
-            parts = [p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(normal)]
-        ids = [t.id for p in parts for t in self.model.tokenize(p)]
+            ids = self.whole.encode(word, add_special_tokens=False).ids
         self.ids.extend(ids)
         self.sizes.append(len(ids))
         code = self.known[word] = len(self.sizes) - 1

@@ -146,6 +146,17 @@ def test_packing_is_gapless_and_exact(docs, room):
         assert sum(found.values()) / (256 * len(sequences)) > 0.98
 
 
+def test_added_tokens_are_found_in_texts(llm):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y, <|startoftext|><|endoftext|> <|ENDOFTEXT|>", "\u00c9<|endoftext|>\u0338 <|endoftext|", "<|startoftext|>\x1c's"]
+    ids = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
+    assert 49407 in ids[0] and 49406 in ids[1] and 49407 in ids[1]
+    got = packing.pack_documents(llm.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path).collect()
+    assert {(r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in got} == {
+        (k, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in ids.items()}
+
+
 def test_token_counts(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
