@@ -1,11 +1,12 @@
 """Encoding with a merge-type piece vocabulary and seeded merge-dropout, and lossless decoding.
 
 Symbols merge in the order of the pieces' ranks, leftmost first. With dropout a
-candidate merge is skipped when a keyed hash of (seed, variant, unit, its three
-borders) falls below the rate. The choice depends on the key alone, so a lost
-task gives the same ids again, and other seeds or variants other segmentations.
-All new units of a group of texts are merged at once, one merge per unit and
-round, and remembered.
+candidate merge is skipped when a keyed hash of (seed, document, the unit's place
+in it, the merge's three borders) falls below the rate. The choice depends on the
+key alone, so a lost task gives the same ids again, and every occurrence of a unit
+has its own. All new units of a group of texts are merged at once without dropout,
+one merge per unit and round, and remembered with their merges. An occurrence that
+skips none of these comes out the same; the others are merged one by one anew.
 """
 
 from __future__ import annotations
@@ -33,6 +34,23 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _NONE = np.int64(1) << 40
 
 
+def _borders(begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (begin << 42 | middle << 21 | end).astype(np.uint64)
+
+
+def _dropped(keys: np.ndarray, borders: np.ndarray, rate: float) -> np.ndarray:
+    """Whether dropout skips the merges with these borders."""
+    return (mix(keys + borders) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
+
+
+def _slices(sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries of some slices of a table, and where each slice ends among them."""
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    first = (np.cumsum(sizes) - sizes)[codes] - (ends - n)
+    return np.repeat(first, n) + np.arange(ends[-1] if len(ends) else 0), ends
+
+
 class PieceCodec:
     """Pieces, byte pieces and merges of a sentencepiece model of the merge type."""
 
@@ -56,7 +74,7 @@ class PieceCodec:
                 raw.append(name.replace(SPACE, " ").encode())
         if any(UNIT.fullmatch(p) is None for p in pieces):
             raise ValueError("a piece goes across the borders of units")
-        self._forget(())
+        self._forget()
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_sizes = np.array([len(r) for r in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_sizes) - self.raw_sizes
@@ -78,8 +96,13 @@ class PieceCodec:
         hit = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.ranks[at], _NONE), np.where(hit, self.merged[at], 0)
 
-    def merge(self, units: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units on end, and the units' bounds in them. ``keys``: the hash key of each unit."""
+    def merge(
+        self, units: list[str], keys: np.ndarray, rate: float, made: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units on end, and the units' bounds in them. ``keys``: the hash key of each unit.
+
+        ``made`` takes (units, borders) of the merges of every round.
+        """
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(len(units)), sizes)
@@ -94,8 +117,7 @@ class PieceCodec:
             """Rank and merged id of the pairs (i, i + 1), with dropped ones out."""
             rank, into = self._look_up(symbol[i], symbol[i + 1])
             if rate:
-                h = keys[owner[i]] + (begin[i] << 42 | end[i] << 21 | end[i + 1]).astype(np.uint64)
-                rank = np.where((mix(h) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53, _NONE, rank)
+                rank = np.where(_dropped(keys[owner[i]], _borders(begin[i], end[i], end[i + 1]), rate), _NONE, rank)
             return np.where(owner[i] == owner[i + 1], rank, _NONE), into
 
         rank, into = np.full(len(code), _NONE), np.zeros(len(code), np.int64)
@@ -117,6 +139,8 @@ class PieceCodec:
                 runs, best = runs[best < _NONE], best[best < _NONE]
             hit = np.flatnonzero(rank == np.repeat(best, runs))
             at = hit[np.diff(owner[hit], prepend=-1) != 0]  # the leftmost of each unit
+            if made is not None:
+                made.append((owner[at], _borders(begin[at], end[at], end[at + 1])))
             symbol[at], end[at] = into[at], end[at + 1]
             keep = np.ones(len(symbol), bool)
             keep[at + 1] = False
@@ -148,51 +172,59 @@ class PieceCodec:
             symbol, unit = out, np.repeat(unit, sizes_of)
         return symbol, np.searchsorted(unit, np.arange(len(units) + 1))
 
-    def _forget(self, setting: tuple) -> None:
-        self.setting = setting
-        self.known: dict[int, dict[str, int]] = {}
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
         self.ids, self.sizes = array("i"), array("q")
+        self.made, self.made_sizes = array("Q"), array("q")  # borders of each unit's merges
+
+    def _learn(self, units: list[str]) -> None:
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+        new, bounds = self.merge(units, np.zeros(len(units), np.uint64), 0.0, made)
+        self.ids.frombytes(new.astype(np.int32).tobytes())
+        self.sizes.frombytes(np.diff(bounds).astype(np.int64).tobytes())
+        of = np.concatenate([np.empty(0, np.int64), *[m[0] for m in made]])
+        borders = np.concatenate([np.empty(0, np.uint64), *[m[1] for m in made]])
+        self.made.frombytes(borders[np.argsort(of, kind="stable")].tobytes())
+        self.made_sizes.frombytes(np.bincount(of, minlength=len(units)).astype(np.int64).tobytes())
+
+    def _skipping(self, codes: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
+        """Which occurrences of known units skip one of the units' merges."""
+        sizes = np.array(self.made_sizes)
+        at, _ = _slices(sizes, codes)
+        owner = np.repeat(np.arange(len(codes)), sizes[codes])
+        hit = owner[_dropped(keys[owner], np.array(self.made)[at], rate)]
+        return np.unique(hit)
 
-    def encode(self, texts: list[str], variants: list[int], seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts on end and the texts' bounds in them.
+    def encode(self, texts: list[str], docs: list[int], seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts on end and the texts' bounds in them. ``docs``: a number of each text for dropout.
 
         Units merged before are looked up, up to ``KNOWN_UNITS`` of them.
         """
-        if self.setting != (seed, rate) or len(self.sizes) > KNOWN_UNITS:
-            self._forget((seed, rate))
+        if len(self.sizes) > KNOWN_UNITS:
+            self._forget()
         # A literal space mark is spelled in bytes, so that it does not come back as a space.
         parts = [UNIT.findall((" " + t).replace(SPACE, LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
         counts = np.array([len(p) for p in parts], np.int64)
-        variants = variants if rate else [0] * len(texts)
-        tables = [self.known.setdefault(v, {}) for v in variants]
-        codes = np.fromiter(
-            chain.from_iterable(map(d.get, p, repeat(-1)) for d, p in zip(tables, parts)), np.int64, int(counts.sum())
-        )
-        missing = np.flatnonzero(codes < 0)
-        if len(missing):
-            bounds = np.cumsum(counts)
-            owner = np.searchsorted(bounds, missing, side="right")
-            inner = missing - (bounds - counts)[owner]
-            units, of = [], []
-            for k, (t, i) in zip(missing.tolist(), zip(owner.tolist(), inner.tolist())):
-                unit, table = parts[t][i], tables[t]
-                code = table.get(unit)
-                if code is None:
-                    code = table[unit] = len(self.sizes) + len(units)
-                    units.append(unit)
-                    of.append(variants[t])
-                codes[k] = code
-            hashes = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in units], np.uint64)
-            keys = mix(mix(hashes + (np.array(of, np.uint64) << np.uint64(32))) + np.uint64(seed % 2**64))
-            new, borders = self.merge(units, keys, rate)
-            self.ids.frombytes(new.astype(np.int32).tobytes())
-            self.sizes.frombytes(np.diff(borders).astype(np.int64).tobytes())
+        flat = list(chain.from_iterable(parts))
+        codes = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            units = list(dict.fromkeys(flat[k] for k in missing))
+            self.known.update(zip(units, range(len(self.sizes), len(self.sizes) + len(units))))
+            self._learn(units)
+            codes[missing] = [self.known[flat[k]] for k in missing]
         sizes, ids = np.array(self.sizes), np.array(self.ids)
-        at = np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        out = ids[np.repeat(at[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int64)
-        return out, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        if rate and len(flat):
+            bounds = np.cumsum(counts)
+            place = np.arange(len(flat)) - np.repeat(bounds - counts, counts)
+            of = mix(mix(np.array([d % 2**64 for d in docs], np.uint64)) + np.uint64(seed % 2**64))
+            keys = mix(np.repeat(of, counts) + place.astype(np.uint64))
+            again = self._skipping(codes, keys, rate)
+            new, borders = self.merge([flat[k] for k in again.tolist()], keys[again], rate)
+            codes[again] = len(sizes) + np.arange(len(again))
+            sizes, ids = np.concatenate([sizes, np.diff(borders)]), np.concatenate([ids, new])
+        at, ends = _slices(sizes, codes)
+        return ids[at].astype(np.int64), np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; the space before the first word goes."""
@@ -205,7 +237,6 @@ class PieceCodec:
         return text.removeprefix(" ")
 
 
-VARIANTS = 2
 #: Characters encoded together at most (or one text).
 CHUNK_CHARS = 1_000_000
 
@@ -216,9 +247,9 @@ def encode_documents(
 ) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, lossless (and ids) of every row.
 
-    ``lossless`` tells whether the ids, decoded, gave the text back. A document
-    uses one of ``VARIANTS`` variants by the hash of its id (null ids: the
-    first). A null text is empty and has no ids. Repeated rows encode alike.
+    ``lossless`` tells whether the ids, decoded, gave the text back. Dropout goes
+    by the document's id and the place in it (null ids: by the text's checksum). A
+    null text is empty and has no ids. Repeated rows encode alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +257,8 @@ def encode_documents(
         for batch in batches:
             docs_of, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in in_groups(texts, CHUNK_CHARS):
-                variants = [zlib.crc32(str(d).encode()) % VARIANTS if d is not None else 0 for d in docs_of[a:b]]
-                ids, bounds = codec.encode(texts[a:b], variants, seed, rate)
+                of = [zlib.crc32(t.encode("utf-8", "surrogatepass")) if d is None else d for d, t in zip(docs_of[a:b], texts[a:b])]
+                ids, bounds = codec.encode(texts[a:b], of, seed, rate)
                 each = [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
                 columns = [
                     batch.column(0).slice(a, b - a),

@@ -210,6 +210,23 @@ def test_space_marks_in_a_text_come_back():
         assert codec.decode(ids) == text
 
 
+def test_every_occurrence_of_a_word_has_its_own_dropout(llm, monkeypatch):
+    path, rate = public_tokenizers.path("piece_bpe_32k.model"), 0.3
+    rows = [(k, "international") for k in range(300)] + [(None, "international " * 40)]
+    got = piece_codec.encode_documents(llm.createDataFrame(rows, "doc_id bigint, text string"), path, rate=rate).collect()
+    assert len({tuple(r["ids"]) for r in got if r["doc_id"] is not None}) > 20
+    codec = piece_codec.PieceCodec(path)
+    (whole,) = [r["ids"] for r in got if r["doc_id"] is None]
+    starts = [k for k, i in enumerate(whole) if codec.raw[codec.raw_at[i]] == 32]
+    assert len({tuple(whole[a:b]) for a, b in zip(starts, starts[1:])}) > 10
+    # Merging every occurrence anew gives the same ids as looking up those that skip no merge.
+    text = "one international word, another one and an unbelievable \U0001f600 number of words\n" * 20
+    ids, _ = codec.encode([text, "", text], [5, 6, 7], 3, rate)
+    monkeypatch.setattr(codec, "_skipping", lambda codes, keys, rate: np.arange(len(codes)))
+    all_anew, _ = codec.encode([text, "", text], [5, 6, 7], 3, rate)
+    assert ids.tolist() == all_anew.tolist() and codec.decode(ids) == text + " " + text
+
+
 def test_language_held_out_accuracy(llm, odd_docs, no_docs):
     docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(docs)
