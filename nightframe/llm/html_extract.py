@@ -1,15 +1,15 @@
 """Main text of web pages: marked furniture goes by structure, unmarked by a host suffix array.
 
 A page is read as blocks of text. Blocks inside marked furniture (menus, forms,
-comments, ...) go at once. Blocks of an article or main element are content
-whatever else repeats them, for articles are copied too. All other blocks are
-undecided: their tokens form the page's token stream, and the suffix array of all
-streams of the host shows which of their runs recur on other pages. Covered runs
-are boilerplate; runs of the page's own stay.
+comments, ...) go at once. The tokens of all other blocks form the page's token
+stream, and the suffix array of all streams of the host shows which of their runs
+recur with different articles; a block that these cover nearly whole is boilerplate.
+Copies of an article count as one, so it is not its own boilerplate.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -22,8 +22,15 @@ from pyspark.sql import functions as F
 from nightframe.llm.words import hashed_words, mix
 from nightframe.session import cut_lineage
 
-#: Shortest repeated run in tokens; a shorter stream counts as one run.
+#: Shortest repeated run in tokens.
 RUN = 8
+#: Different articles of a host that a run of boilerplate is found with.
+ARTICLES = 4
+#: Hundredths of a block's tokens that repeats cover if the block is boilerplate.
+COVERED = 80
+#: Rows that may be broadcast; more are shuffled.
+BROADCAST_RUNS = 1_000_000
+BROADCAST_PAGES = 20_000
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -131,95 +138,112 @@ def page_blocks(page: str) -> list[tuple[str, bool]]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html) to (page_id, url, host, text, undecided).
-
-    ``text`` holds the certain blocks, an empty place for each undecided one;
-    ``undecided`` their texts.
-    """
+    """(page_id, url, html) to (page_id, url, host, blocks, certain)."""
     for batch in batches:
-        texts, open_blocks = [], []
-        for page in batch.column(2).to_pylist():
-            blocks = page_blocks(page or "")
-            texts.append([t if certain else "" for t, certain in blocks])
-            open_blocks.append([t for t, certain in blocks if not certain])
+        found = [page_blocks(page or "") for page in batch.column(2).to_pylist()]
         hosts = [(re.sub(r"^[a-z][a-z0-9+.-]*://", "", (u or "").lower()).split("/")[0]) for u in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string())),
-             pa.array(open_blocks, pa.list_(pa.string()))],
-            names=["page_id", "url", "host", "blocks", "undecided"])
+            [batch.column(0), batch.column(1), pa.array(hosts, pa.string()),
+             pa.array([[t for t, _ in blocks] for blocks in found], pa.list_(pa.string())),
+             pa.array([[c for _, c in blocks] for blocks in found], pa.list_(pa.bool_()))],
+            names=["page_id", "url", "host", "blocks", "certain"])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, host, undecided) to (host, run, stream, rid, pos): every suffix's first RUN tokens."""
+    """(rid, host, blocks, certain) to (run, rid, pos, first, body, n_body): every suffix's first RUN tokens.
+
+    ``run`` hashes the host along. ``first``: the page's first suffix with this
+    run. ``body``: the run begins in an article or main element or the page has
+    none; ``n_body`` counts these.
+    """
+    schema = pa.schema([("run", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32()), ("first", pa.bool_()),
+                        ("body", pa.bool_()), ("n_body", pa.int32())])
     for batch in batches:
-        out: list[tuple] = []
-        for rid, host, blocks in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        parts: list[list[np.ndarray]] = [[] for _ in schema]
+        for rid, host, blocks, certain in zip(*(batch.column(k).to_pylist() for k in range(4))):
             _, tokens = hashed_words(["\n".join(blocks)], lower=False)
-            if not len(tokens):
+            n = len(tokens) - RUN + 1
+            if n <= 0:
                 continue
-            size = min(RUN, len(tokens))
-            h = np.zeros(len(tokens) - size + 1, np.uint64)
-            for k in range(size):
-                h = mix(h * np.uint64(0xD6E8FEB86659FD93) + tokens[k : len(tokens) - size + 1 + k])
-            h = mix(h + np.uint64(size)).view(np.int64).tolist()
-            stream = int(mix(np.array([len(tokens)], np.uint64) + mix(tokens * np.uint64(3) + np.arange(len(tokens), dtype=np.uint64)).sum())[0].view(np.int64))
-            out += [(host, run, stream, rid, pos) for pos, run in enumerate(h)]
-        columns = list(zip(*out)) if out else [[]] * 5
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "run", "stream", "rid", "pos"])
+            h = np.full(n, int.from_bytes(hashlib.blake2b(host.encode(), digest_size=8).digest(), "little"), np.uint64)
+            for k in range(RUN):
+                h = mix(h * np.uint64(0xD6E8FEB86659FD93) + tokens[k : n + k])
+            body = np.repeat(np.array(certain, bool), [b.count(" ") + 1 for b in blocks])[:n]
+            if not body.any():
+                body = np.ones(n, bool)
+            first = np.zeros(n, bool)
+            first[np.unique(h, return_index=True)[1]] = True
+            for part, x in zip(parts, (h.view(np.int64), np.full(n, rid), np.arange(n), first, body, np.full(n, body.sum()))):
+                part.append(x)
+        columns = [pa.array(np.concatenate(x) if x else [], f.type) for x, f in zip(parts, schema)]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _own_blocks(blocks: list[str], starts: list[int]) -> list[str]:
+    """The blocks that are not nearly covered by repeated runs."""
+    edges = np.cumsum([0, *[b.count(" ") + 1 for b in blocks]])
+    covered = np.zeros(edges[-1] + 1, np.int64)
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, np.array(starts) + RUN, -1)
+    mask = np.cumsum(covered)[:-1] > 0
+    own = [t for t, a, b in zip(blocks, edges[:-1], edges[1:]) if 100 * mask[a:b].sum() < COVERED * (b - a)]
+    return own
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Put the runs of its own back into each page's undecided places."""
+    """(page_id, url, blocks, starts) to (page_id, url, text)."""
     for batch in batches:
-        texts = []
-        for blocks, undecided, starts in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-            rest = iter(undecided)
-            if starts:
-                words = [b.split() for b in undecided]
-                total = sum(map(len, words))
-                covered = np.zeros(total + 1, np.int64)
-                size = min(RUN, total)
-                for s in starts:
-                    covered[s] += 1
-                    covered[s + size] -= 1
-                mask = np.cumsum(covered)[:-1] > 0
-                edges = np.cumsum([0, *map(len, words)])
-                rest = iter([" ".join(w for w, c in zip(ws, mask[a:b]) if not c) for ws, a, b in zip(words, edges, edges[1:])])
-            filled = [b or next(rest) for b in blocks]
-            texts.append("\n".join(t for t in filled if t))
+        pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        texts = ["\n".join(_own_blocks(blocks, starts) if starts else blocks) for blocks, starts in pairs]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
+def _small(rows: DataFrame, limit: int) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text of every row of ``pages``; ``text`` is empty where there is none.
 
-    A null html is an empty page, a null url the host ''. Pages with one and the
-    same stream count as one, so a copied page is not its own boilerplate. A run
-    is boilerplate when another stream of its host holds it too; hosts and runs
-    are counted before anything is joined, so a hot host is split by its runs.
+    A null html is an empty page, a null url the host ''. A page's copies are the
+    number of pages that more than half of its body's runs are found on at least;
+    a run is boilerplate when the pages that hold it, each divided by its copies,
+    come to ``ARTICLES`` or more. Runs are counted before anything is joined.
     """
     source = pages.select(
         F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")
     )
     parsed = cut_lineage(
-        source.mapInArrow(_parse, "page_id bigint, url string, host string, blocks array<string>, undecided array<string>")
+        source.mapInArrow(_parse, "page_id bigint, url string, host string, blocks array<string>, certain array<boolean>")
         .withColumn("rid", F.monotonically_increasing_id()),
         "page-blocks",
     )
-    settled = parsed.filter(F.size("undecided") == 0).select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
-    open_pages = parsed.filter(F.size("undecided") > 0)
-    suffixes = open_pages.select("rid", "host", "undecided").mapInArrow(
-        _suffixes, "host string, run bigint, stream bigint, rid bigint, pos bigint"
+    suffixes = parsed.select("rid", "host", "blocks", "certain").mapInArrow(
+        _suffixes, "run bigint, rid bigint, pos int, first boolean, body boolean, n_body int"
+    )
+    counts = cut_lineage(
+        suffixes.filter("first").groupBy("run").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-runs"
+    )
+    found = suffixes.join(_small(counts, BROADCAST_RUNS), "run")
+    # The run at the middle of the body, the most repeated first; runs of one page are not listed.
+    middle = F.expr("try_element_at(sort_array(collect_list(CASE WHEN body THEN n END), false), int(max(n_body) DIV 2) + 1)")
+    weighed = cut_lineage(
+        found.groupBy("rid").agg(F.coalesce(middle, F.lit(1)).alias("copies"), F.collect_list(F.struct("run", "pos", "first", "n")).alias("runs"))
+        .select("rid", "copies", F.filter("runs", lambda x: x["n"] >= ARTICLES).alias("runs")).filter("size(runs) > 0"),
+        "weighed-runs",
+    )
+    each = weighed.select("rid", "copies", F.explode("runs").alias("x")).select("rid", "copies", "x.run", "x.pos", "x.first")
+    wide = cut_lineage(
+        each.filter("first").groupBy("run").agg(F.sum(1 / F.col("copies")).alias("articles"))
+        .filter(F.col("articles") > ARTICLES - 1e-6).select("run"),
+        "wide-runs",
     )
-    repeated = (
-        suffixes.groupBy("host", "run").agg(F.min("stream").alias("s"), F.max("stream").alias("t"))
-        .filter("s < t").select("host", "run")
+    starts = cut_lineage(
+        each.join(_small(wide, BROADCAST_RUNS), "run").groupBy(F.col("rid").alias("_rid")).agg(F.collect_list("pos").alias("starts")),
+        "boilerplate-starts",
     )
-    starts = suffixes.join(repeated, ["host", "run"]).groupBy("rid").agg(F.collect_list("pos").alias("starts"))
-    own = (
-        open_pages.join(starts, "rid", "left")
-        .select("page_id", "url", "blocks", "undecided", "starts")
+    return (
+        parsed.join(_small(starts, BROADCAST_PAGES), F.col("rid") == F.col("_rid"), "left")
+        .select("page_id", "url", "blocks", "starts")
         .mapInArrow(_assemble, "page_id bigint, url string, text string")
     )
-    return settled.unionByName(own)

@@ -74,6 +74,23 @@ def test_repeated_runs_of_a_host_go_and_own_runs_stay(llm):
     assert got[20] == got[21] == "a copied article of some ten words or even more stays"
 
 
+def prose(key, n):
+    return " ".join(f"word{key}x{j}" for j in range(n))
+
+
+def test_template_text_inside_articles_goes_and_copied_articles_stay(llm):
+    line = "subscribe now and read all our stories every single day"
+    page = lambda body, more="": f"<nav>menu</nav><article><p>{body}</p><p>{line}</p>{more}</article>"
+    rows = [(k, f"https://a.org/{k}", page(prose(k, 30))) for k in range(6)]
+    # Ten near copies of one article, with the line, and their notes; on b.org they are all there is.
+    for host, at in (("a", 100), ("b", 200)):
+        rows += [(at + k, f"https://{host}.org/c{k}", page(prose("same", 60), f"<p>{prose(f'note{k}', 5)}</p>")) for k in range(10)]
+    got = texts(llm, rows)
+    assert [got[k] for k in range(6)] == [prose(k, 30) for k in range(6)]
+    assert [got[100 + k] for k in range(10)] == [f"{prose('same', 60)}\n{prose(f'note{k}', 5)}" for k in range(10)]
+    assert [got[200 + k] for k in range(10)] == [f"{prose('same', 60)}\n{line}\n{prose(f'note{k}', 5)}" for k in range(10)]
+
+
 def test_pipeline_stages(llm, odd_docs):
     docs = odd_docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
