@@ -3,7 +3,8 @@
 A page is read as blocks of text. Blocks inside marked furniture (menus, forms,
 comments, ...) go at once. The tokens of all other blocks form the page's token
 stream, and the suffix array of all streams of the host shows which of their runs
-recur with different articles; a block that these cover nearly whole is boilerplate.
+recur on other pages. Neighbouring runs that recur with different articles join
+into long repeats; a block that one repeat covers nearly whole is boilerplate.
 Copies of an article count as one, so it is not its own boilerplate.
 """
 
@@ -26,7 +27,7 @@ from nightframe.session import cut_lineage
 RUN = 8
 #: Different articles of a host that a run of boilerplate is found with.
 ARTICLES = 4
-#: Hundredths of a block's tokens that repeats cover if the block is boilerplate.
+#: Hundredths of a block's tokens that one repeat covers if the block is boilerplate.
 COVERED = 80
 #: Rows that may be broadcast; more are shuffled.
 BROADCAST_RUNS = 1_000_000
@@ -180,13 +181,16 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _own_blocks(blocks: list[str], starts: list[int]) -> list[str]:
-    """The blocks that are not nearly covered by repeated runs."""
+    """The blocks that no repeat covers nearly whole; a repeat is made of neighbouring run starts."""
     edges = np.cumsum([0, *[b.count(" ") + 1 for b in blocks]])
-    covered = np.zeros(edges[-1] + 1, np.int64)
-    np.add.at(covered, starts, 1)
-    np.add.at(covered, np.array(starts) + RUN, -1)
-    mask = np.cumsum(covered)[:-1] > 0
-    own = [t for t, a, b in zip(blocks, edges[:-1], edges[1:]) if 100 * mask[a:b].sum() < COVERED * (b - a)]
+    at = np.unique(np.array(starts, np.int64))
+    cuts = np.flatnonzero(np.diff(at) > 1)
+    begins, ends = at[np.append(0, cuts + 1)], at[np.append(cuts, len(at) - 1)] + RUN
+    own = []
+    for block, a, b in zip(blocks, edges[:-1], edges[1:]):
+        covered = np.minimum(ends, b) - np.maximum(begins, a)
+        if 100 * covered.max() < COVERED * (b - a):
+            own.append(block)
     return own
 
 

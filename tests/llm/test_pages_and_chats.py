@@ -91,6 +91,19 @@ def test_template_text_inside_articles_goes_and_copied_articles_stay(llm):
     assert [got[200 + k] for k in range(10)] == [f"{prose('same', 60)}\n{line}\n{prose(f'note{k}', 5)}" for k in range(10)]
 
 
+def test_copied_and_quoted_bodies_without_article_stay(llm):
+    site = "<div>this site is made for all of its readers by nobody in particular</div>"
+    page = lambda head, body: f"<body><div>{head}</div><div id=content><p>{body}</p></div>{site}</body>"
+    quote = prose("quote", 12)
+    bodies = {k: prose(k, 40) for k in range(8)}
+    bodies |= {k: f"{prose(k, 20)} {quote} {prose(f'z{k}', 20)}" for k in range(8, 14)}  # a passage of six pages
+    bodies |= {k: prose("twice", 50) for k in range(14, 16)}
+    pool = [prose(f"pool{k}", 10) for k in range(12)]
+    bodies |= {16 + k: " ".join(pool[(k * j + k) % 12] for j in (1, 5, 7)) for k in range(12)}  # made of common sentences
+    got = texts(llm, [(k, f"https://a.org/{k}", page(f"day {k}", b)) for k, b in bodies.items()])
+    assert got == {k: f"day {k}\n{b}" for k, b in bodies.items()}
+
+
 def test_pipeline_stages(llm, odd_docs):
     docs = odd_docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
