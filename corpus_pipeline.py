@@ -55,8 +55,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is predicted with enough confidence."""
-    guess = language_id.predicted(docs, language_id.train(docs))
+    """Documents whose language is predicted with enough confidence; all with a letter if none can be learned."""
+    model = language_id.train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    guess = language_id.predicted(docs, model)
     return docs.withColumn("_guess", guess).filter("NOT _guess.rejected").select(docs.columns)
 
 

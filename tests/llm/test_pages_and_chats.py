@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -119,6 +120,13 @@ def test_pipeline_stages(llm, odd_docs):
     assert sorted(r["doc_id"] for r in docs.collect()) == [1, 10]
 
 
+def test_language_stage_without_labels_keeps_texts_with_letters(llm, odd_docs):
+    docs = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.language(llm, docs, SF)
+    want = [r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert sorted(map(str, want)) == sorted(str(r["doc_id"]) for r in got.collect()) and got.columns == docs.columns
+
+
 def test_pipeline_equals_its_stages_by_hand(llm):
     kept = corpus_pipeline.run(llm, SF).select("doc_id").distinct().collect()
     docs = llm.read.parquet(f"{SF}/documents.parquet")
