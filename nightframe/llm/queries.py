@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframe.llm import chat_format, exact_dedup, html_extract, language_id, ngram_join, packing, piece_codec
+from nightframe.llm import chat_format, exact_dedup, filter_audit, html_extract, language_id, ngram_join, packing, piece_codec
 from nightframe.llm import quality_classifier, quality_rules, token_counts
 from nightframe.session import use_utc
 
@@ -96,11 +96,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(docs, language_id.train(docs))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source under all orders of them."""
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_quality_rules, op2_ngram_jaccard_join, op3_chat_format, op4_packing, op5_exact_dedup, op6_html_extraction,
-        op7_token_counts, op8_quality_classifier, op9_piece_codec, op10_language_id,
+        op7_token_counts, op8_quality_classifier, op9_piece_codec, op10_language_id, op13_filter_audit,
     )
 }
 
@@ -148,4 +153,31 @@ WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.n > u.n AND v.l[1] = u.l[1] AND v.l[
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents),
 g AS (SELECT n, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM d JOIN g USING (n)""",
+    "op13_filter_audit": r"""
+WITH l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good,
+                  max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic
+           FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+              100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+              coalesce(min(d.doc_id) OVER (PARTITION BY t) < d.doc_id, false)] AS fails
+      FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM a, a b, a c, a d, a e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS col,
+             [ascii(filter_order[k]) - 64 for k in range(1, step)] AS before
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, s.col,
+             CAST(sum(CASE WHEN NOT g AND NOT fails[s.col] THEN n ELSE 0 END) AS BIGINT) AS kept,
+             CAST(sum(CASE WHEN NOT g AND fails[s.col] THEN n ELSE 0 END) AS BIGINT) AS removed,
+             CAST(sum(CASE WHEN g AND fails[s.col] THEN n ELSE 0 END) AS BIGINT) AS redundant,
+             CAST(sum(CASE WHEN fails[s.col] AND len(list_filter(fails, lambda y: y)) = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+             CAST(sum(CASE WHEN NOT g AND fails[s.col] THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+             CAST(sum(CASE WHEN NOT g AND fails[s.col] THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+      FROM (SELECT *, len(list_filter(before, lambda b: fails[b])) > 0 AS g FROM m, s) s GROUP BY ALL)
+SELECT * EXCLUDE (col), CAST(sum(removed) OVER (PARTITION BY part, col) AS BIGINT) AS shapley FROM r""",
 }
