@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframe.llm import chat_format, exact_dedup, filter_audit, html_extract, language_id, ngram_join, packing, piece_codec
+from nightframe.llm import chat_format, exact_dedup, filter_audit, hard_negatives, html_extract, language_id, ngram_join, packing, piece_codec
 from nightframe.llm import quality_classifier, quality_rules, token_counts
 from nightframe.session import use_utc
 
@@ -96,6 +96,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(docs, language_id.train(docs))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector and its nearest vectors of the same label."""
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from each source under all orders of them."""
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -105,7 +110,8 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_quality_rules, op2_ngram_jaccard_join, op3_chat_format, op4_packing, op5_exact_dedup, op6_html_extraction,
-        op7_token_counts, op8_quality_classifier, op9_piece_codec, op10_language_id, op13_filter_audit,
+        op7_token_counts, op8_quality_classifier, op9_piece_codec, op10_language_id, op12_hard_negatives,
+        op13_filter_audit,
     )
 }
 
@@ -153,6 +159,24 @@ WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.n > u.n AND v.l[1] = u.l[1] AND v.l[
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents),
 g AS (SELECT n, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM d JOIN g USING (n)""",
+    "op12_hard_negatives": r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, row_number() OVER () AS rid,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.rid, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+             CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 50 = 0),
+p AS (SELECT rid, anchor_id, id AS positive_id, score AS positive_score,
+             row_number() OVER (PARTITION BY rid ORDER BY score DESC, id) AS n
+      FROM s WHERE same QUALIFY n <= 5),
+h AS (SELECT p.anchor_id, positive_id, s.id AS negative_id, positive_score, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY p.rid, n ORDER BY s.score DESC, s.id) AS INT) AS rank
+      FROM p JOIN s ON s.rid = p.rid AND NOT s.same
+      WHERE 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT * FROM h WHERE rank <= 3""",
     "op13_filter_audit": r"""
 WITH l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good,
                   max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic
