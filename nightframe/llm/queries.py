@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframe.llm import chat_format, exact_dedup, filter_audit, hard_negatives, html_extract, language_id, ngram_join, packing, piece_codec
-from nightframe.llm import quality_classifier, quality_rules, token_counts
+from nightframe.llm import chat_format, exact_dedup, filter_audit, hard_negatives, html_extract, language_id, lm_scoring, ngram_join, packing
+from nightframe.llm import piece_codec, quality_classifier, quality_rules, token_counts
 from nightframe.session import use_utc
 
 #: Rows handed to Python at a time: texts can be long.
@@ -96,6 +96,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(docs, language_id.train(docs))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the hashed maximum-entropy model, and under add-one counts."""
+    return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth vector and its nearest vectors of the same label."""
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
@@ -110,7 +115,7 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_quality_rules, op2_ngram_jaccard_join, op3_chat_format, op4_packing, op5_exact_dedup, op6_html_extraction,
-        op7_token_counts, op8_quality_classifier, op9_piece_codec, op10_language_id, op12_hard_negatives,
+        op7_token_counts, op8_quality_classifier, op9_piece_codec, op10_language_id, op11_lm_scoring, op12_hard_negatives,
         op13_filter_audit,
     )
 }
