@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from nightframe.operators.ordered import (
     with_neighbours,
     with_position,
 )
-from nightframe.operators.scan import scan
+from nightframe.operators.scan import Jump, scan
 from nightframe.operators.windows import index_range
 from nightframe.schema import BLOCK_ROWS, STAGES
 from nightframe.session import cut_lineage
@@ -131,18 +130,8 @@ def time_blocks(
 ) -> DataFrame:
     """Start of each row's time block: a new block begins when a row is more than
     ``block_seconds`` after the block's first row (DST-06)."""
-    gaps = with_neighbours(df, keys, [index], block_of(index), [ts_sec]).withColumn(
-        "_gap", F.col(ts_sec) - F.col(f"prev.{ts_sec}")
-    ).drop("prev")
-
-    def step(state, row):
-        ts = row[ts_sec]
-        fresh = np.isnan(state) | (ts - state > block_seconds)
-        new = np.where(fresh, ts, state)
-        return new, new, row["_gap"] > block_seconds
-
-    out = scan(gaps, keys, index, [ts_sec, "_gap"], step, "block_start")
-    return out.withColumn("block_start", F.col("block_start").cast("bigint")).drop("_gap")
+    out = scan(df, keys, index, Jump(ts_sec, block_seconds), "block_start")
+    return out.withColumn("block_start", F.col("block_start").cast("bigint"))
 
 
 def group_table(df: DataFrame, group: Sequence[str], ts_sec: str) -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +24,12 @@ from nightframe.operators.scoring import transition_penalties
 from nightframe.schema import BLOCK_ROWS, CLASSES
 
 
-def _log_probs(rows: list, n: int) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(r) for r in rows], dtype=np.int64)
-    out = np.zeros((len(rows), int(lengths.max()) if len(rows) else 0, n))
-    for b, items in enumerate(rows):
-        out[b, : lengths[b]] = np.log(
-            np.clip(np.array([list(item["p"]) for item in items], dtype=float), 1e-12, 1.0)
-        )
+def _log_probs(rows: pa.Array, probs: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    lengths = pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(int)
+    live = np.arange(lengths.max(initial=0)) < lengths[:, None]
+    out = np.zeros((*live.shape, n))
+    values = pc.struct_field(rows.flatten(), probs).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    out[live] = np.log(np.clip(values.reshape(-1, n), 1e-12, 1.0))
     return out, lengths
 
 
@@ -63,15 +64,16 @@ def viterbi(
     output: str = "decoded",
     size: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add the best label path; ties go to the first label."""
+    """Add the best label path; ties go to the first label. A repeated row stays a row of its own."""
     keys = list(keys)
+    rest = [c for c in df.columns if c not in (*keys, index, probs)]
     n = len(labels)
     table = penalties or transition_penalties(labels)
     cost = np.array([[table[s, d] for d in labels] for s in labels], dtype=float)
     blocks = (
         df.withColumn(BLOCK, block_of(index, size))
         .groupBy(*keys, BLOCK)
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.col(probs).alias("p")))).alias("_rows"))
+        .agg(F.sort_array(F.collect_list(F.struct(index, probs, *rest))).alias("_rows"))
     )
     key_fields = [df.schema[k] for k in keys]
     block_field = T.StructField(BLOCK, T.LongType())
@@ -82,20 +84,22 @@ def viterbi(
         .select(*keys)
     )
 
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            logp, lengths = _log_probs(pdf["_rows"].tolist(), n)
-            entry = np.full((len(pdf), n), np.nan)
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logp, lengths = _log_probs(batch.column("_rows"), probs, n)
+            if not len(lengths):
+                continue
+            entry = np.full((len(lengths), n), np.nan)
             begin, _ = _forward(logp, lengths, cost, entry)
             matrix = []
             for i in range(n):
-                entry = np.full((len(pdf), n), -np.inf)
+                entry = np.full((len(lengths), n), -np.inf)
                 entry[:, i] = 0.0
                 matrix.append(_forward(logp, lengths, cost, entry)[0])
-            out = pdf[[*keys, BLOCK]].copy()
-            out["begin"] = list(begin)
-            out["matrix"] = list(np.stack(matrix, axis=1).reshape(len(pdf), n * n))
-            yield out
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in (*keys, BLOCK)], pa.array(list(begin)),
+                 pa.array(list(np.stack(matrix, axis=1).reshape(len(lengths), n * n)))],
+                names=[*keys, BLOCK, "begin", "matrix"])
 
     floats = T.ArrayType(T.DoubleType())
     summary = T.StructType(
@@ -119,41 +123,45 @@ def viterbi(
     link = T.StructType([*key_fields, block_field, T.StructField("_in", floats), T.StructField("_end", T.IntegerType())])
     links = (
         blocks.join(long_keys, keys, "left_semi")
-        .mapInPandas(summarise, summary)
+        .mapInArrow(summarise, summary)
         .groupBy(*keys)
         .applyInPandas(chain, link)
     )
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = pdf["_rows"].tolist()
-            logp, lengths = _log_probs(rows, n)
-            start = np.array([[np.nan] * n if v is None else list(v) for v in pdf["_in"]], dtype=float)
-            scores, back = _forward(logp, lengths, cost, start.reshape(len(rows), n))
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("_rows")
+            logp, lengths = _log_probs(rows, probs, n)
+            if not len(lengths):
+                continue
+            start = np.array([[np.nan] * n if v is None else v for v in batch.column("_in").to_pylist()], dtype=float)
+            scores, back = _forward(logp, lengths, cost, start.reshape(len(lengths), n))
             best = np.argmax(scores, axis=1)
-            state = np.where(pdf["_end"].isna(), best, pdf["_end"].fillna(0)).astype(int)
+            end = batch.column("_end")
+            state = np.where(end.is_null().to_numpy(zero_copy_only=False), best, end.fill_null(0).to_numpy(zero_copy_only=False)).astype(int)
             path = np.zeros(logp.shape[:2], dtype=int)
-            here = np.arange(len(rows))
+            here = np.arange(len(lengths))
             for t in range(logp.shape[1] - 1, -1, -1):
                 live = lengths > t
                 path[:, t] = np.where(live, state, 0)
                 state = np.where(live, back[here, t, state], state)
-            out = pdf[keys].copy()
-            out["_i"] = [[item["i"] for item in r] for r in rows]
-            out["_o"] = [[labels[s] for s in path[b, : lengths[b]]] for b in range(len(rows))]
-            yield out
+            live = np.arange(path.shape[1]) < lengths[:, None]
+            chosen = pa.array(list(labels), pa.string()).take(pa.array(path[live]))
+            edges = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in keys], rows, pa.ListArray.from_arrays(edges, chosen)], names=[*keys, "_rows", "_o"])
 
     result = T.StructType(
         [
             *key_fields,
-            T.StructField("_i", T.ArrayType(df.schema[index].dataType)),
+            T.StructField("_rows", blocks.schema["_rows"].dataType),
             T.StructField("_o", T.ArrayType(T.StringType())),
         ]
     )
-    decoded = (
+    return (
         blocks.join(links, [*keys, BLOCK], "left")
-        .mapInPandas(decode, result)
-        .select(*keys, F.explode(F.arrays_zip("_i", "_o")).alias("_z"))
-        .select(*keys, F.col("_z._i").alias(index), F.col("_z._o").alias(output))
+        .select(*keys, "_rows", "_in", "_end")
+        .mapInArrow(decode, result)
+        .select(*keys, F.explode(F.arrays_zip("_rows", "_o")).alias("_z"))
+        .select(*[F.col(c) if c in keys else F.col(f"_z._rows.{c}").alias(c) for c in df.columns], F.col("_z._o").alias(output))
     )
-    return df.join(decoded, [*keys, index])

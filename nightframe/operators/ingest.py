@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightframe.operators.ordered import block_of, with_neighbours, with_position
-from nightframe.operators.scan import scan
-from nightframe.schema import BLOCK_ROWS, RECORDING_TIMEOUT_HOURS
+from nightframe.operators.ordered import with_position
+from nightframe.operators.scan import Jump, scan
+from nightframe.schema import RECORDING_TIMEOUT_HOURS
 
 # --- fixed values -----------------------------------------------------------
 EPOCH_RETENTION_DAYS, PREDICTION_RETENTION_DAYS = 90, 180
@@ -73,19 +72,9 @@ def recording_sessions(
     keys = list(keys)
     cap = cap_hours * 3600
     placed = with_position(events, keys, [sec, *ids], F.floor(F.col(sec) / 3600), "_pos")
-    seq = with_neighbours(placed, keys, ["_pos"], block_of("_pos"), [sec], dense=BLOCK_ROWS)
-    end_flag = F.col(closes).cast("double") if closes else F.lit(0.0)
-    rows = seq.withColumns({"_gap": F.col(sec) - F.col(f"prev.{sec}"), "_close": end_flag}).drop("prev")
-
-    def step(state, row):
-        now = row[sec]
-        fresh = np.isnan(state) | (now - state > cap)
-        start = np.where(fresh, now, state)
-        closed = row["_close"] > 0
-        return np.where(closed, np.nan, start), start, closed | (row["_gap"] > cap)
-
-    out = scan(rows, keys, "_pos", [sec, "_gap", "_close"], step, "recording_start")
-    return out.withColumn("recording_start", F.col("recording_start").cast("bigint")).drop("_pos", "_gap", "_close")
+    rows = placed.withColumn("_close", F.col(closes).cast("double") if closes else F.lit(0.0))
+    out = scan(rows, keys, "_pos", Jump(sec, cap, "_close"), "recording_start")
+    return out.withColumn("recording_start", F.col("recording_start").cast("bigint")).drop("_pos", "_close")
 
 
 def retained(df: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:

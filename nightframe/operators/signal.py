@@ -29,7 +29,7 @@ from nightframe.operators.ordered import (
     with_halo,
     with_neighbours,
 )
-from nightframe.operators.scan import scan
+from nightframe.operators.scan import Gate, Slew, Smooth, scan
 from nightframe.schema import BLOCK_ROWS
 from nightframe.session import cut_lineage
 
@@ -340,24 +340,12 @@ def rolling_median(df: DataFrame, keys: Sequence[str], value: str, out: str, wid
 
 def slew_limit(df: DataFrame, keys: Sequence[str], value: str, out: str, limit: float = HR_JUMP, index: str = "epoch_index") -> DataFrame:
     """Cap each change against the capped predecessor, reset on null (SIG-12)."""
-    def step(state, row):
-        x = row[value]
-        capped = np.where(np.isnan(state), x, np.clip(x, state - limit, state + limit))
-        new = np.where(np.isnan(x), np.nan, capped)
-        return new, new, np.isnan(x)
-
-    return scan(df, keys, index, [value], step, out, bounds=value)
+    return scan(df, keys, index, Slew(value, limit), out)
 
 
 def ewma(df: DataFrame, keys: Sequence[str], value: str, out: str, alpha: float = HR_ALPHA, index: str = "epoch_index") -> DataFrame:
     """Exponential smoothing, reset on null (SIG-13)."""
-    def step(state, row):
-        x = row[value]
-        new = np.where(np.isnan(state), x, alpha * x + (1.0 - alpha) * state)
-        new = np.where(np.isnan(x), np.nan, new)
-        return new, new, np.isnan(x)
-
-    return scan(df, keys, index, [value], step, out, bounds=value)
+    return scan(df, keys, index, Smooth(value, alpha), out)
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], value: str, out: str, width: int, causal: bool = False, index: str = "epoch_index") -> DataFrame:
@@ -548,18 +536,7 @@ def fuse_rates(df: DataFrame, tolerance: float = RR_AGREE_TOL) -> DataFrame:
 
 def gate_rates(df: DataFrame, keys: Sequence[str], rate: str = "rr_fused", conf: str = "rr_confidence", out: str = "rr", index: str = "epoch_index") -> DataFrame:
     """Accepted rate per epoch, blended with the previous one at low confidence (SIG-22)."""
-    low, high = RR_RANGE
-
-    def step(state, row):
-        r, c = row[rate], row[conf]
-        prev = np.nan_to_num(state, nan=0.0)
-        weak = c < RR_CONF_MIN
-        blended = np.where(weak & (prev > 0), RR_ALPHA * r + (1 - RR_ALPHA) * prev, r)
-        usable = (r > 0) & ~(weak & ((c <= 0) | (prev <= 0)))
-        accepted = np.where(usable & (blended >= low) & (blended <= high), blended, np.nan)
-        return accepted, accepted, (r <= 0) | ~weak | (c <= 0)
-
-    return scan(df, keys, index, [rate, conf], step, out)
+    return scan(df, keys, index, Gate(rate, conf, RR_CONF_MIN, RR_ALPHA, *RR_RANGE), out)
 
 
 def rate_spread(df: DataFrame, keys: Sequence[str], n: int, fs: float, seconds: int = 10, band: tuple[float, float] = RR_BAND_HZ, pos: str = "n", value: str = "value") -> DataFrame:

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightframe.operators import decoding, ordered
-from nightframe.operators.scan import scan
+from nightframe.operators.scan import Gate, Jump, Slew, Smooth, scan
 from nightframe.operators.scoring import transition_penalties
+from nightframe.operators.signal import RR_ALPHA, RR_CONF_MIN, RR_RANGE
 from nightframe.schema import CLASSES
 
 
@@ -93,28 +94,79 @@ def capped(values, limit):
     return out
 
 
-@pytest.mark.parametrize("size", [4, 9, 4096])
+def values(rng, n, nulls):
+    xs = rng.uniform(30, 220, n)
+    if nulls:
+        xs[rng.integers(0, n, nulls)] = np.nan
+    return xs
+
+
+def gated(rates, confs):
+    prev, out = None, []
+    for r, c in zip(rates, confs):
+        weak = c < RR_CONF_MIN
+        x = RR_ALPHA * r + (1 - RR_ALPHA) * prev if weak and prev else r
+        prev = x if r > 0 and not (weak and (c <= 0 or not prev)) and RR_RANGE[0] <= x <= RR_RANGE[1] else None
+        out.append(prev)
+    return out
+
+
+def started(times, closed, span):
+    start, out = None, []
+    for t, c in zip(times, closed):
+        start = t if start is None or t - start > span else start
+        out.append(start)
+        start = None if c else start
+    return out
+
+
+@pytest.mark.parametrize("size", [4, 9, 25, 4096])
 def test_scan_in_blocks_equals_sequential(spark, size):
+    """Keys with and without resets, over one to many blocks."""
     rng = np.random.default_rng(11)
-    data, want = [], {}
-    for key in ("a", "b", "c"):
-        xs = rng.uniform(30, 220, 50)
-        if key != "c":
-            xs[rng.integers(0, 50, 6)] = np.nan
-        want[key] = capped(xs, 15)
-        data += [(key, i, None if np.isnan(x) else float(x)) for i, x in enumerate(xs)]
-
-    def step(state, row):
-        x = row["v"]
-        new = np.where(np.isnan(state), x, np.clip(x, state - 15, state + 15))
-        new = np.where(np.isnan(x), np.nan, new)
-        return new, new, np.isnan(x)
-
-    out = scan(frame(spark, data), ["k"], "i", ["v"], step, "y", probes=(-1e6, 1e6), size=size)
-    got = {(r.k, r.i): r.y for r in out.collect()}
-    for key, ys in want.items():
-        for i, y in enumerate(ys):
-            assert got[key, i] == (None if y is None else pytest.approx(y))
+    for nulls, limit in ((0, 15), (0, 2), (6, 15)):
+        series = {key: values(rng, 50, nulls if key != "c" else 0) for key in "abc"}
+        data = [(k, i, None if np.isnan(x) else float(x)) for k, xs in series.items() for i, x in enumerate(xs)]
+        got = {(r.k, r.i): r.y for r in scan(frame(spark, data), ["k"], "i", Slew("v", limit), "y", size=size).collect()}
+        soft = {(r.k, r.i): r.y for r in scan(frame(spark, data), ["k"], "i", Smooth("v", 0.3), "y", size=size).collect()}
+        for key, xs in series.items():
+            smooth = None
+            for i, y in enumerate(capped(xs, limit)):
+                assert got[key, i] == (None if y is None else pytest.approx(y))
+                smooth = None if np.isnan(xs[i]) else xs[i] if smooth is None else 0.3 * xs[i] + 0.7 * smooth
+                assert soft[key, i] == (None if smooth is None else pytest.approx(smooth))
+
+
+@pytest.mark.parametrize("size", [4, 25, 4096])
+def test_gates_and_jumps_in_blocks_equal_sequential(spark, size):
+    rng = np.random.default_rng(12)
+    rates, confs = rng.uniform(2, 60, 60), np.where(rng.random(60) < 0.9, 0.2, 0.9)
+    rates[rng.integers(0, 60, 3)] = 0
+    rates[:30], confs[:30] = rng.uniform(8, 30, 30), 0.2  # only blending rows in the first blocks, after the first
+    confs[0], rates[0] = 0.9, 15
+    data = [("a", i, float(r), float(c)) for i, (r, c) in enumerate(zip(rates, confs))]
+    df = spark.createDataFrame(data, "k string, i int, r double, c double")
+    got = [r.y for r in scan(df, ["k"], "i", Gate("r", "c", RR_CONF_MIN, RR_ALPHA, *RR_RANGE), "y", size=size).orderBy("i").collect()]
+    assert got == [None if x is None else pytest.approx(x) for x in gated(rates, confs)]
+    times = np.cumsum(rng.integers(0, 9, 80))
+    for ends in (np.zeros(80, int), (rng.random(80) < 0.04).astype(int)):
+        rows = [("a", i, int(t), int(e)) for i, (t, e) in enumerate(zip(times, ends))]
+        df = spark.createDataFrame(rows, "k string, i int, t long, e int")
+        got = [r.y for r in scan(df, ["k"], "i", Jump("t", 30, "e"), "y", size=size).orderBy("i").collect()]
+        assert got == started(times, ends, 30)
+
+
+def test_repeated_rows_stay_single_rows(spark):
+    rows = [("a", 0, 50.0, "x"), ("a", 1, 90.0, "x"), ("a", 1, 90.0, "x"), ("a", 2, 60.0, None)]
+    df = spark.createDataFrame(rows, "k string, i int, v double, note string")
+    out = scan(df, ["k"], "i", Slew("v", 10.0), "y", size=2)
+    assert out.columns == ["k", "i", "v", "note", "y"]
+    assert [(r.i, r.y, r.note) for r in out.orderBy("i", "y").collect()] == [(0, 50.0, "x"), (1, 60.0, "x"), (1, 70.0, "x"), (2, 60.0, None)]
+    jump = scan(df.withColumn("s", F.col("i") * 10), ["k"], "i", Jump("s", 15), "y")
+    assert [r.y for r in jump.orderBy("i").collect()] == [0, 0, 0, 20]
+    probs = spark.createDataFrame([("a", i, [0.7, 0.1, 0.1, 0.1], n) for i, n in ((0, 1), (1, 1), (1, 1), (2, 5))], "k string, epoch_index int, probabilities array<double>, n int")
+    got = decoding.viterbi(probs, ["k"])
+    assert got.columns == ["k", "epoch_index", "probabilities", "n", "decoded"] and got.count() == 4
 
 
 def best_score(probs, path, cost):
