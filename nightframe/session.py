@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -60,26 +61,27 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-_SCOPES: list[list[str]] = []
+#: The open scopes of this thread (or task); other threads have their own.
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch_scopes", default=())
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique path below the scratch root."""
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    for made in _SCOPES:
+    for made in _SCOPES.get():
         made.append(path)
     return path
 
 
 @contextlib.contextmanager
 def scratch_scope() -> Iterator[list[str]]:
-    """Collect the scratch paths made inside, for :func:`remove_scratch` once nothing reads them."""
+    """Collect the scratch paths made inside by this thread, for :func:`remove_scratch` once nothing reads them."""
     made: list[str] = []
-    _SCOPES.append(made)
+    before = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield made
     finally:
-        _SCOPES.pop()
+        _SCOPES.reset(before)
 
 
 def remove_scratch(spark: SparkSession, paths: list[str]) -> None:

@@ -124,3 +124,30 @@ def test_windows_in_any_order_come_once(seed):
     assert sorted(e for part in found for e, _ in part) == want
     gaps = sum(i + 1 not in present for i in present)
     assert waiting <= 6 * gaps
+
+
+def test_scratch_of_other_threads_is_left_alone(spark):
+    """A scope collects what its own thread makes, also while another thread has one open."""
+    import threading
+
+    from nightframe.session import scratch_path, scratch_scope
+
+    inside, done = threading.Event(), threading.Event()
+    theirs = []
+
+    def other():
+        inside.wait(10)
+        with scratch_scope() as made:
+            theirs.append(scratch_path(spark, "other"))
+            assert made == theirs
+        done.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with scratch_scope() as mine:
+        own = scratch_path(spark, "own")
+        inside.set()
+        done.wait(10)
+        later = scratch_path(spark, "own")
+    thread.join()
+    assert mine == [own, later] and theirs
