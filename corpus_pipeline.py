@@ -7,6 +7,7 @@ and returns a DataFrame, which is written and read again as the next one's
 
 from __future__ import annotations
 
+import contextvars
 import functools
 from collections.abc import Callable
 
@@ -21,7 +22,8 @@ from nightframe.session import cut_lineage, remove_scratch, scratch_scope
 BROADCAST_IDS = 1_000_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_spent: list[str] = []
+#: Intermediates of the stage that this thread ran last.
+_SPENT: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("spent", default=())
 
 
 def _stage(fn: Stage) -> Stage:
@@ -29,10 +31,10 @@ def _stage(fn: Stage) -> Stage:
 
     @functools.wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove_scratch(prepared(spark), _spent)
+        remove_scratch(prepared(spark), list(_SPENT.get()))
         with scratch_scope() as made:
             out = fn(spark, docs, sf_dir)
-        _spent.extend(made)
+        _SPENT.set(tuple(made))
         return out
 
     return run_stage
