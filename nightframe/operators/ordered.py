@@ -8,6 +8,7 @@ task. The helpers here cut every key into bounded blocks, work inside
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,6 +191,37 @@ def value_block(value: Column, per_octave: int = 256) -> Column:
     return F.coalesce(block.cast("bigint"), F.lit(0))
 
 
+#: Bands of a power of two at the first and second level of a quantile's search.
+FIRST_BANDS, SECOND_BANDS = 1 << 12, 1 << 20
+
+
+def value_bands(value: Column) -> tuple[Column, Column]:
+    """Two numbers that order values by the bits of a double, at any scale.
+
+    The first is exponent and 12 bits of the mantissa, the second the next 20
+    bits; at most 2^20 values agree in both. Scaling by powers of two is exact.
+    """
+    size = F.abs(value)
+    rough = F.floor(F.log2(size))
+    mantissa = size / F.pow(F.lit(2.0), rough)
+    exponent = rough + (mantissa >= 2).cast("bigint") - (mantissa < 1).cast("bigint")
+    scaled = (size / F.pow(F.lit(2.0), exponent) - 1) * FIRST_BANDS
+    first = (exponent + 1075) * FIRST_BANDS + F.floor(scaled) + 1
+    second = F.floor((scaled - F.floor(scaled)) * SECOND_BANDS)
+    sign = F.signum(value).cast("bigint")
+    endless = size == float("inf")
+    first = F.when(value == 0, 0).when(endless, 1 << 40).otherwise(first) * sign
+    second = F.when((value == 0) | endless, 0).otherwise(second) * sign
+    return first, second
+
+
+def _matched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys match."""
+    there = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(there, same).drop(*[f"_r_{c}" for c in on])
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -197,53 +229,58 @@ def exact_quantiles(
     quantiles: Mapping[str, float],
     method: str = "linear",
 ) -> DataFrame:
-    """Exact quantiles per key without gathering a key's values in one task.
-
-    Equal values are counted first; ranks then come from running counts over
-    value blocks. ``method`` is ``linear`` (numpy's default) or ``lower_rank``
-    (the value at sorted position ``int(q * (n - 1))``).
+    """Exact quantiles per key by radix selection, without sorting a key's values.
+
+    Values are counted per band of their leading bits; only the bands that hold
+    a wanted rank are looked into again, by the next bits, and only the values
+    of the narrow bands found there are ranked. Every ordered group is bounded
+    by the number of bands, whatever the values are. ``method`` is ``linear``
+    (numpy's default) or ``lower_rank`` (the value at sorted position
+    ``int(q * (n - 1))``). A key without known values has null quantiles.
     """
     keys = list(keys)
-    # unknown values form a group that counts nothing; a filter or a nullable
-    # block would be pushed below and evaluate the value again for every row
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    counts = (
-        df.select(*keys, v.alias("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count("_v").alias("_c"))
-        .withColumn(BLOCK, value_block(F.col("_v")))
-    )
-    per_block = counts.groupBy(*keys, BLOCK).agg(F.sum("_c").alias("_bc"))
+    first, second = value_bands(F.col("_v"))
+    rows = df.select(*keys, v.alias("_v"))
+    counts = rows.groupBy(*keys, first.alias("_b1")).agg(F.count("_v").alias("_c"))
     scope = Window.partitionBy(*keys)
-    before = scope.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select(
-        *keys, BLOCK,
-        F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_start"),
-        F.sum("_bc").over(scope).alias("_n"),
-    )
-    inside = (
-        Window.partitionBy(*keys, BLOCK)
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = scope.orderBy("_b1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exact = {name: F.lit(float(q)) * (F.col("_n") - 1) for name, q in quantiles.items()}
+    # places of the values wanted, from 0
+    places = [F.floor(x) for x in exact.values()] + ([F.ceil(x) for x in exact.values()] if method == "linear" else [])
+    placed = counts.select(
+        *keys, "_b1", "_c", F.sum("_c").over(upto).alias("_upto"), F.sum("_c").over(scope).alias("_n")
+    ).withColumn("_all", F.array_distinct(F.array(*places)))
+
+    def inside(frame: DataFrame, below: Column) -> DataFrame:
+        """Bands that hold a place, with the places they hold counted from their first value."""
+        start = F.col("_upto") - F.col("_c")
+        held = F.filter("_all", lambda x: (x >= start) & (x < F.col("_upto")))
+        return frame.withColumns({"_held": F.transform(held, lambda x: x - start), "_below": below + start}).filter(F.size("_held") > 0)
+
+    chosen = inside(placed, F.lit(0).cast("bigint")).select(*keys, "_b1", "_held", "_below")
+    narrow = _matched(rows.withColumns({"_b1": first, "_b2": second}), chosen, [*keys, "_b1"])
+    values = narrow.groupBy(*keys, "_b1", "_b2", "_v").agg(F.count("_v").alias("_c"), F.first("_held").alias("_all"), F.first("_below").alias("_below"))
+    bands = values.groupBy(*keys, "_b1", "_b2").agg(F.sum("_c").alias("_c"), F.first("_all").alias("_all"), F.first("_below").alias("_base"))
+    along = Window.partitionBy(*keys, "_b1").orderBy("_b2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = inside(bands.withColumn("_upto", F.sum("_c").over(along)), F.col("_base")).select(*keys, "_b1", "_b2", "_held", F.col("_below").alias("_base"))
+    ranked = Window.partitionBy(*keys, "_b1", "_b2").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = inside(
+        _matched(values.drop("_all", "_below"), found.withColumnRenamed("_held", "_all"), [*keys, "_b1", "_b2"])
+        .withColumn("_upto", F.sum("_c").over(ranked)),
+        F.col("_base"),
+    ).select(*keys, "_v", F.explode(F.transform("_held", lambda x: x + F.col("_below"))).alias("_place"))
+    wanted = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_place", "_v"))).alias("_at"))  # a value per place
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    joined = totals.unionByName(wanted, allowMissingColumns=True).groupBy(*keys).agg(
+        F.max("_n").alias("_n"), F.first("_at", ignorenulls=True).alias("_at")
     )
-    ranked = (
-        counts.withColumn("_local", F.sum("_c").over(inside))
-        .join(offsets, [*keys, BLOCK])
-        .withColumn("_upto", F.col("_start") + F.col("_local"))
-    )
-    n_minus_1 = F.col("_n") - 1
-    aggs = []
-    for name, q in quantiles.items():
-        exact = F.lit(float(q)) * n_minus_1
-
-        def at(rank: Column) -> Column:
-            hit = (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
-            return F.max(F.when(hit, F.col("_v")))
-
-        low = at(F.floor(exact))
+    out = []
+    for name, x in exact.items():
+        low = F.try_element_at("_at", F.floor(x))
         if method == "linear":
-            high, weight = at(F.ceil(exact)), F.max(exact - F.floor(exact))
-            aggs.append((low + (high - low) * weight).alias(name))
+            high = F.try_element_at("_at", F.ceil(x))
+            out.append((low + (high - low) * (x - F.floor(x))).alias(name))
         else:
-            aggs.append(low.alias(name))
-    return ranked.groupBy(*keys).agg(*aggs)
+            out.append(low.alias(name))
+    return joined.select(*keys, *out)

@@ -189,15 +189,13 @@ def fir(df: DataFrame, keys: Sequence[str], kernel: Sequence[float], out: str, v
 
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Exact median and median absolute deviation per channel, and the standard
-    deviation that replaces a MAD of 0 (SIG-06).
-
-    The medians, one row per channel, are stored between the two passes."""
+    deviation that replaces a MAD of 0 (SIG-06)."""
     keys = list(keys)
-    med = cut_lineage(exact_quantiles(df, keys, value, {"median": 0.5}), "medians")
+    med = exact_quantiles(df, keys, value, {"median": 0.5})
     away = df.select(*keys, value).join(med, keys).withColumn("_away", F.abs(F.col(value) - F.col("median")))
     mad = exact_quantiles(away, keys, "_away", {"mad": 0.5})
-    std = away.groupBy(*keys).agg(F.stddev_pop(value).alias("std"), F.max("median").alias("median"))
-    return std.join(mad, keys).withColumn(
+    std = df.groupBy(*keys).agg(F.stddev_pop(value).alias("std"))
+    return std.join(med, keys).join(mad, keys).withColumn(
         "scale", F.when(F.col("mad") == 0, F.col("std")).otherwise(F.col("mad"))
     )
 

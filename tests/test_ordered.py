@@ -189,3 +189,30 @@ def test_viterbi_against_brute_force(spark, size):
     for k, probs in nights.items():
         best = max(best_score(probs, p, cost) for p in itertools.product(range(4), repeat=7))
         assert best_score(probs, got[k], cost) == pytest.approx(best)
+
+
+def test_quantiles_over_all_of_a_doubles_range(spark):
+    """Equal leading bits, both signs, zeros, the smallest and largest numbers; null keys and unknown values."""
+    rng = np.random.default_rng(3)
+    series = {
+        "dense": 1 + rng.integers(0, 4000, 3000) * 2.0**-52,
+        "octave": rng.uniform(1, 2, 3000),
+        "signs": np.concatenate([rng.normal(0, 1e-3, 500), np.zeros(50), -rng.exponential(1e9, 500)]),
+        "scales": np.concatenate([10.0 ** rng.uniform(-320, 308, 400), [5e-324, 1.7976931348623157e308, 2.0**-1022]]),
+        "powers": 2.0 ** rng.integers(-60, 60, 200),
+        "one": np.array([7.5]),
+        None: rng.normal(0, 1, 11),
+    }
+    rows = [(k, float(x)) for k, xs in series.items() for x in xs] + [("dense", None), ("dense", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    wanted = {"low": 0.0, "q1": 0.25, "mid": 0.5, "p99": 0.99, "top": 1.0}
+    got = {r["k"]: r for r in ordered.exact_quantiles(df, ["k"], "v", wanted).collect()}
+    assert set(got) == {*series, "none"} and all(got["none"][name] is None for name in wanted)
+    for k, xs in series.items():
+        for name, q in wanted.items():
+            s = np.sort(xs)
+            a, b = s[int(np.floor(q * (len(s) - 1)))], s[int(np.ceil(q * (len(s) - 1)))]
+            assert got[k][name] == pytest.approx(a + (b - a) * (q * (len(s) - 1) % 1), rel=1e-12, abs=0), (k, name)
+    lower = ordered.exact_quantiles(df.filter("k = 'octave'"), [], "v", wanted, method="lower_rank").collect()[0]
+    s = np.sort(series["octave"])
+    assert [lower[n] for n in wanted] == [s[int(q * (len(s) - 1))] for q in wanted.values()]
