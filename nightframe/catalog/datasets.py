@@ -191,10 +191,13 @@ def split_intersection(spark, sf):
     f"WITH {RECS} SELECT recording_id, CASE WHEN n_epochs < 60 THEN 'own:' || recording_id ELSE 'timed' END AS grp FROM recs_v",
 )
 def untimed(spark, sf):
-    recs = recordings(spark, sf)
-    timed = recs.filter(F.col("n_epochs") >= 60)
-    lone = rel.orphans(recs, timed, ["recording_id"]).select("recording_id", F.concat(F.lit("own:"), "recording_id").alias("grp"))
-    return timed.select("recording_id", F.lit("timed").alias("grp")).unionByName(lone)
+    recs = recordings(spark, sf).select(
+        "recording_id", F.when(F.col("n_epochs") >= 60, F.col("recording_id") * 2000).alias("s"),
+        (F.col("recording_id") * 2000 + F.col("n_epochs") * 30).alias("e"),
+    )
+    groups = rel.overlap_groups(recs, "recording_id", "s", "e")
+    own = F.concat(F.lit("own:"), "recording_id")
+    return groups.select("recording_id", F.when(F.col("time_group").isNull(), own).otherwise("timed").alias("grp"))
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nightframe.operators.ordered import (
     block_of,
+    ranked_in_ranges,
     with_frame,
     with_neighbours,
     with_position,
@@ -74,11 +75,15 @@ def draw(seed: int, *parts: Column | str) -> Column:
 
 
 def seeded_position(df: DataFrame, keys: Sequence[str], seed: int, ids: Sequence[str], name: str = "pos") -> DataFrame:
-    """Random but repeatable position within each key, ranked in 4,096 hash blocks."""
+    """Random but repeatable position within each key, ranked in hash blocks.
+
+    There are as many blocks as the counted rows need, so a block of one key has
+    ``BLOCK_ROWS`` rows or so at any size.
+    """
     hashed = df.withColumn("_h", seeded(seed, *ids))
-    return with_position(
-        hashed, keys, ["_h", *ids], F.conv(F.substring("_h", 1, 3), 16, 10).cast("bigint"), name
-    ).drop("_h")
+    blocks = F.greatest(F.ceil(df.agg(F.count(F.lit(1))).scalar() / BLOCK_ROWS), F.lit(1))
+    spot = F.conv(F.substring("_h", 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+    return with_position(hashed, keys, ["_h", *ids], F.floor(spot * blocks), name).drop("_h")
 
 
 def balance_classes(
@@ -96,8 +101,8 @@ def balance_classes(
     ranked = seeded_position(df, [label], seed, ids, "_pos")
     if strategy == "undersample":
         return ranked.join(targets, label).filter(F.col("_pos") < F.col("_target")).drop("_pos", "_n", "_target")
-    draws = index_range(targets, "_target", "_j").select(
-        label, "_j", (draw(seed, label, "_j") % F.col("_n")).cast("int").alias("_pos")
+    draws = index_range(targets, "_target", "_j", spread=True).select(
+        label, "_j", (draw(seed, label, "_j") % F.col("_n")).alias("_pos")
     )
     return draws.join(ranked, [label, "_pos"]).drop("_pos").withColumnRenamed("_j", "draw")
 
@@ -164,11 +169,9 @@ def order_groups(
             F.col("dataset_id") if stratify == "dataset" else F.concat_ws(":", "dataset_id", bucket)
         )
         ranked = seeded_position(groups.withColumn("stratum", stratum), ["stratum"], seed, group, "_rank")
-        return with_position(ranked, [], ["_rank", "stratum"], block_of("_rank", 256), "order").drop("_rank")
+        return ranked_in_ranges(ranked, [], ["_rank", "stratum"], "order").drop("_rank")
     if by_time:
-        return with_position(
-            groups, [], ["start_sec", *group], F.floor(F.col("start_sec") / 86400), "order"
-        )
+        return ranked_in_ranges(groups, [], ["start_sec", *group], "order")
     return seeded_position(groups, [], seed, group, "order")
 
 
@@ -365,7 +368,7 @@ def weighted_resample(
     heavy = spot < F.col("_h") * factor
     pos = F.when(heavy, F.floor(spot / factor)).otherwise(F.floor(spot - F.col("_h") * factor))
     limit = F.when(heavy, F.col("_h") - 1).otherwise(F.col("_e") - 1)
-    draws = index_range(sizes, "_n", "_j").select(
-        F.col("_j").alias("draw"), heavy.alias(hard), F.least(pos, limit).cast("int").alias("_pos")
+    draws = index_range(sizes, "_n", "_j", spread=True).select(
+        F.col("_j").alias("draw"), heavy.alias(hard), F.least(pos, limit).alias("_pos")
     )
     return draws.join(ranked, [hard, "_pos"]).drop("_pos")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightframe.operators.evaluation import ratio
-from nightframe.operators.ordered import block_of, exact_quantiles, value_block, with_position
+from nightframe.operators.ordered import block_of, exact_quantiles, ranked_in_ranges, with_position
 from nightframe.schema import STAGES
 
 CLINICAL = ["tst_min", "se", "rem_pct", "n3_pct", "rem_latency_min", "waso_min"]
@@ -140,13 +140,13 @@ def metric_summary(nights: DataFrame, key: str, metric: str, by: Sequence[str] =
 def worst_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], fraction: float) -> DataFrame:
     """The first ``max(1, ceil(fraction * n))`` rows of each scope (TOP-04).
 
-    Rows are ranked inside value blocks so that one large scope is not sorted
-    by a single task.
+    Rows are ranked in ranges cut where they are, so neither a large scope nor
+    one value that most rows share is sorted by a single task.
     """
     by = list(by)
     keyed = df.withColumns({f"_k{i}": c for i, c in enumerate(order)})
     names = [f"_k{i}" for i in range(len(order))]
-    ranked = with_position(keyed, by, names, value_block(F.col("_k0").cast("double")), "_rank")
+    ranked = ranked_in_ranges(keyed, by, names, "_rank")
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     sized = ranked.join(sizes, by) if by else ranked.withColumn("_n", sizes.scalar())
     limit = F.greatest(F.ceil(F.col("_n") * F.lit(fraction)), F.lit(1))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightframe.schema import BLOCK_ROWS
+from nightframe.session import cut_lineage
 
 BLOCK = "_block"
 
@@ -89,7 +90,35 @@ def with_position(
     """Zero-based position of each row within its key (an exact row number)."""
     source = df.withColumn(BLOCK, _block_column(block))
     out = running_totals(source, keys, order, BLOCK, {name: F.lit(1)})
-    return out.withColumn(name, (F.col(name) - 1).cast("int")).drop(BLOCK)
+    return out.withColumn(name, (F.col(name) - 1).cast("bigint")).drop(BLOCK)
+
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows sorted by ``keys`` and ``order`` over all partitions, stored, with their partition in ``_block``
+    and a number that grows along the order in ``_id``.
+
+    The ranges are cut where the rows are (by quantiles of a sample), so neither
+    a hot key nor a crowded stretch of the order makes a large block; rows are
+    stored because their ranges must not be drawn twice.
+    """
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return cut_lineage(
+        dealt.withColumns({"_id": F.monotonically_increasing_id(), BLOCK: F.spark_partition_id().cast("bigint")}), "ranges"
+    )
+
+
+def ranked_in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
+    """Zero-based position of each row within its key, in ranges cut where the rows are.
+
+    Only one row per key and range is brought together. Ties in ``order`` get
+    different positions, in any order.
+    """
+    keys = list(keys)
+    rows = in_ranges(df, keys, order)
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(*keys, BLOCK).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    first = first.select(*keys, BLOCK, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return _matched(rows, first, [*keys, BLOCK]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_shift", BLOCK)
 
 
 def with_neighbours(
@@ -180,17 +209,6 @@ def with_frame(
     return out.filter(F.col(BLOCK) == F.col("_own")).drop(BLOCK, "_own")
 
 
-def value_block(value: Column, per_octave: int = 256) -> Column:
-    """A block number that grows with ``value``, at any scale.
-
-    Blocks are narrow value bands (``per_octave`` per power of two), so ranking
-    by value never sorts one key's values in a single task.
-    """
-    size = F.floor(F.log2(F.abs(value)) * per_octave)
-    block = F.when(value > 0, size + 10_000_000).when(value < 0, -size - 10_000_000)
-    return F.coalesce(block.cast("bigint"), F.lit(0))
-
-
 #: Bands of a power of two at the first and second level of a quantile's search.
 FIRST_BANDS, SECOND_BANDS = 1 << 12, 1 << 20
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightframe.operators.evaluation import is_finite
-from nightframe.operators.ordered import running_max, running_totals
+from nightframe.operators.ordered import BLOCK, in_ranges
 from nightframe.session import cut_lineage
 
 
@@ -104,35 +104,38 @@ def attach_truth(preds: DataFrame, truth: DataFrame, keys: Sequence[str], col: s
 
 
 def overlap_groups(
-    recs: DataFrame, key: str, start: str, end: str, block_seconds: int = 86400
+    recs: DataFrame, key: str, start: str, end: str
 ) -> DataFrame:
     """Number groups of transitively overlapping intervals (JON-07, DST-05).
 
     A new group starts where ``start`` exceeds the largest end seen so far;
-    touching intervals share a group. Rows are blocked by start time, so no
-    single task orders all recordings; the recording table is stored first because
-    several steps read it. Recordings without a start get their own
-    group each (SET-04): the group id is null and the key itself identifies it.
+    touching intervals share a group. The sweep goes over ranges of start times
+    that are cut where the recordings are, so one crowded evening is many
+    ranges; the largest end so far and the number of groups pass from range to
+    range. Recordings without a start get their own group each (SET-04): the
+    group id is null and the key itself identifies it.
     """
-    recs = cut_lineage(recs, "recordings")
-    timed = recs.filter(F.col(start).isNotNull()).withColumn(
-        "_blk", F.floor(F.col(start) / block_seconds)
+    columns = recs.columns
+    timed = in_ranges(recs.filter(F.col(start).isNotNull()), [], [start, key])
+    earlier = Window.partitionBy(BLOCK).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(BLOCK).orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy().orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    edges = timed.groupBy(BLOCK).agg(F.max(end).alias("_e")).select(BLOCK, F.max("_e").over(before).alias("_before"))
+    reach = F.greatest(F.max(end).over(earlier), F.col("_before"))
+    flagged = cut_lineage(
+        timed.join(edges, BLOCK)
+        .withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
+        .withColumn("_in", F.sum("_new").over(so_far)).drop("_before", "_new"),
+        "sweep",
     )
-    order = [start, key]
-    reach = running_max(timed, [], order, "_blk", {"_reach": F.col(end)})
-    inside = Window.partitionBy("_blk").orderBy(*order)
-    edges = timed.groupBy("_blk").agg(F.max(end).alias("_e"))
-    before = Window.partitionBy().orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.select("_blk", F.max("_e").over(before).alias("_before"))
-    seen = reach.withColumn("_lag", F.lag("_reach").over(inside)).join(edges, "_blk")
-    fresh = F.coalesce(F.col("_lag"), F.col("_before"))
-    flagged = seen.withColumn(
-        "_new", F.when(fresh.isNull() | (F.col(start) > fresh), 1).otherwise(0)
-    )
-    numbered = running_totals(flagged, [], order, "_blk", {"time_group": F.col("_new")})
-    grouped = numbered.select(*recs.columns, F.col("time_group").cast("bigint").alias("time_group"))
-    lone = recs.filter(F.col(start).isNull()).withColumn("time_group", F.lit(None).cast("bigint"))
-    return grouped.unionByName(lone)
+    groups = flagged.groupBy(BLOCK).agg(F.max("_in").alias("_g")).select(BLOCK, F.coalesce(F.sum("_g").over(before), F.lit(0)).alias("_g"))
+    grouped = flagged.join(groups, BLOCK).select(*columns, (F.col("_in") + F.col("_g")).cast("bigint").alias("time_group"))
+    return grouped.unionByName(untimed_groups(recs, start))
+
+
+def untimed_groups(recs: DataFrame, start: str) -> DataFrame:
+    """Recordings without a start, each a group of its own: the group id is null (SET-04)."""
+    return recs.filter(F.col(start).isNull()).withColumn("time_group", F.lit(None).cast("bigint"))
 
 
 def split_overlap(df: DataFrame, keys: Sequence[str], split: str = "split") -> DataFrame:

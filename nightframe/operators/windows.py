@@ -243,12 +243,17 @@ def device_epochs(samples: DataFrame, keys: Sequence[str], sec: str = "sec") ->
     )
 
 
-def index_range(df: DataFrame, length: str, out: str) -> DataFrame:
-    """One row per index ``0 .. length - 1``, exploded block by block."""
+def index_range(df: DataFrame, length: str, out: str, spread: bool = False) -> DataFrame:
+    """One row per index ``0 .. length - 1``, exploded block by block.
+
+    ``spread`` deals the blocks out first: for a few rows with long ranges.
+    """
     last = F.col(length) - 1
     blocks = df.filter(last >= 0).withColumn(
         "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / BLOCK_ROWS)))
     )
+    if spread:  # a number of partitions is named, since blocks look too small to be left apart
+        blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_b")
     low = F.col("_b") * BLOCK_ROWS
     return blocks.withColumn(
         out, F.explode(F.sequence(low, F.least(low + BLOCK_ROWS - 1, last.cast("bigint"))))

@@ -117,7 +117,7 @@ def test_overall_severity_is_at_least_medium_with_an_alert(spark):
 
 def test_time_overlap_groups(spark):
     df = spark.createDataFrame([("a", 0, 100), ("b", 50, 120), ("c", 500, 600), ("d", None, None)], "r string, s long, e long")
-    got = {r.r: r.time_group for r in rel.overlap_groups(df, "r", "s", "e", block_seconds=60).collect()}
+    got = {r.r: r.time_group for r in rel.overlap_groups(df, "r", "s", "e").collect()}
     assert got["a"] == got["b"] != got["c"] and got["d"] is None
 
 

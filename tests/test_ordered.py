@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nightframe.operators import decoding, ordered
+from nightframe.operators import decoding, ordered, relations
 from nightframe.operators.scan import Gate, Jump, Slew, Smooth, scan
 from nightframe.operators.scoring import transition_penalties
 from nightframe.operators.signal import RR_ALPHA, RR_CONF_MIN, RR_RANGE
@@ -216,3 +216,35 @@ def test_quantiles_over_all_of_a_doubles_range(spark):
     lower = ordered.exact_quantiles(df.filter("k = 'octave'"), [], "v", wanted, method="lower_rank").collect()[0]
     s = np.sort(series["octave"])
     assert [lower[n] for n in wanted] == [s[int(q * (len(s) - 1))] for q in wanted.values()]
+
+
+def test_positions_in_ranges_cut_where_the_rows_are(spark):
+    """One key and one value hold most rows; null keys; no keys at all."""
+    rng = np.random.default_rng(8)
+    rows = [("hot", 5.0 if rng.random() < 0.7 else float(rng.random()), i) for i in range(3000)]
+    rows += [(None, float(i % 7), i) for i in range(50)] + [("b", None, 1), ("b", 2.0, 2)]
+    df = spark.createDataFrame(rows, "k string, v double, id int").repartition(5)
+    got = ordered.ranked_in_ranges(df, ["k"], ["v", "id"]).collect()
+    for key in ("hot", None, "b"):
+        mine = sorted((r for r in got if r.k == key), key=lambda r: (r.v is not None, r.v or 0, r.id))
+        assert [r.pos for r in mine] == list(range(len(mine)))
+    whole = sorted(ordered.ranked_in_ranges(df, [], ["id", "k"]).collect(), key=lambda r: (r.id, r.k is not None, r.k or ""))
+    assert [r.pos for r in whole] == list(range(len(rows)))
+
+
+def test_overlap_sweep_of_a_crowded_evening(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    spans = [(i, int(s), int(s + d)) for i, (s, d) in enumerate(zip(rng.integers(0, 4000, 1500), rng.integers(0, 9, 1500)))]
+    spans += [(2000 + i, 4100, 4100 + i) for i in range(300)] + [(3000, 0, 2), (3001, 4405, 4406)]
+    df = spark.createDataFrame([*spans, (4000, None, 7)], "r int, s int, e int").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that there are several ranges
+    try:
+        got = {r.r: r.time_group for r in relations.overlap_groups(df, "r", "s", "e").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    reach, group, want = None, 0, {4000: None}
+    for r, s, e in sorted(spans, key=lambda x: (x[1], x[0])):
+        group += reach is None or s > reach
+        reach = e if reach is None else max(reach, e)
+        want[r] = group
+    assert got == want and group > 100
