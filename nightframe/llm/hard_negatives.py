@@ -115,15 +115,15 @@ def bounds(a: Block, b: Block, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def exact_scores(a: Block, b: Block, alive: np.ndarray) -> np.ndarray:
-    """Inner products of the pairs left (others -inf), exact: in the narrowest type that cannot round."""
-    limit = a.norm.max(initial=0) * b.norm.max(initial=0) * 1.01 + 1
-    kind = np.float32 if limit < 2**24 else np.float64 if limit < 2**53 else np.int64
+    """Inner products of the pairs left (others -inf), in a type that cannot round them (up to 2^53)."""
     if alive.mean() < SPARSE:
         i, j = np.nonzero(alive)
         out = np.full(alive.shape, -np.inf)
-        wide = np.float64 if kind is np.float32 else kind
-        out[i, j] = np.einsum("ij,ij->i", a.q[i].astype(wide), b.q[j].astype(wide))
+        out[i, j] = np.einsum("ij,ij->i", a.q[i].astype(np.float64), b.q[j].astype(np.float64))
         return out
+    # no sum of a part of the products is larger than the product of the lengths
+    limit = a.norm.max(initial=0) * b.norm.max(initial=0) * 1.01 + 1
+    kind = np.float32 if limit < 2**24 else np.float64
     scores = (a.q.astype(kind) @ b.q.astype(kind).T).astype(np.float64)
     scores[~alive] = -np.inf
     return scores
@@ -196,17 +196,17 @@ def positives_in(a: Block, b: Block, k: int) -> Best:
     return best
 
 
-def negatives_in(a: Block, b: Block, positive: np.ndarray, k: int) -> list[Best]:
-    """The best rows of other labels for each anchor and positive score (NaN: none), one ``Best`` per positive."""
+def negatives_in(a: Block, b: Block, positive: np.ndarray, some: np.ndarray, k: int) -> list[Best]:
+    """The best rows of other labels for each anchor and positive score (where ``some``), one ``Best`` per positive."""
     # 50 * p <= 100 * n <= 95 * p in whole numbers
-    low, high = np.ceil(positive / 2), np.floor(positive * 19 / 20)
+    low, high = np.where(some, -(-positive // 2), np.inf), np.where(some, 19 * positive // 20, -np.inf)
     found = [Best(a.size, k) for _ in range(positive.shape[1])]
     order = np.argsort(b.vec_id, kind="stable")
     for at in range(0, b.size, ROWS):
         part = b.take(order[at : at + ROWS])
-        asked = np.where(np.isnan(low), np.inf, np.maximum(low, np.stack([f.least for f in found], axis=1)))
+        asked = np.maximum(low, np.stack([f.least for f in found], axis=1))
         other = a.label[:, None] != part.label[None, :]
-        columns, alive = _refined(a, part, other, asked.min(1), np.nan_to_num(high, nan=-np.inf).max(1))
+        columns, alive = _refined(a, part, other, asked.min(1), high.max(1))
         if not len(columns):
             continue
         left = part.take(columns)
@@ -282,7 +282,7 @@ def hard_negatives(
     take no part. A shorter vector counts as filled up with zeros. Repeated rows
     are rows of their own: an anchor's copy can be its positive, and a repeated
     anchor gives its rows again. An empty table, or one without anchors, gives
-    no rows. Scores are exact while they fit 63 bits. Other columns are not read.
+    no rows. Scores are exact up to 2^53. Other columns are not read.
     """
     source = embeddings.select(
         F.col(vec_id).cast("bigint").alias("vec_id"), F.col(label).cast("bigint").alias("label"),
@@ -321,11 +321,11 @@ def hard_negatives(
         yield _rows(a, 0, positives_in(a, b, positives))
 
     def negative_rows(a: Block, targets: list[bytes], b: Block):
-        scores = np.full((a.size, positives), np.nan)
+        scores, some = np.zeros((a.size, positives), np.int64), np.zeros((a.size, positives), bool)
         for k, t in enumerate(targets):
             p = np.frombuffer(t, ">i8")
-            scores[k, : len(p)] = p
-        for p, best in enumerate(negatives_in(a, b, scores, negatives)):
+            scores[k, : len(p)], some[k, : len(p)] = p, True
+        for p, best in enumerate(negatives_in(a, b, scores, some, negatives)):
             yield _rows(a, p, best)
 
     def first(found: DataFrame, k: int) -> DataFrame:

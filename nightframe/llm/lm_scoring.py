@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightframe.llm.maxent import BITS, CELLS, HEAD, WAYS, MaxEnt, bias_of, tail_cell
-from nightframe.llm.words import hashed_words
+from nightframe.llm.words import hashed_words, mix
 from nightframe.session import cut_lineage
 
 #: Characters of the texts of a chunk; a longer text is a chunk of its own.
 CHUNK_CHARS = 1_000_000
 #: Words that a task holds before it merges them, and of a shard at most (expected).
-HELD_WORDS, SHARD_WORDS = 4_000_000, 4_000_000
+HELD_WORDS, SHARD_WORDS = 1_000_000, 1_000_000
 LEAST_SHARDS = 16
 #: Rounds of training; every training text takes part in one.
 ROUNDS = 3
@@ -40,6 +40,32 @@ RANGES = 16
 #: The hash of the end of a text.
 END = np.uint64(0xE2D0F7A9B3C81645)
 
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers by planes of bytes: what they have in common, mostly zeros, lies together and shrinks when written."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def packed_words(words: np.ndarray) -> bytes:
+    """Sorted hashes as their differences."""
+    return packed(np.diff(words, prepend=np.zeros(1, np.uint64)))
+
+
+def unpacked_words(data: bytes | pa.Buffer) -> np.ndarray:
+    return np.cumsum(unpacked(data).view(np.uint64), dtype=np.uint64)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[list]:
+    """The rows of a batch; binary values are views of it, so that no batch is copied as a whole."""
+    binary = [pa.types.is_binary(f.type) for f in batch.schema]
+    for k in range(batch.num_rows):
+        yield [(c[k].as_buffer() if c[k].is_valid else None) if b else c[k].as_py() for c, b in zip(batch.columns, binary)]
+
+
 CHUNK = "doc_ids array<bigint>, held array<boolean>, sizes binary, words binary, at binary, tokens bigint"
 VOCABULARY = "shard bigint, words binary, counts binary, n_tokens bigint, n_types bigint"
 _FOUND = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
@@ -62,8 +88,8 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct, at = np.unique(words, return_inverse=True)
         return pa.RecordBatch.from_arrays(
             [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-             pa.array([(sizes + 1).astype("<i8").tobytes()], pa.binary()), pa.array([distinct.astype("<u8").tobytes()], pa.binary()),
-             pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([len(at)], pa.int64())],
+             pa.array([(sizes + 1).astype("<i8").tobytes()], pa.binary()), pa.array([packed_words(distinct)], pa.binary()),
+             pa.array([at.astype("<u2" if len(distinct) <= 1 << 16 else "<u4").tobytes()], pa.binary()), pa.array([len(at)], pa.int64())],
             names=["doc_ids", "held", "sizes", "words", "at", "tokens"])
 
     ids, held, texts, chars = [], [], [], 0
@@ -95,8 +121,10 @@ class Chunk:
     at: np.ndarray
 
     @classmethod
-    def of(cls, sizes: bytes, words: bytes, at: bytes) -> Chunk:
-        return cls(np.frombuffer(sizes, "<i8"), np.frombuffer(words, "<u8"), np.frombuffer(at, "<u4"))
+    def of(cls, sizes: pa.Buffer, words: pa.Buffer, at: pa.Buffer) -> Chunk:
+        words = unpacked_words(words)
+        # places are stored in two bytes where they fit
+        return cls(np.frombuffer(sizes, "<i8"), words, np.frombuffer(at, "<u2" if len(words) <= 1 << 16 else "<u4"))
 
     @property
     def first(self) -> np.ndarray:
@@ -107,6 +135,11 @@ class Chunk:
         """Which tokens are of training texts."""
         return np.repeat(~np.array(held, bool), self.sizes)
 
+    def in_round(self, ids: list[int | None], k: int, rounds: int) -> np.ndarray:
+        """Which tokens are of the texts of a round: chosen by id, so that no layout of the table matters."""
+        known = np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)
+        return np.repeat(mix(known + np.uint64(1)) % np.uint64(rounds) == k, self.sizes)
+
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     words = np.concatenate([np.empty(0, np.uint64), *[w for w, _ in parts]])
@@ -151,32 +184,32 @@ def vocabulary(chunks: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts()
         for batch in batches:
-            for held, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            for held, *rest in _rows(batch):
                 chunk = Chunk.of(*rest)
                 n = np.bincount(chunk.at[chunk.learned(held)], minlength=len(chunk.words))
                 counts.add(chunk.words[n > 0], n[n > 0])
         words, n = counts.result()
         for shard, part in _by_shard(words, bits):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), pa.array([words[part].tobytes()]), pa.array([n[part].astype("<i8").tobytes()])],
+                [pa.array([shard], pa.int64()), pa.array([packed_words(words[part])]), pa.array([packed(n[part].astype("<i8"))])],
                 names=["shard", "words", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done():
             words, n = counts.result()
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), pa.array([words.tobytes()]), pa.array([n.astype("<i8").tobytes()]),
+                [pa.array([shard], pa.int64()), pa.array([packed_words(words)]), pa.array([packed(n.astype("<i8"))]),
                  pa.array([n.sum()], pa.int64()), pa.array([len(n)], pa.int64())],
                 names=["shard", "words", "counts", "n_tokens", "n_types"])
 
         shard, counts = None, _Counts()
         for batch in batches:
-            for k, words, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, words, n in _rows(batch):
                 if shard is not None and k != shard:
                     yield done()
                     counts = _Counts()
                 shard = k
-                counts.add(np.frombuffer(words, "<u8"), np.frombuffer(n, "<i8"))
+                counts.add(unpacked_words(words), unpacked(n))
         if shard is not None:
             yield done()
 
@@ -232,8 +265,8 @@ def _cells_of(chosen: Trained):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, once = np.zeros(CELLS), np.zeros(CELLS)
         for batch in batches:
-            for words, n in zip(*(c.to_pylist() for c in batch.columns)):
-                cells, counts = chosen.cells(np.frombuffer(words, "<u8")), np.frombuffer(n, "<i8")
+            for words, n in _rows(batch):
+                cells, counts = chosen.cells(unpacked_words(words)), unpacked(n)
                 tokens += np.bincount(cells, weights=counts, minlength=CELLS)
                 once += np.bincount(cells, weights=counts == 1, minlength=CELLS)
         yield pa.RecordBatch.from_arrays(
@@ -244,19 +277,19 @@ def _cells_of(chosen: Trained):
 
 def _most_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for words, n in zip(*(c.to_pylist() for c in batch.columns)):
-            words, n = np.frombuffer(words, "<u8"), np.frombuffer(n, "<i8")
+        for words, n in _rows(batch):
+            words, n = unpacked_words(words), unpacked(n)
             best = np.lexsort((words, -n))[:HEAD]
             yield pa.RecordBatch.from_arrays([pa.array(words[best].view(np.int64)), pa.array(n[best])], names=["word", "n"])
 
 
-def _gradients(batches: Iterator[pa.RecordBatch], trained: Trained) -> Iterator[pa.RecordBatch]:
+def _gradients(batches: Iterator[pa.RecordBatch], trained: Trained, k: int, rounds: int) -> Iterator[pa.RecordBatch]:
     observed = np.zeros(trained.model.weights.shape, np.float32)
     expected = np.zeros_like(observed)
     for batch in batches:
-        for held, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+        for ids, held, *rest in _rows(batch):
             chunk = Chunk.of(*rest)
-            use = np.flatnonzero(chunk.learned(held))
+            use = np.flatnonzero(chunk.learned(held) & chunk.in_round(ids, k, rounds))
             words, cells = chunk.words[chunk.at], trained.cells(chunk.words)[chunk.at]
             trained.model.add_gradient(words[use], chunk.first[use], cells[use], observed, expected)
     for k, (o, e) in enumerate(zip(np.array_split(observed, RANGES), np.array_split(expected, RANGES))):
@@ -266,7 +299,7 @@ def _gradients(batches: Iterator[pa.RecordBatch], trained: Trained) -> Iterator[
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}  # a few ranges of rows
     for batch in batches:
-        for k, x in zip(*(c.to_pylist() for c in batch.columns)):
+        for k, x in _rows(batch):
             x = np.frombuffer(x, "<f4").astype(np.float64)
             sums[k] = sums[k] + x if k in sums else x
     for k, x in sums.items():
@@ -293,10 +326,9 @@ def train(chunks: DataFrame, words: DataFrame, bits: int = BITS, rounds: int = R
     trained.model = MaxEnt(bias_of(mass), np.zeros((1 << bits, WAYS), np.float32))
     for k in range(rounds):
         now = spark.sparkContext.broadcast(trained)
-        tasks = max(1, math.ceil(tokens / rounds / TASK_TOKENS))
-        mine = chunks.filter(F.pmod("chunk", F.lit(rounds)) == k).select("held", "sizes", "words", "at")
-        gradient = mine.coalesce(max(tasks, spark.sparkContext.defaultParallelism)).mapInArrow(
-            lambda batches, now=now: _gradients(batches, now.value), "part bigint, sums binary"
+        tasks = max(math.ceil(tokens / rounds / TASK_TOKENS), spark.sparkContext.defaultParallelism)
+        gradient = chunks.select("doc_ids", "held", "sizes", "words", "at").coalesce(tasks).mapInArrow(
+            lambda batches, now=now, k=k: _gradients(batches, now.value, k, rounds), "part bigint, sums binary"
         )
         total = gradient.repartition(RANGES, "part").mapInArrow(_added, "part bigint, sums binary")
         parts = {r["part"]: np.frombuffer(r["sums"], "<f4").reshape(2, -1, WAYS) for r in total.collect()}  # as large as the model
@@ -311,31 +343,31 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A shard's words come first, then the chunks' requests: (chunk, shard, counts of the words asked for)."""
     shard, words, counts = None, np.empty(0, np.uint64), np.empty(0, np.int64)
     for batch in batches:
-        for k, kind, chunk, w, c in zip(*(x.to_pylist() for x in batch.columns)):
-            w = np.frombuffer(w, "<u8")
+        for k, kind, chunk, w, c in _rows(batch):
+            w = unpacked_words(w)
             if k != shard:
                 shard, words, counts = k, np.empty(0, np.uint64), np.empty(0, np.int64)
             if kind == 0:
-                words, counts = w, np.frombuffer(c, "<i8")
+                words, counts = w, unpacked(c)
                 continue
             found = np.zeros(len(w), np.int64)
             if len(words):
                 at = np.minimum(np.searchsorted(words, w), len(words) - 1)
                 found = np.where(words[at] == w, counts[at], 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([k], pa.int64()), pa.array([found.astype("<i8").tobytes()], pa.binary())],
+                [pa.array([chunk], pa.int64()), pa.array([k], pa.int64()), pa.array([packed(found.astype("<i8"))], pa.binary())],
                 names=["chunk", "shard", "counts"])
 
 
 def _requests(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, words in zip(*(c.to_pylist() for c in batch.columns)):
-                words = np.frombuffer(words, "<u8")
+            for chunk, words in _rows(batch):
+                words = unpacked_words(words)
                 parts = _by_shard(words, bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in parts], pa.int64()), pa.array([1] * len(parts), pa.int32()),
-                     pa.array([chunk] * len(parts), pa.int64()), pa.array([words[p].tobytes() for _, p in parts], pa.binary()),
+                     pa.array([chunk] * len(parts), pa.int64()), pa.array([packed_words(words[p]) for _, p in parts], pa.binary()),
                      pa.array([None] * len(parts), pa.binary())], schema=_FOUND)
 
     return run
@@ -355,11 +387,11 @@ def score(chunks: DataFrame, words: DataFrame, trained: Trained) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, counts = None, []
         for batch in batches:
-            for k, kind, _, found, ids, held, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, kind, _, found, ids, held, *rest in _rows(batch):
                 if k != chunk:
                     chunk, counts = k, []
                 if kind == 0:
-                    counts.append(np.frombuffer(found, "<i8"))
+                    counts.append(unpacked(found))
                     continue
                 texts = Chunk.of(*rest)
                 n_known, base, total = now.value.score(texts, np.concatenate(counts))

@@ -23,10 +23,12 @@ CELLS = WAYS**DEPTH
 HEAD = CELLS // 2
 #: Rows of hashed weights, as a power of two.
 BITS = 16
+#: No weight is larger, so that no score leaves the range of exp.
+LARGEST = 12.0
 #: Part of a scaling step that is taken, and counts added to both sides of it.
 STEP, PRIOR = 0.45, 4.0
 #: Tokens scored at once.
-BATCH = 1 << 17
+BATCH = 1 << 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _START = np.uint64(0x51ED270B76A3F5C1)
 
@@ -88,17 +90,16 @@ class MaxEnt:
     def rows(self, features: list[np.ndarray], path: np.ndarray) -> list[np.ndarray]:
         salt = mix(path.astype(np.uint64) + np.uint64(77))
         shift = np.uint64(64 - self.bits)
-        return [(((f ^ salt) * _ODD) >> shift).astype(np.uint16 if self.bits <= 16 else np.int32) for f in features]
+        return [(((f ^ salt) * _ODD) >> shift).astype(np.int64) for f in features]
 
     def choices(self, features: list[np.ndarray], path: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Probabilities of the next choice and the rows they come from."""
         rows = self.rows(features, path)
-        score = self.bias[path]
+        score = np.take(self.bias, path, axis=0)
         for row in rows:
-            score += self.weights[row]
-        score -= score.max(1, keepdims=True)
+            score += np.take(self.weights, row, axis=0)
         np.exp(score, out=score)
-        score /= score.sum(1, keepdims=True)
+        score *= (1 / (score @ np.ones(WAYS, np.float32)))[:, None]
         return score, rows
 
     def log10_paths(self, words: np.ndarray, first: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,13 +126,14 @@ class MaxEnt:
             for path, choice in digits(cells[part]):
                 p, rows = self.choices(few, path)
                 for row in rows:
-                    np.add.at(taken, row.astype(np.int64) * WAYS + choice, np.float32(1))
-                    order = np.argsort(row, kind="stable")
+                    np.add.at(taken, row * WAYS + choice, np.float32(1))
+                    order = np.argsort(row.astype(np.uint16) if self.bits <= 16 else row, kind="stable")
                     in_order = row[order]
-                    edges = np.flatnonzero(np.diff(in_order.astype(np.int32), prepend=-1))
-                    expected[in_order[edges]] += np.add.reduceat(p[order], edges, axis=0)
+                    edges = np.flatnonzero(np.diff(in_order, prepend=-1))
+                    used = in_order[edges]
+                    expected[used] = np.take(expected, used, axis=0) + np.add.reduceat(np.take(p, order, axis=0), edges, axis=0)
 
     def stepped(self, observed: np.ndarray, expected: np.ndarray) -> MaxEnt:
         """The model after one scaling step along the gradient of the counted tokens."""
         step = STEP * np.log((observed + PRIOR) / (expected + PRIOR))
-        return MaxEnt(self.bias, (self.weights + step).astype(np.float32))
+        return MaxEnt(self.bias, np.clip(self.weights + step, -LARGEST, LARGEST).astype(np.float32))

@@ -11,8 +11,8 @@ from nightframe.llm import chat_format, exact_dedup, filter_audit, hard_negative
 from nightframe.llm import piece_codec, quality_classifier, quality_rules, token_counts
 from nightframe.session import use_utc
 
-#: Rows handed to Python at a time: texts can be long.
-BATCH_ROWS = "1000"
+#: Rows and bytes handed to Python at a time: texts can be long.
+BATCH_ROWS, BATCH_BYTES = "1000", "16m"
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +27,7 @@ def tokenizer_path(name: str) -> str:
 
 def prepared(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return use_utc(spark)
 
 
