@@ -4,9 +4,9 @@ from pyspark.sql import types as T
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture
 def llm(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # so that work goes on across batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # so that work goes on across batches; queries set their own
     yield spark
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
