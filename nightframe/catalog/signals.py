@@ -119,9 +119,18 @@ def maxima(spark, sf):
     return sig.detect_peaks(df, KEY, 1, threshold=sig.robust_threshold(df, KEY, 0.5))
 
 
-@query("sig_07_spaced_peaks")
+def _spaced_sql(tops: str, distance: int) -> str:
+    """Peaks from the highest down, each kept if none kept before is nearer than ``distance``."""
+    return f"""rk AS (SELECT {K}, sample_idx, value, row_number() OVER (PARTITION BY {K} ORDER BY value DESC, sample_idx DESC) AS rn FROM {tops}),
+gr AS (SELECT {K}, rn, [sample_idx] AS kept FROM rk WHERE rn = 1
+  UNION ALL SELECT {K}, rk.rn, CASE WHEN len(list_filter(kept, lambda x: abs(x - rk.sample_idx) < {distance})) > 0 THEN kept ELSE list_append(kept, rk.sample_idx) END
+  FROM gr JOIN rk USING ({K}) WHERE rk.rn = gr.rn + 1),
+kp AS (SELECT {K}, unnest(arg_max(kept, rn)) AS sample_idx FROM gr GROUP BY {K}),
+sp AS (SELECT {K}, sample_idx, value FROM kp JOIN rk USING ({K}, sample_idx))"""
+
+
+@query("sig_07_spaced_peaks", f"WITH RECURSIVE {SAMPLES}, {_TOPS}, {_spaced_sql('tops', 5)} SELECT {K}, sample_idx, value FROM sp")
 def spaced(spark, sf):
-    """Greedy spacing by height has no short SQL form; tests compare it with brute force."""
     df = samples(spark, sf)
     return sig.detect_peaks(df, KEY, 5)
 
@@ -398,10 +407,18 @@ def respiration_quality(spark, sf):
     return sig.respiration_quality(samples(spark, sf), KEY, N, 1.0, band=(0.1, 0.3))
 
 
-@query("sig_29_vibration_features")
+@query(
+    "sig_29_vibration_features",
+    f"""WITH RECURSIVE {SAMPLES}, {_TOPS}, hi AS (WITH {_thr_sql(0.5)} SELECT {K}, sample_idx, value FROM tops JOIN th USING ({K}) WHERE value >= threshold),
+{_spaced_sql('hi', 3)}, bt AS (SELECT {K}, sample_idx, CAST(sample_idx - lag(sample_idx) OVER w AS DOUBLE) AS iv FROM sp {_W}),
+be AS (SELECT *, CASE WHEN iv BETWEEN 1 AND 10 THEN 60 / iv END AS rate FROM bt), {_RATE}, mo AS (WITH {_MOVE} SELECT {K}, epoch_index, minor_move_pct FROM ma), {_SP},
+rq AS (SELECT {K}, epoch_index, CAST(round_even(100 * sum(p) FILTER (WHERE k BETWEEN 3 AND 15) / sum(p) FILTER (WHERE k >= 2), 0) AS INT) AS resp_quality FROM pw GROUP BY ALL)
+SELECT {K}, epoch_index, CAST(minor_move_pct AS DOUBLE) AS vib_move_pct, CAST(resp_quality AS DOUBLE) AS resp_quality, CASE WHEN v >= 2 AND m BETWEEN 4 AND 40 THEN round(m, 6) END AS vib_rr
+FROM mo FULL JOIN rq USING ({K}, epoch_index) FULL JOIN ra USING ({K}, epoch_index)""",
+)
 def vibration(spark, sf):
-    """Composition of SIG-24, SIG-16 and SIG-28, each with its own twin."""
-    return sig.vibration_features(samples(spark, sf), KEY, N, 1.0, 3)
+    out = sig.vibration_features(samples(spark, sf), KEY, N, 1.0, 3)
+    return out.select(*EK, F.col("vib_move_pct").cast("double").alias("vib_move_pct"), F.col("resp_quality").cast("double").alias("resp_quality"), r6("vib_rr"))
 
 
 _QC = f"""fi AS (SELECT {K}, sample_idx, CASE WHEN sample_idx % 97 = 0 THEN NULL ELSE value END AS x FROM samples_v), gd AS (SELECT * FROM fi WHERE x IS NOT NULL),

@@ -218,6 +218,22 @@ def local_maxima(df: DataFrame, keys: Sequence[str], value: str, index: str = "s
     return runs.filter(top).select(*keys, middle.alias(index), value)
 
 
+def spaced(positions: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the peaks in order stay: the highest (of equals the last) removes all nearer than ``distance``, and so on.
+
+    Only peaks that stay look at their neighbours, and these are at least
+    ``distance`` apart: time grows with the number of peaks.
+    """
+    state = np.zeros(len(positions), np.int8)  # 1: stays, 2: goes
+    first = np.searchsorted(positions, positions - distance, side="right")
+    after = np.searchsorted(positions, positions + distance, side="left")
+    for k in np.lexsort((positions, heights))[::-1].tolist():
+        if not state[k]:
+            state[first[k] : after[k]] = 2
+            state[k] = 1
+    return state == 1
+
+
 def space_peaks(peaks: DataFrame, keys: Sequence[str], distance: int, value: str, index: str = "sample_idx", rounds: int = 3) -> DataFrame:
     """Keep peaks at least ``distance`` apart; the higher peak wins, then the later.
 
@@ -253,12 +269,9 @@ def space_peaks(peaks: DataFrame, keys: Sequence[str], distance: int, value: str
     clusters = running_totals(marked, keys, [index], BLOCK, {"_cluster": F.col("_new")}).drop("_new", BLOCK)
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values([value, index], ascending=False)
-        chosen: list[int] = []
-        for pos in ordered[index]:
-            if all(abs(pos - other) >= distance for other in chosen):
-                chosen.append(pos)
-        return pdf[pdf[index].isin(chosen)][[*keys, index, value]]
+        pdf = pdf.sort_values(index)
+        keep = spaced(pdf[index].to_numpy(), pdf[value].to_numpy(dtype=float), distance)
+        return pdf[keep][[*keys, index, value]]
 
     fields = [peaks.schema[c] for c in (*keys, index, value)]
     rest = clusters.groupBy(*keys, "_cluster").applyInPandas(settle, T.StructType(fields))
@@ -595,7 +608,7 @@ def vibration_features(df: DataFrame, keys: Sequence[str], n: int, fs: float, di
     rates = rate_per_epoch(beats, keys, fs, min_rates=MIN_BREATHS, limits=RR_RANGE).select(*keys, "epoch_index", F.col("mean").alias("vib_rr"))
     q = respiration_quality(df, keys, n, fs)
     on = [*keys, "epoch_index"]
-    return move.join(q, on, "full_outer").join(rates, on, "left")
+    return move.join(q, on, "full_outer").join(rates, on, "full_outer")
 
 
 def channel_qc(df: DataFrame, keys: Sequence[str] = tuple(KEYS), eeg_bands: dict[str, tuple[float, float]] | None = None, segment: int = 0, fs: float = 0.0) -> DataFrame:

@@ -125,3 +125,21 @@ def test_nan_channel_fails_quality(spark):
 def test_sample_windows_only_complete(spark):
     got = sig.sample_windows(samples(spark, range(10), 1), KEYS, 4, 3).groupBy("window_no").agg(F.count("*").alias("n")).collect()
     assert {r.window_no: r.n for r in got} == {0: 4, 1: 4, 2: 4}
+
+
+def test_spacing_of_a_staircase_in_linear_time():
+    """A hundred thousand peaks, each higher than the one before, all in one cluster; random ones against a plain loop."""
+    import time
+
+    start = time.time()
+    keep = sig.spaced(np.arange(100_000) * 2, np.arange(100_000.0), 5)
+    assert time.time() - start < 5 and np.flatnonzero(keep)[-3:].tolist() == [99_993, 99_996, 99_999] and keep.sum() == 33_334
+    rng = np.random.default_rng(4)
+    for distance in (2, 7, 30):
+        at = np.sort(rng.choice(600, 150, replace=False))
+        high = rng.integers(0, 6, 150).astype(float)
+        chosen = []
+        for k in sorted(range(150), key=lambda k: (-high[k], -at[k])):
+            if all(abs(at[k] - at[j]) >= distance for j in chosen):
+                chosen.append(k)
+        assert np.flatnonzero(sig.spaced(at, high, distance)).tolist() == sorted(chosen)
