@@ -214,7 +214,7 @@ def windows_labels(spark, sf):
 
 
 def config():
-    return build.DatasetConfig(time_aware=True, stratify=None)
+    return build.DatasetConfig(time_aware=True, stratify=None, schema_version="v1")
 
 
 @query(
@@ -226,7 +226,7 @@ SELECT count(*) FILTER (WHERE split = 'train') AS train_windows, count(*) FILTER
   21 AS window_size, 42 AS random_seed, 'recording' AS split_strategy, 20 AS purge_gap FROM d""",
 )
 def build_metadata(spark, sf):
-    eps = epochs(spark, sf).withColumn("features", feature_array())
+    eps = epochs(spark, sf).withColumn("features", feature_array()).withColumn("feature_schema_version", F.lit("v1"))
     return build.dataset_metadata(build.build_dataset(eps, predictions(spark, sf), config()), config())
 
 

@@ -16,7 +16,8 @@ CLINICAL = ["tst_min", "se", "rem_pct", "n3_pct", "rem_latency_min", "waso_min"]
 
 def positions(df: DataFrame, keys: Sequence[str], index: str = "epoch_index") -> DataFrame:
     """Zero-based list position ``pos`` of each row of a night."""
-    return with_position(df, keys, [index], block_of(index))
+    placed = with_position(df, keys, [index], block_of(index))
+    return placed.withColumn("pos", F.col("pos").cast("int"))
 
 
 def recording_summary(

@@ -194,9 +194,13 @@ def with_frame(
     after: int,
     added: Mapping[str, object],
     size: int = BLOCK_ROWS,
+    best: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Evaluate aggregates over the index range ``[i - before, i + after]``.
 
+    With ``best`` only the first row in that order of each index counts; it is
+    found in the frame's own exchange and sort.
+
     ``added`` maps a name to an aggregate column (without ``over``). Rows near
     a block border are also sent to the neighbouring block, so every frame is
     complete inside one block; only ``(before + after) / size`` of the rows are
@@ -204,6 +208,10 @@ def with_frame(
     """
     keys = list(keys)
     spread = with_halo(df, index, before, after, size)
+    if best is not None:
+        spread = spread.repartition(*keys, BLOCK)
+        same = Window.partitionBy(*keys, BLOCK, index).orderBy(*best)
+        spread = spread.withColumn("_place", F.row_number().over(same)).filter(F.col("_place") == 1).drop("_place")
     frame = Window.partitionBy(*keys, BLOCK).orderBy(index).rangeBetween(-before, after)
     out = spread.withColumns({name: agg.over(frame) for name, agg in added.items()})
     return out.filter(F.col(BLOCK) == F.col("_own")).drop(BLOCK, "_own")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nightframe.functions.binding import bind
 from nightframe.functions.numeric import clip
@@ -46,18 +47,13 @@ def build_windows(
     largest row) counts.
     """
     others = [c for c in df.columns if c not in (*keys, index)]
-    df = (
-        df.groupBy(*keys, index)
-        .agg(F.max_by(F.struct(*others), F.struct(F.col(start_ts), F.struct(*[F.col(c).cast("string") for c in others]))).alias("_row"))
-        .select(*keys, index, "_row.*")
-        .select(*df.columns)
-    )
+    largest = [F.col(c).cast("string").desc() if isinstance(df.schema[c].dataType, T.MapType) else F.desc(c) for c in others]
     width = F.size(features)
     checked = {"_w0": F.min(width), "_w1": F.max(width)}
     if schema_id:
         checked |= {"_s0": F.min(schema_id), "_s1": F.max(schema_id)}
     item = F.struct(F.col(index).alias("i"), F.col(features).alias("x"))
-    framed = with_frame(df, keys, index, window_size - 1, 0, {"_items": F.collect_list(item), **checked})
+    framed = with_frame(df, keys, index, window_size - 1, 0, {"_items": F.collect_list(item), **checked}, best=[F.desc(start_ts), *largest])
     first = F.col(index) - (window_size - 1)
     present = F.size("_items")
     out = framed.withColumns(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nightframe.functions.stages import four_class
 from nightframe.operators import dataset as ds
+from nightframe.operators.relations import require_schema
 from nightframe.operators.windows import build_windows
 from nightframe.schema import EPOCH_SECONDS, WINDOW_SIZE
 
@@ -30,6 +31,7 @@ class DatasetConfig:
     purge_gap: int = 0
     block_seconds: int = 0
     stratify: str | None = None
+    schema_version: str | None = None
 
     def effective_gap(self) -> int:
         """An explicit gap, or window size - 1 for time-aware splits."""
@@ -39,6 +41,7 @@ class DatasetConfig:
 
 
 KEYS = ["tenant_id", "recording_id"]
+SCHEMA = "feature_schema_version"
 
 
 def build_dataset(epochs: DataFrame, labels: DataFrame, config: DatasetConfig) -> DataFrame:
@@ -47,8 +50,13 @@ def build_dataset(epochs: DataFrame, labels: DataFrame, config: DatasetConfig) -
     Labels are joined first, so windows are gathered only for labelled epochs;
     rows whose label has no four-class form are dropped whole. Blocks of a
     recording may fall into different splits only with ``block_seconds``.
+    Epochs written with a feature schema other than ``schema_version`` raise
+    (FLT-03); without one, windows over two schemas are left out.
     """
-    windows = build_windows(epochs, KEYS, window_size=config.window_size, padding=config.padding)
+    schema = SCHEMA if SCHEMA in epochs.columns else None
+    if config.schema_version is not None:
+        epochs = require_schema(epochs, config.schema_version, SCHEMA)
+    windows = build_windows(epochs, KEYS, window_size=config.window_size, padding=config.padding, schema_id=schema)
     windows = windows.filter(F.col("status") == "ok")
     chosen = ds.select_label(labels, config.label_strategy, config.allow_predicted)
     chosen = chosen.withColumn("label", four_class(F.col("label"))).filter(F.col("label").isNotNull())

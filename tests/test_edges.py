@@ -151,3 +151,21 @@ def test_scratch_of_other_threads_is_left_alone(spark):
         later = scratch_path(spark, "own")
     thread.join()
     assert mine == [own, later] and theirs
+
+
+def test_dataset_refuses_other_feature_schemas(spark):
+    """The plan raises on an epoch of another schema, or leaves windows over two schemas out if none is asked for."""
+    from nightframe.plans.dataset_build import DatasetConfig, build_dataset
+
+    start = dt.datetime(2024, 1, 1, 22)
+    rows = [("t", r, i, start + dt.timedelta(seconds=30 * i), [1.0, 2.0], "v2" if i >= 4 and r == "b" else "v1") for r in "abc" for i in range(6)]
+    eps = spark.createDataFrame(rows, "tenant_id string, recording_id string, epoch_index int, epoch_start_ts timestamp, features array<double>, feature_schema_version string")
+    marks = [("t", r, i, 30 * i, "DODH", "W", None) for r in "abc" for i in range(6)]
+    labels = spark.createDataFrame(marks, "tenant_id string, recording_id string, epoch_index int, end_sec long, dataset_id string, ground_truth_stage string, predicted_stage string")
+    config = DatasetConfig(window_size=2, padding="reject")
+    left = {(r.recording_id, r.epoch_index) for r in build_dataset(eps, labels, config).collect()}
+    assert left == {(r, i) for r in "abc" for i in range(1, 6)} - {("b", 4)}
+    with pytest.raises(Exception, match="Feature schema mismatch"):
+        build_dataset(eps, labels, DatasetConfig(window_size=2, padding="reject", schema_version="v1")).collect()
+    only = eps.filter("recording_id <> 'b'")
+    assert build_dataset(only, labels, DatasetConfig(window_size=2, padding="reject", schema_version="v1")).count() == 10
