@@ -1,19 +1,21 @@
 """Language identification by averaged hashed subword embeddings.
 
 The model (``subword``) learns from a bounded sample of rows with a known
-language. Its temperature and the confidence below which a prediction is
-rejected are calibrated on a fifth of the sample.
+language. On a fifth of the sample its temperature is calibrated, and the
+evidence that texts of each language have: the mean score of their features for
+it. A text with less evidence for its likeliest language is in none of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightframe.llm.subword import Features, SubwordModel, feature_rows, fit
+from nightframe.llm.subword import Features, SubwordModel, feature_rows, fit, softmax
 
 #: Rows the model learns from at most: the ones with the smallest hashes of their ids.
 SAMPLE_ROWS = 2500
@@ -58,11 +60,12 @@ def predicted(docs: DataFrame, model: SubwordModel | None) -> Column:
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
-            p = m.probabilities([t if isinstance(t, str) else None for t in texts])
+            evidence = m.evidence([t if isinstance(t, str) else None for t in texts])
+            p = softmax((evidence + m.bias) / m.temperature)
             best = p.argmax(1)
-            sure = p.max(1)
+            found = evidence[np.arange(len(best)), best]
             yield pd.DataFrame(
-                {"lang_pred": [m.classes[k] for k in best], "score": sure, "rejected": sure < m.reject_below}
+                {"lang_pred": [m.classes[k] for k in best], "score": p.max(1), "rejected": found < m.least[best]}
             )
 
     none = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
@@ -74,7 +77,7 @@ def language_id(docs: DataFrame, model: SubwordModel | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row.
 
     A null text or one without a letter is ``und`` with score 0 and rejected.
-    ``rejected`` also marks predictions below the calibrated confidence; their
+    ``rejected`` also marks texts with less evidence than calibrated; their
     ``lang_pred`` is still the likeliest language. Without a model all is
     ``und``.
     """

@@ -7,10 +7,13 @@ key alone, so a lost task gives the same ids again, and every occurrence of a un
 has its own. All new units of a group of texts are merged at once without dropout,
 one merge per unit and round, and remembered with their merges. An occurrence that
 skips none of these comes out the same; the others are merged one by one anew.
+Units longer than ``LONG`` have an agenda each, a heap of candidate merges, so
+their time does not grow with the square of their length.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from array import array
@@ -31,7 +34,10 @@ LITERAL = "\udcff"
 KNOWN_UNITS = 400_000
 #: A unit: spaces and what follows them, or a line end. No piece goes across its borders.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+#: Characters of a unit from which on it has an agenda of its own.
+LONG = 200
 _NONE = np.int64(1) << 40
+_WRAP = (1 << 64) - 1
 
 
 def _borders(begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -43,6 +49,14 @@ def _dropped(keys: np.ndarray, borders: np.ndarray, rate: float) -> np.ndarray:
     return (mix(keys + borders) >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
 
 
+def _one_dropped(key: int, begin: int, middle: int, end: int, rate: float) -> bool:
+    """:func:`_dropped` of one merge, without arrays."""
+    x = (key + (begin << 42 | middle << 21 | end)) & _WRAP
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _WRAP
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _WRAP
+    return (x ^ x >> 31) >> 11 < rate * 2.0**53
+
+
 def _slices(sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the entries of some slices of a table, and where each slice ends among them."""
     n = sizes[codes]
@@ -89,6 +103,7 @@ class PieceCodec:
         ]
         table = np.array(sorted(merges), np.int64).reshape(-1, 3)
         self.pairs, self.ranks, self.merged = table[:, 0], table[:, 1], table[:, 2]
+        self.merge_of = dict(zip(self.pairs.tolist(), zip(self.ranks.tolist(), self.merged.tolist())))
 
     def _look_up(self, left, right):
         key = left.astype(np.int64) << 20 | np.maximum(right, 0)
@@ -96,6 +111,40 @@ class PieceCodec:
         hit = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.ranks[at], _NONE), np.where(hit, self.merged[at], 0)
 
+    def _agenda(self, symbol: list[int], rank: np.ndarray, key: int, rate: float) -> tuple[list[int], list[int], list[int]]:
+        """(places, symbols, borders of the merges) of one unit; ``rank``: of each symbol with the next, dropped ones out.
+
+        Candidates leave a heap by rank, then by place. One whose symbols have
+        merged otherwise meanwhile is stale and goes.
+        """
+        n = len(symbol)
+        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        open_ = np.flatnonzero(rank < _NONE)
+        heap = [(r, k, k + 1, k + 2) for r, k in zip(rank[open_].tolist(), open_.tolist())]
+        heapq.heapify(heap)
+        borders: list[int] = []
+
+        def consider(left, right):
+            found = self.merge_of.get(symbol[left] << 20 | symbol[right]) if symbol[left] >= 0 and symbol[right] >= 0 else None
+            if found and not (rate and _one_dropped(key, left, right, end[right], rate)):
+                heapq.heappush(heap, (found[0], left, right, end[right]))
+
+        while heap:
+            _, left, right, stop = heapq.heappop(heap)
+            if end[left] != right or end[right] != stop:  # a symbol that has gone has no end
+                continue
+            borders.append(left << 42 | right << 21 | stop)
+            symbol[left] = self.merge_of[symbol[left] << 20 | symbol[right]][1]
+            end[left], end[right] = stop, -1
+            after[left] = after[right]
+            if after[left] < n:
+                before[after[left]] = left
+                consider(left, after[left])
+            if before[left] >= 0:
+                consider(before[left], left)
+        places = [k for k in range(n) if end[k] > 0]
+        return places, [symbol[k] for k in places], borders
+
     def merge(
         self, units: list[str], keys: np.ndarray, rate: float, made: list | None = None
     ) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +172,17 @@ class PieceCodec:
         rank, into = np.full(len(code), _NONE), np.zeros(len(code), np.int64)
         if len(code) > 1:
             rank[:-1], into[:-1] = candidates(np.arange(len(code) - 1))
+        for u in np.flatnonzero(sizes > LONG).tolist():
+            part = slice(first[u], first[u] + sizes[u])
+            places, symbols, borders = self._agenda(symbol[part].tolist(), rank[part], int(keys[u]), rate)
+            done_where.append(np.array(places) + first[u])
+            done_symbol.append(np.array(symbols))
+            if made is not None:
+                made.append((np.full(len(borders), u), np.array([b & _WRAP for b in borders], np.uint64)))
+        if done_where:
+            keep = sizes[owner] <= LONG
+            symbol, owner, begin, end, where = symbol[keep], owner[keep], begin[keep], end[keep], where[keep]
+            rank, into = rank[keep], into[keep]
         while len(symbol):
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             best = np.minimum.reduceat(rank, starts)

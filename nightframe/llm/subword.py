@@ -94,11 +94,15 @@ class SubwordModel:
     scores: np.ndarray  # buckets x classes
     bias: np.ndarray
     temperature: float = 1.0
-    reject_below: float = 0.0
+    least: np.ndarray | None = None  # evidence of each class that its texts have
     report: dict = field(default_factory=dict)
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         """Class probabilities of each text; an empty text has the bias alone."""
+        return softmax((self.evidence(texts) + self.bias) / self.temperature)
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """Mean score of each text's features for each class, without the bias: low for all classes if they are unlike what was learned."""
         f, k = self.features, len(self.classes)
         out = np.zeros((len(texts), k))
         at = 0
@@ -123,7 +127,7 @@ class SubwordModel:
                     out[at:stop, c] = np.bincount(doc, weights=word[codes], minlength=stop - at)
                     out[at:stop, c] = (out[at:stop, c] + again * self.scores[0, c]) / np.maximum(total, 1)
             at = stop
-        return softmax((out + self.bias) / self.temperature)
+        return out
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -152,13 +156,13 @@ def _batch(data, order):
 
 
 def fit(rows: list, f: Features, dim: int = 8, epochs: int = 12, rate: float = 40.0, batch: int = 32,
-        seed: int = 7, reject_share: float = 0.001) -> SubwordModel | None:
+        seed: int = 7, deviations: float = 4.0) -> SubwordModel | None:
     """Train by stochastic gradient descent on a bounded list of feature rows.
 
     Every fifth row is kept for calibration: a temperature that minimises its
-    log loss, and the confidence below which ``reject_share`` of its rightly
-    classified rows lie (0.5 at most). Rows without features are not learned. None without
-    rows.
+    log loss, and the least evidence of each class: ``deviations`` standard
+    deviations below the mean of its rightly classified rows. Rows without
+    features are not learned. None without rows.
     """
     data = [(np.frombuffer(r["buckets"], "<u4").astype(np.int64), np.frombuffer(r["shares"], np.float32), r["label"])
             for r in rows if len(r["buckets"])]
@@ -191,14 +195,16 @@ def fit(rows: list, f: Features, dim: int = 8, epochs: int = 12, rate: float = 4
                 embed[:, j] -= np.float32(lr) * np.bincount(idx, weights=grad[:, j], minlength=buckets).astype(np.float32)
             step += 1
     model = SubwordModel(f, classes, (embed @ weight).astype(np.float64), bias.astype(np.float64))
-    logits = np.array([(model.scores[data[h][0]] * data[h][1][:, None]).sum(0) + model.bias for h in held])
+    evidence = np.array([(model.scores[data[h][0]] * data[h][1][:, None]).sum(0) for h in held])
+    logits = evidence + model.bias
     truth = y[held]
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = softmax(logits / model.temperature)
     right = p.argmax(1) == truth
-    sure = p.max(1)[right]
-    model.reject_below = min(0.5, float(np.quantile(sure, reject_share))) if len(sure) else 0.0
+    # a class without calibration rows rejects nothing
+    mine = [evidence[right & (truth == c), c] for c in range(k)]
+    model.least = np.array([x.mean() - deviations * x.std() if len(x) > 1 else -np.inf for x in mine])
     model.report = {"rows": len(data), "accuracy": float(right.mean()), "log_loss": float(min(loss))}
     return model
