@@ -249,3 +249,39 @@ def test_quality_held_out_accuracy(llm, odd_docs, no_docs):
     scored = quality_classifier.quality_scores(odd_docs, model).collect()
     assert len(scored) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in scored)
     assert quality_classifier.train(no_docs, labels.limit(0)) is None
+
+
+@pytest.mark.parametrize("left_out", ["de", "es"])
+def test_language_left_out_is_rejected(llm, left_out):
+    """Texts in a language that was not learned are rejected; few others are."""
+    docs = llm.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("length(text) > 300")
+    model = language_id.train(docs.filter(f"lang <> '{left_out}'"))
+    rows = language_id.language_id(docs, model).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    theirs = rows[rows["lang"] == left_out]
+    others = rows[rows["lang"].notna() & (rows["lang"] != left_out)]
+    assert theirs["rejected"].mean() > 0.97, theirs["rejected"].mean()
+    assert others["rejected"].mean() < 0.01 and (others["lang_pred"] == others["lang"]).mean() > 0.98
+
+
+def test_long_units_by_agenda_equal_the_rounds(monkeypatch):
+    """The agenda gives the ids and merges that all units' rounds give, and a long unit takes seconds."""
+    import time
+
+    rng = np.random.default_rng(2)
+    codec = piece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    letters = list("abcdethinsor日本語é")
+    units = ["".join(rng.choice(letters, rng.integers(1, 400))) for _ in range(30)] + ["aaaa" * 120, "the" * 150]
+    keys = rng.integers(0, 2**63, len(units), dtype=np.uint64)
+    for rate in (0.0, 0.1, 0.5):
+        got = []
+        for long in (20, 10**9):
+            monkeypatch.setattr(piece_codec, "LONG", long)
+            made = []
+            ids, bounds = codec.merge(units, keys, rate, made)
+            got.append((ids.tolist(), bounds.tolist(), sorted((int(u), int(b)) for us, bs in made for u, b in zip(us, bs))))
+        assert got[0] == got[1]
+    monkeypatch.setattr(piece_codec, "LONG", 200)
+    text = "".join(rng.choice(letters, 200_000))
+    start = time.time()
+    ids, _ = codec.encode([text], [7], 1, 0.1)
+    assert codec.decode(ids) == text and time.time() - start < 60
