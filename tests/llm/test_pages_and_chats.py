@@ -23,7 +23,7 @@ def test_query_equals_sql(llm, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def chats(llm, rows):
@@ -139,3 +139,78 @@ def test_pipeline_equals_its_stages_by_hand(llm):
     assert ngram_join.ngram_jaccard_join(left, n=5, percent=80).filter("component_id <> doc_id").isEmpty()
     assert len(ids) > 0.7 * len(rows)
     assert packing.WINDOW == 4096
+
+
+def test_pages_give_the_article_and_nothing_else(llm):
+    """All pages of a table: the headline and the text of one document, white space aside."""
+    sf = "/root/testdata/sf0.1"
+    known = {" ".join((r["text"] or "").split()) for r in llm.read.parquet(f"{sf}/documents.parquet").select("text").collect()}
+    got = QUERIES["op6_html_extraction"](llm, sf).collect()
+    assert len(got) == 2500
+    for r in got:
+        headline, _, body = r["text"].partition("\n")
+        body = " ".join(body.split())
+        assert body in known and body.startswith(headline[:20]) and r["n_chars"] == len(r["text"])
+
+
+def cleaned_by_hand(pages):
+    """Blocks without the units that stand on half of a host's different pages, four at least (each page its own article)."""
+    hosts, out = {}, {}
+    for i, url, html in pages:
+        hosts.setdefault(url.split("/")[2], []).append((i, html_extract.page_blocks(html)))
+    for mine in hosts.values():
+        held = {}
+        for i, blocks in mine:
+            for a in range(len(blocks)):
+                words, b = [], a
+                while b < len(blocks) and len(words) < html_extract.RUN:
+                    words += blocks[b].split()
+                    b += 1
+                if len(words) >= html_extract.RUN:
+                    held.setdefault(tuple(blocks[a:b]), {}).setdefault(i, []).append(range(a, b))
+        gone = {i: set() for i, _ in mine}
+        for where in held.values():
+            if len(where) >= max(4, len(mine) / 2):
+                for i, spans in where.items():
+                    gone[i].update(k for span in spans for k in span)
+        out |= {i: "\n".join(b for k, b in enumerate(blocks) if k not in gone[i]) for i, blocks in mine}
+    return out
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_units_equal_brute_force(llm, monkeypatch, chunk):
+    """Templates of one or several blocks on some of a host's pages, common lines, over small chunks too."""
+    import random
+
+    monkeypatch.setattr(html_extract, "CHUNK_PAGES", chunk)
+    rng = random.Random(5)
+    common = [prose(f"common{k}", 9) for k in range(6)]
+    pages_of = []
+    for host, n in (("a", 30), ("b", 9), ("c", 3)):
+        for k in range(n):
+            own = [prose(f"{host}{k}p{j}", rng.randint(20, 40)) for j in range(4)] + rng.sample(common, 2)
+            rng.shuffle(own)
+            template = ["Menu of the site", "Home and news", "All about us"] if rng.random() < 0.9 else ["Menu of the site"]
+            rare = [prose(f"rare{host}", 12)] if rng.random() < 0.3 else []
+            body = "".join(f"<div>{b}</div>" for b in [*template, *rare, *own, prose(f"foot{host}", 10)])
+            pages_of.append((len(pages_of), f"https://{host}.org/{k}", f"<html><body>{body}</body></html>"))
+    want = cleaned_by_hand(pages_of)
+    assert any("Menu" not in t for t in want.values()) and any("Menu" in t for t in want.values())
+    assert texts(llm, pages_of) == want
+
+
+def test_broken_pages_take_linear_time_and_odd_tables_work(llm):
+    import time
+
+    start = time.time()
+    for page in ("<a " * 170_000 + '">"', "<div>" * 100_000 + "</x>" * 100_000, "<p title='" * 50_000, "<" * 1_000_000, "<!--" * 100_000,
+                 "<x " + "a" * 1_000_000 + ">", "<article>" + "<div class=comment><article></article>" * 20_000):
+        html_extract.page_blocks(page)
+    assert time.time() - start < 30
+    assert html_extract.page_blocks('<p title="is hidden here">text</p><p hidden>no</p><p>1 &lt; 2 <a href=x>l</a>') == ["text", "1 < 2 l"]
+    long = "<article>" + "".join(f"<p>{prose(k, 20)}</p>" for k in range(3000)) + "</article>"
+    rows = [(1, "http://h/1", long), (1, "http://h/1", long), (None, None, None), (2, "", "")]
+    extra = pages(llm, rows).withColumn("host", F.lit(1)).withColumn("blocks", F.lit("x")).withColumn("rid", F.lit(0))
+    got = html_extract.extract_main_text(extra).collect()
+    assert sorted(len(r["text"].split("\n")) if r["text"] else 0 for r in got) == [0, 0, 3000, 3000]
+    assert html_extract.extract_main_text(pages(llm, [])).isEmpty()
