@@ -1,13 +1,20 @@
 """Page extraction, chat collapse, and the registered queries against SQL."""
 
+import itertools
+import re
+import zlib
+
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from check import TABLES, compare
-from nightframe.llm import chat_format, html_extract, ngram_join, packing
+from nightframe.llm import chat_format, html_extract, language_id, ngram_join, packing
 from nightframe.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -214,3 +221,88 @@ def test_broken_pages_take_linear_time_and_odd_tables_work(llm):
     got = html_extract.extract_main_text(extra).collect()
     assert sorted(len(r["text"].split("\n")) if r["text"] else 0 for r in got) == [0, 0, 3000, 3000]
     assert html_extract.extract_main_text(pages(llm, [])).isEmpty()
+
+
+def linked_by_hand(texts, n, percent):
+    """The smallest id reachable by links of every text's id."""
+    sets = {}
+    for i, t in texts.items():
+        words = t.lower().split()
+        sets[i] = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+    smallest = {i: i for i in texts}
+
+    def top(i):
+        while smallest[i] != i:
+            i = smallest[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
+            a, b = sorted((top(a), top(b)))
+            smallest[b] = a
+    return {i: top(i) for i in texts}
+
+
+def test_pipeline_equals_plain_python_exactly(llm):
+    """The ids that every stage keeps, and the packed pieces: SQL for the rules, the operator's flags for the languages, plain loops after."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    kept = con.execute(f"SELECT doc_id FROM ({ORACLES['op1_quality_rules']}) WHERE kept").df()["doc_id"].tolist()
+    docs = llm.read.parquet(f"{SF}/documents.parquet")
+    texts_of = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert len(texts_of) == docs.count()  # ids are unique here
+    step = docs.filter(docs.doc_id.isin(kept))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.quality(llm, docs, SF).collect()) == sorted(kept)
+    judged = language_id.language_id(step, language_id.train(step)).collect()
+    kept = sorted(r["doc_id"] for r in judged if not r["rejected"])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(llm, step, SF).collect()) == kept
+    step = docs.filter(docs.doc_id.isin(kept))
+    first = {}
+    for i in kept:
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts_of[i]), i)
+    kept = sorted(first.values())
+    assert sorted(r["doc_id"] for r in corpus_pipeline.exact(llm, step, SF).collect()) == kept
+    step = docs.filter(docs.doc_id.isin(kept))
+    top = linked_by_hand({i: texts_of[i] for i in kept}, 5, 80)
+    kept = sorted(set(top.values()))
+    assert 0 < len(kept) < len(top)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(llm, step, SF).collect()) == kept
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = {}
+    for r in corpus_pipeline.run(llm, SF).collect():
+        pieces.setdefault(r["doc_id"], []).append(r)
+    assert sorted(pieces) == kept
+    for i, mine in pieces.items():
+        ids, at = [*tokenizer.encode(texts_of[i], add_special_tokens=False).ids, 2], 0
+        for r in sorted(mine, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : at], "<u4").tobytes())
+        assert at == len(ids)
+
+
+def test_stages_of_empty_tables(llm, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(llm, no_docs, SF)
+        assert got.isEmpty() and (name == "packing" or got.columns == no_docs.columns), name
+
+
+def test_pipeline_beside_another_query(llm):
+    """A query in another thread keeps its intermediates while the pipeline's stages remove theirs."""
+    import threading
+
+    found, failed = [], []
+
+    def other():
+        try:
+            for _ in range(3):
+                found.append(QUERIES["op5_exact_dedup"](llm, SF).count())
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    rows = corpus_pipeline.run(llm, SF).count()
+    thread.join()
+    assert not failed and found == [200] * 3 and rows > 0
