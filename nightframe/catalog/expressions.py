@@ -157,9 +157,7 @@ _UNPIVOT = f"SELECT {K}, unnest([{', '.join(repr(f) for f in FEATURES)}]) AS fea
 @query("exp_10_decode_features", f"WITH {EPOCHS} {_UNPIVOT}")
 def decode(spark, sf):
     df = payloads(epochs(spark, sf))
-    decoded = df.select(*KEY, pay.decode_features(F.col("payload"), FEATURES).alias("d")).filter(
-        F.col("d.error").isNull()
-    )
+    decoded = pay.decode_features(df, "payload", FEATURES, "d").select(*KEY, "d").filter(F.col("d.error").isNull())
     names = F.array(*[F.lit(n) for n in FEATURES])
     return decoded.select(*KEY, F.explode(F.arrays_zip(names.alias("n"), F.col("d.features").alias("v"))).alias("z")).select(
         *KEY, F.col("z.n").alias("feature"), F.col("z.v").cast("double").alias("value")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nightframe.functions.binding import bind
 from nightframe.functions.stages import lookup
@@ -20,36 +23,14 @@ METRIC_ALIASES = {
 # --- end of fixed values ----------------------------------------------------
 
 
-def float32_from_hex(word: Column) -> Column:
-    """IEEE-754 single from eight little-endian hex digits."""
-    big_endian = F.concat(*[F.substring(word, p, 2) for p in (7, 5, 3, 1)])
-    return bind(F.conv(big_endian, 16, 10).cast("bigint"), float32_from_bits)
-
-
-def float32_from_bits(bits: Column) -> Column:
-    sign = F.when(F.shiftrightunsigned(bits, 31) == 1, -1.0).otherwise(1.0)
-    exponent = F.shiftrightunsigned(bits, 23).bitwiseAND(255)
-    fraction = bits.bitwiseAND((1 << 23) - 1).cast("double") / float(1 << 23)
-    finite = F.when(
-        exponent == 0, fraction * F.pow(F.lit(2.0), F.lit(-126))
-    ).otherwise((1 + fraction) * F.pow(F.lit(2.0), exponent - 127))
-    return F.when(exponent == 255, F.lit(float("nan"))).otherwise(sign * finite)
-
-
-def floats_from_base64(text: Column) -> Column:
-    """Little-endian float32 vector from base64 text."""
-
-    def words(digits: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1)), F.lit(8)),
-            lambda i: i + 7 <= F.length(digits),
-        )
-        return F.transform(
-            starts,
-            lambda i: bind(F.substr(digits, i, F.lit(8)), float32_from_hex),
-        )
-
-    return bind(F.hex(F.unbase64(text)), words)
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def floats_from_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Little-endian float32 vectors from binary values, a batch in one piece; bytes beyond the last whole number are left out."""
+    for raw in batches:
+        sizes = raw.map(lambda b: 0 if b is None else len(b) // 4).to_numpy(dtype=int)
+        flat = np.frombuffer(b"".join(b[: n * 4] for b, n in zip(raw, sizes) if b is not None), "<f4")
+        rows = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+        yield pd.Series([None if b is None else row for b, row in zip(raw, rows)], dtype=object)
 
 
 def unwrap_features(payload: Column) -> Column:
@@ -59,21 +40,24 @@ def unwrap_features(payload: Column) -> Column:
     return F.when(single, F.get_json_object(payload, "$.features")).otherwise(payload)
 
 
-def decode_features(payload: Column, names: Sequence[str]) -> Column:
-    """JSON list, JSON map in schema order, or base64 text to a struct
-    ``(features ARRAY<FLOAT>, error)`` (EXP-10)."""
-    return bind(payload, lambda raw: bind(unwrap_features(raw), lambda b: _decode(b, names)))
-
+def decode_features(df: DataFrame, payload: str, names: Sequence[str], out: str = "decoded") -> DataFrame:
+    """Add ``out``, a struct ``(features ARRAY<FLOAT>, error)``: the payload is a
+    JSON list, a JSON map in schema order, or base64 text (EXP-10).
 
-def _decode(body: Column, names: Sequence[str]) -> Column:
+    Text goes to numpy in batches; lists and maps never leave the JVM.
+    """
     order = F.array(*[F.lit(n) for n in names])
-    as_map = F.from_json(body, "map<string,double>")
-    values = (
-        F.when(body.startswith("["), F.from_json(body, "array<double>"))
-        .when(body.startswith("{"), F.transform(order, lambda n: F.try_element_at(as_map, n)))
-        .otherwise(floats_from_base64(F.regexp_replace(body, '"', "")))
+    body = F.col("_body")
+    is_list, is_map = body.startswith("["), body.startswith("{")
+    text = F.when(~is_list & ~is_map, F.unbase64(F.regexp_replace(body, '"', "")))
+    as_map = bind(F.from_json(body, "map<string,double>"), lambda held: F.transform(order, lambda n: F.try_element_at(held, n)))
+    values = F.when(is_list, F.from_json(body, "array<double>")).when(is_map, as_map).otherwise(F.col("_floats").cast("array<double>"))
+    return (
+        df.withColumn("_body", bind(F.col(payload), unwrap_features))
+        .withColumn("_floats", floats_from_bytes(text))
+        .withColumn(out, bind(values, lambda v: _checked(v, len(names))))
+        .drop("_body", "_floats")
     )
-    return bind(values, lambda v: _checked(v, len(names)))
 
 
 def _checked(values: Column, length: int) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nightframe.functions.binding import bind
 from nightframe.schema import EPOCH_SECONDS, FEATURES
 
 # --- fixed values -----------------------------------------------------------
@@ -21,29 +23,35 @@ def read_flash_dumps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").alias("chunk"))
 
 
-def _unsigned(digits: Column, first_byte: int | Column, count: int) -> Column:
-    """Little-endian unsigned integer from hex text."""
-    base = first_byte if isinstance(first_byte, Column) else F.lit(first_byte)
-    swapped = F.concat(*[F.substr(digits, (base + i) * 2 + 1, F.lit(2)) for i in reversed(range(count))])
-    return F.conv(swapped, 16, 10).cast("bigint")
-
-
 def unpack_flash_chunks(chunks: DataFrame, keys: Sequence[str], chunk: str = "chunk") -> DataFrame:
     """Header and packed 15-byte epochs of each chunk as rows (SRC-09).
 
     Byte order follows the device's struct: bytes 3 and 6 of an epoch are signed.
+    A chunk with fewer epochs than its header names gives those it has; a null
+    or shorter one than its header gives none.
     """
-    head = chunks.select(*keys, F.hex(chunk).alias("_h")).select(
-        *keys, "_h", _unsigned(F.col("_h"), 0, 4).alias("_ts"), _unsigned(F.col("_h"), 4, 2).alias("_n")
-    )
-    rows = head.filter(F.col("_n") > 0).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    begin = (F.lit(CHUNK_HEADER_BYTES) + F.col("_i") * EPOCH_BYTES).cast("int")
-    cells = []
-    for j, name in enumerate(FEATURES):
-        byte = F.conv(F.substr("_h", (begin + j) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        value = bind(byte, lambda b: F.when(b > 127, b - 256).otherwise(b)) if name in SIGNED_FEATURES else byte
-        cells.append(value.alias(name))
-    return rows.select(*keys, (F.col("_ts") + F.col("_i") * EPOCH_SECONDS).alias("start_sec"), *cells)
+    keys = list(keys)
+    fields = [*[chunks.schema[k] for k in keys], T.StructField("start_sec", T.LongType()), *[T.StructField(f, T.IntegerType()) for f in FEATURES]]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [b if b is not None and len(b) >= CHUNK_HEADER_BYTES else bytes(CHUNK_HEADER_BYTES) for b in batch.column(len(keys)).to_pylist()]
+            head = np.frombuffer(b"".join(b[:CHUNK_HEADER_BYTES] for b in raw), np.uint8).reshape(-1, CHUNK_HEADER_BYTES)
+            start = head[:, :4].copy().view("<u4").ravel().astype(np.int64)
+            told = head[:, 4:6].copy().view("<u2").ravel().astype(np.int64)
+            count = np.minimum(told, [(len(b) - CHUNK_HEADER_BYTES) // EPOCH_BYTES for b in raw])
+            body = b"".join(b[CHUNK_HEADER_BYTES : CHUNK_HEADER_BYTES + n * EPOCH_BYTES] for b, n in zip(raw, count.tolist()))
+            cells = np.frombuffer(body, np.uint8).reshape(-1, EPOCH_BYTES)
+            owner = np.repeat(np.arange(len(raw)), count)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            columns = [batch.column(k).take(pa.array(owner)) for k in range(len(keys))]
+            columns.append(pa.array(start[owner] + place * EPOCH_SECONDS))
+            for j, name in enumerate(FEATURES):
+                byte = np.ascontiguousarray(cells[:, j])
+                columns.append(pa.array((byte.view(np.int8) if name in SIGNED_FEATURES else byte).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    return chunks.select(*keys, chunk).mapInArrow(unpack, T.StructType(fields))
 
 
 def pack_flash_chunks(epochs: DataFrame, keys: Sequence[str], pos: str, per_chunk: int = 20) -> DataFrame:

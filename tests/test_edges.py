@@ -169,3 +169,42 @@ def test_dataset_refuses_other_feature_schemas(spark):
         build_dataset(eps, labels, DatasetConfig(window_size=2, padding="reject", schema_version="v1")).collect()
     only = eps.filter("recording_id <> 'b'")
     assert build_dataset(only, labels, DatasetConfig(window_size=2, padding="reject", schema_version="v1")).count() == 10
+
+
+def test_payloads_of_every_form(spark):
+    """Lists, maps in any order, wrapped and bare base64 text; short, odd, missing and unusual values."""
+    import base64
+    import struct
+
+    from nightframe.functions import payload
+
+    def text(*xs):
+        return base64.b64encode(struct.pack(f"<{len(xs)}f", *xs)).decode()
+
+    rows = [
+        (0, "[1, 2.5]"), (1, '{"b": 2.5, "a": 1}'), (2, '{"features": [1, 2.5]}'), (3, text(1, 2.5)), (4, f'{{"features":"{text(1, 2.5)}"}}'),
+        (5, text(1)), (6, text(1, float("nan"))), (7, text(float("-inf"), 1)), (8, '{"a": 1}'), (9, None), (10, text(1e-40, -0.0)),
+        (11, base64.b64encode(struct.pack("<2f", 1, 2.5) + b"xy").decode()), (12, ""), (13, "[1, null]"),
+    ]
+    df = payload.decode_features(spark.createDataFrame(rows, "id int, p string"), "p", ["a", "b"])
+    got = {r["id"]: (r["decoded"]["features"], r["decoded"]["error"]) for r in df.collect()}
+    for k in (0, 1, 2, 3, 4, 11):
+        assert got[k] == ([1.0, 2.5], None), k
+    assert got[10][1] is None and got[10][0][0] == pytest.approx(1e-40, rel=1e-3) and df.columns == ["id", "p", "decoded"]
+    assert [got[k][1] for k in (5, 6, 7, 8, 9, 12, 13)] == [
+        "wrong length", "not finite", "not finite", "missing features", "unsupported payload", "wrong length", "missing features"]
+
+
+def test_dumps_cut_short(spark):
+    import struct
+
+    from nightframe.sources import artifacts
+
+    epoch = bytes([1, 2, 3, 255, 5, 6, 128, 8, 9, 10, 11, 12, 13, 14, 15])
+    head = struct.pack("<IHH", 4_000_000_000, 2, 0)
+    rows = [("full", head + epoch * 2), ("short", head + epoch + epoch[:7]), ("head", head[:5]), ("none", None), ("empty", struct.pack("<IHH", 7, 0, 0))]
+    df = spark.createDataFrame([(k, None if b is None else bytearray(b)) for k, b in rows], "k string, chunk binary")
+    got = artifacts.unpack_flash_chunks(df, ["k"]).orderBy("k", "start_sec").collect()
+    assert [(r["k"], r["start_sec"]) for r in got] == [("full", 4_000_000_000), ("full", 4_000_000_030), ("short", 4_000_000_000)]
+    values = list(got[0])[2:]
+    assert sorted(values) == sorted([-1 if x == 255 else -128 if x == 128 else x for x in epoch])
