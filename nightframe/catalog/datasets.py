@@ -232,8 +232,10 @@ def build_metadata(spark, sf):
 
 _SNAP = f"""{LAB}, d AS (SELECT recording_id, epoch_index, sha256(recording_id || ':' || strftime(window_end_ts, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || label || chr(10)) AS rd FROM lab_v),
 b AS (SELECT recording_id, epoch_index // 2048 AS b, sha256(string_agg(rd, '' ORDER BY epoch_index)) AS bd, count(*) AS n FROM d GROUP BY 1, 2),
-k AS (SELECT CAST('0x' || md5(CAST(recording_id AS VARCHAR))[1:12] AS BIGINT) % 4096 AS k, sha256(string_agg(bd, '' ORDER BY recording_id, b)) AS kd, sum(n) AS n FROM b GROUP BY 1),
-root AS (SELECT sha256(string_agg(kd, '' ORDER BY k)) AS checksum, CAST(sum(n) AS BIGINT) AS row_count FROM k)"""
+t AS (SELECT md5(recording_id || ':' || b) AS p, bd AS d, n FROM b), z AS (SELECT CASE WHEN count(*) <= 16 THEN 0 WHEN count(*) <= 256 THEN 1 WHEN count(*) <= 4096 THEN 2 ELSE 3 END AS z FROM t),
+l3 AS (SELECT left(p, 3) AS p, sha256(string_agg(d, '' ORDER BY t.p)) AS d, sum(n) AS n FROM t, z WHERE z = 3 GROUP BY left(t.p, 3)),
+{', '.join(f"l{k} AS (SELECT left(q.p, {k}) AS p, sha256(string_agg(q.d, '' ORDER BY q.p)) AS d, sum(n) AS n FROM (SELECT * FROM l{k + 1} UNION ALL SELECT t.* FROM t, z WHERE z = {k}) q GROUP BY left(q.p, {k}))" for k in (2, 1, 0))},
+root AS (SELECT d AS checksum, CAST(n AS BIGINT) AS row_count FROM l0)"""
 
 
 @query("dst_11_snapshot_digest", f"WITH {_SNAP} SELECT * FROM root")
@@ -251,6 +253,23 @@ def snapshot_verify(spark, sf):
     return ds.verify_snapshot(first, again)
 
 
+@query(
+    "dst_12_snapshot_differences",
+    f"""WITH {LAB} SELECT recording_id AS recording, CAST(epoch_index // 2048 AS BIGINT) AS block, CASE WHEN recording_id % 40 = 7 THEN 'changed' WHEN recording_id % 40 = 11 THEN 'missing' ELSE 'added' END AS change
+FROM lab_v WHERE recording_id % 40 IN (7, 11, 13) GROUP BY ALL HAVING recording_id % 40 <> 7 OR max((epoch_index % 50 = 3)::INT) = 1""",
+)
+def snapshot_differences(spark, sf):
+    """Some rows of a snapshot change, some recordings go or come: the tree names their blocks."""
+    rows = labelled(spark, sf)
+    group = F.col("recording_id") % 40
+    stored = ds.snapshot_rows(rows.filter(group != 13))
+    other = F.when((group == 7) & (F.col("epoch_index") % 50 == 3), F.concat(F.col("label"), F.lit("?"))).otherwise(F.col("label"))
+    rebuilt = ds.snapshot_rows(rows.filter(group != 11).withColumn("label", other))
+    first = ds.snapshot_tree(stored)
+    depth = first.agg(F.max("level")).first()[0]
+    return ds.tree_differences(first, ds.snapshot_tree(rebuilt, depth=depth)).select("recording", F.col("block").cast("bigint").alias("block"), "change")
+
+
 @query(
     "dst_13_snapshot_reload",
     f"WITH {LAB}, {SEEDED} SELECT recording_id, epoch_index, label, hr_mean > 45 AS found, split FROM lab_v JOIN sp USING (recording_id)",

@@ -242,25 +242,82 @@ def _digest_of(col: str, order: Sequence[str]) -> Column:
     return F.sha2(F.array_join(F.transform(items, lambda x: x["_d"]), ""), 256)
 
 
-def snapshot_digest(
-    rows: DataFrame, recording: str = "recording_id", index: str = "epoch_index", buckets: int = 4096
-) -> DataFrame:
-    """Order-sensitive digest tree of a snapshot: one row ``(checksum, row_count)``.
+#: Children of a node of a snapshot's tree, and leaves below the deepest nodes (expected).
+FAN_OUT = 16
+
+
+def snapshot_tree(rows: DataFrame, recording: str = "recording_id", index: str = "epoch_index", depth: int | None = None) -> DataFrame:
+    """Digest tree of a snapshot: ``(level, node, digest, n, recording, block)`` rows.
 
-    Rows are digested per bounded block of a recording, blocks per bucket of
-    recordings, buckets into the root, so no task reads the whole snapshot.
+    Leaves (level -1) are bounded blocks of a recording, their rows in order.
+    Each leaf has a path of hex digits from its key; a node is a path's first
+    digits, the root the empty one. The deepest nodes digest their leaves, the
+    others up to 16 children. ``depth`` is chosen from the counted leaves, so
+    that no node gathers more as the snapshot grows; a tree to compare with
+    another one takes that one's depth.
     """
-    block = block_of(index)
-    blocks = rows.groupBy(recording, block.alias("_b")).agg(
-        _digest_of("row_digest", [index]).alias("_bd"), F.count(F.lit(1)).alias("_n")
+    key = F.concat_ws(":", F.col(recording).cast("string"), F.col("block").cast("string"))
+    leaves = cut_lineage(
+        rows.groupBy(F.col(recording), block_of(index).alias("block"))
+        .agg(_digest_of("row_digest", [index]).alias("digest"), F.count(F.lit(1)).alias("n"))
+        .select(F.lit(-1).alias("level"), F.md5(key).alias("node"), "digest", "n", F.col(recording).alias("recording"), "block"),
+        "snapshot-leaves",
     )
-    bucket = F.pmod(
-        F.conv(F.substring(F.md5(F.col(recording).cast("string")), 1, 12), 16, 10).cast("bigint"), F.lit(buckets)
-    )
-    level = blocks.groupBy(bucket.alias("_k")).agg(
-        _digest_of("_bd", [recording, "_b"]).alias("_kd"), F.sum("_n").alias("_n")
-    )
-    return level.agg(_digest_of("_kd", ["_k"]).alias("checksum"), F.sum("_n").alias("row_count"))
+    if depth is None:
+        depth = tree_depth(leaves.count())
+    tree, below = leaves, leaves
+    for level in range(depth, -1, -1):
+        node = F.substring("node", 1, level)
+        stored = below.groupBy(node.alias("_p")).agg(_digest_of("digest", ["node"]).alias("digest"), F.sum("n").alias("n"))
+        below = stored.select(F.lit(level).alias("level"), F.col("_p").alias("node"), "digest", "n")
+        if level == depth:
+            below = cut_lineage(below, "snapshot-nodes")
+        tree = tree.unionByName(below, allowMissingColumns=True)
+    return tree
+
+
+def tree_depth(leaves: int) -> int:
+    """Levels below the root so that the deepest nodes have ``FAN_OUT`` leaves or so."""
+    depth, nodes = 0, 1
+    while nodes * FAN_OUT < leaves:
+        depth, nodes = depth + 1, nodes * FAN_OUT
+    return depth
+
+
+def snapshot_digest(rows: DataFrame, recording: str = "recording_id", index: str = "epoch_index") -> DataFrame:
+    """The root of a snapshot's digest tree: one row ``(checksum, row_count)`` (DST-11); none for no rows."""
+    root = snapshot_tree(rows, recording, index).filter("level = 0")
+    return root.select(F.col("digest").alias("checksum"), F.col("n").alias("row_count"))
+
+
+def tree_differences(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Leaves in which two trees of one depth differ: ``(recording, block, change)`` (DST-12).
+
+    The trees are compared from the root down, and at each level only below the
+    nodes that differed in the one before: a changed row is found by as many
+    comparisons as the tree has levels.
+    """
+    depth = stored.agg(F.max("level")).first()[0]
+    other = rebuilt.agg(F.max("level")).first()[0]
+    if None not in (depth, other) and depth != other:
+        raise ValueError("trees of different depth")
+    depth = next((d for d in (depth, other) if d is not None), 0)
+    open_ = None  # the nodes of the level above that differ
+    for level in [*range(depth + 1), -1]:
+        sides = []
+        for tree in (stored, rebuilt):
+            side = tree.filter(F.col("level") == level)
+            if open_ is not None:
+                above = F.substring("node", 1, level - 1 if level > 0 else depth)
+                side = side.withColumn("_above", above).join(open_.withColumnRenamed("node", "_above"), "_above", "left_semi").drop("_above")
+            sides.append(side)
+        a, b = (s.select("node", F.col("digest").alias(f"_{n}"), F.struct("recording", "block").alias(f"_l{n}")) for n, s in zip("ab", sides))
+        pairs = a.join(b, "node", "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b")))
+        if level < 0:
+            leaf = F.coalesce("_la", "_lb")
+            change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "missing").otherwise("changed")
+            return pairs.select(leaf["recording"].alias("recording"), leaf["block"].alias("block"), change.alias("change"))
+        open_ = cut_lineage(pairs.select("node"), "different-nodes")
 
 
 def verify_snapshot(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:

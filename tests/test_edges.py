@@ -208,3 +208,23 @@ def test_dumps_cut_short(spark):
     assert [(r["k"], r["start_sec"]) for r in got] == [("full", 4_000_000_000), ("full", 4_000_000_030), ("short", 4_000_000_000)]
     values = list(got[0])[2:]
     assert sorted(values) == sorted([-1 if x == 255 else -128 if x == 128 else x for x in epoch])
+
+
+def test_snapshot_trees_name_what_differs(spark):
+    """Trees of several levels; changed, missing and added blocks; equal and empty snapshots."""
+    rows = spark.range(0, 3000).select(
+        (F.col("id") / 3).cast("long").alias("recording_id"), (F.col("id") % 3 * 2048).cast("long").alias("epoch_index"),
+        F.sha2(F.col("id").cast("string"), 256).alias("row_digest"),
+    )
+    first = dataset.snapshot_tree(rows)
+    levels = {r["level"]: (r["count"], r["n"]) for r in first.groupBy("level").agg(F.count("*").alias("count"), F.sum("n").alias("n")).collect()}
+    assert dataset.tree_depth(3000) == 2 and levels[-1] == (3000, 3000) and levels[0] == (1, 3000) and set(levels) == {-1, 0, 1, 2}
+    assert dataset.tree_differences(first, dataset.snapshot_tree(rows.repartition(7), depth=2)).isEmpty()
+    other = rows.filter("recording_id <> 5").withColumn(
+        "row_digest", F.when((F.col("recording_id") == 900) & (F.col("epoch_index") == 2048), F.lit("x")).otherwise(F.col("row_digest"))
+    ).unionByName(spark.createDataFrame([(7777, 0, "y")], "recording_id long, epoch_index long, row_digest string"))
+    got = dataset.tree_differences(first, dataset.snapshot_tree(other, depth=2)).collect()
+    assert {tuple(r) for r in got} == {(5, 0, "missing"), (5, 1, "missing"), (5, 2, "missing"), (900, 1, "changed"), (7777, 0, "added")}
+    nothing = dataset.snapshot_tree(rows.limit(0))
+    assert nothing.isEmpty() and dataset.tree_differences(nothing, dataset.snapshot_tree(rows.limit(0))).isEmpty()
+    assert dataset.tree_differences(dataset.snapshot_tree(rows.limit(0), depth=2), first).count() == 3000
