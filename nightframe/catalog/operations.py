@@ -496,6 +496,36 @@ def train(spark, sf):
     return sc.apply_classifier(model, df, "features").select("recording_id", "epoch_index", "label", "prediction")
 
 
+def separable(spark, sf):
+    """Rows whose features tell the class: a wide gap in one of them, noise in the others."""
+    df = predictions(spark, sf).filter(F.col("true4").isNotNull())
+    label = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("true4")) - 1
+    return df.select(
+        *REC, "epoch_index", label.cast("double").alias("label"),
+        F.array(*[F.when(label == c, 5.0).otherwise(0.0) + F.col("k") % 7 / 10 for c in range(len(CLASSES))], F.col("hr_mean").cast("double")).alias("features"),
+    )
+
+
+_SEPARABLE = f"""WITH {PREDS} SELECT recording_id, epoch_index, CAST(CASE true4 WHEN 'W' THEN 0 WHEN 'Light' THEN 1 WHEN 'Deep' THEN 2 ELSE 3 END AS DOUBLE) AS label,
+  CAST(CASE true4 WHEN 'W' THEN 0 WHEN 'Light' THEN 1 WHEN 'Deep' THEN 2 ELSE 3 END AS DOUBLE) AS prediction FROM preds_v WHERE true4 IS NOT NULL"""
+
+
+@query("mod_06_grouped_folds", _SEPARABLE)
+def train_grouped(spark, sf):
+    """Regularisation chosen over folds of whole recordings, classes weighed alike; on separable rows the label is the truth."""
+    df = separable(spark, sf)
+    model = sc.train_classifier(df, "features", "label", folds=2, reg_params=(0.0, 0.01), max_iter=15, groups=["recording_id"], balanced=True)
+    return sc.apply_classifier(model, df, "features").select("recording_id", "epoch_index", "label", "prediction")
+
+
+@query("mod_06_boosted_trees", _SEPARABLE)
+def train_trees(spark, sf):
+    """One-vs-rest boosted trees with class weights on separable rows."""
+    df = separable(spark, sf)
+    model = sc.train_classifier(df, "features", "label", max_iter=2, balanced=True, trees=True)
+    return sc.apply_classifier(model, df, "features").select("recording_id", "epoch_index", "label", "prediction")
+
+
 _REPLAY = f"""rp AS (SELECT *, lead(pred4) OVER w AS na, lead(b4) OVER w AS nb FROM (SELECT *, CASE type_stage WHEN 'W' THEN 'W' WHEN 'N3' THEN 'Deep' WHEN 'REM' THEN 'REM' ELSE 'Light' END AS b4 FROM preds_v) WINDOW w AS (PARTITION BY {R} ORDER BY epoch_index)),
 ta AS (SELECT dataset_id, pred4 AS s, na AS d, count(*) AS n FROM rp WHERE na IS NOT NULL GROUP BY ALL), tb AS (SELECT dataset_id, b4 AS s, nb AS d, count(*) AS n FROM rp WHERE nb IS NOT NULL GROUP BY ALL),
 tc AS (SELECT coalesce(ta.dataset_id, tb.dataset_id) AS dataset_id, coalesce(ta.n, 0) - coalesce(tb.n, 0) AS df FROM ta FULL JOIN tb ON ta.dataset_id = tb.dataset_id AND ta.s = tb.s AND ta.d = tb.d),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nightframe.functions.numeric import LOW_AGREEMENT_DEFAULT, LOW_AGREEMENT_QUANTILE
@@ -222,38 +222,71 @@ def replay_summary(
     )
 
 
+def balanced_weights(train: DataFrame, label_index: str, out: str = "_weight") -> DataFrame:
+    """Rows with weights under which all classes count alike; one row per class is joined."""
+    counts = train.groupBy(label_index).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy()  # over one row per class
+    weights = counts.select(label_index, (F.sum("_n").over(whole) / (F.count("_n").over(whole) * F.col("_n"))).alias(out))
+    return train.join(F.broadcast(weights), label_index)
+
+
+def with_folds(train: DataFrame, groups: Sequence[str], folds: int, seed: int = 42, out: str = "_fold") -> DataFrame:
+    """Fold of each row by its group, so that a recording is never in two folds."""
+    return train.withColumn(out, F.pmod(F.xxhash64(F.lit(seed), *groups), F.lit(folds)).cast("int"))
+
+
 def train_classifier(
     train: DataFrame, features: str, label_index: str, weight: str | None = None, folds: int = 0,
     reg_params: Sequence[float] = (0.0,), max_iter: int = 20, seed: int = 42,
+    groups: Sequence[str] = (), balanced: bool = False, trees: bool = False, depth: int = 3,
 ):
-    """Multinomial logistic regression on scaled features, optionally with
-    cross-validated regularisation by macro-style F1 (MOD-06)."""
+    """Multinomial logistic regression on scaled features, or one-vs-rest boosted
+    trees (MOD-06).
+
+    ``balanced`` weighs classes alike. With ``folds`` the regularisation (or the
+    depth of the trees) is chosen by F1 over folds, made of whole ``groups``.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     data = train.withColumn("_vector", array_to_vector(F.col(features)))
-    scaler = StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True)
-    lr = LogisticRegression(featuresCol="_scaled", labelCol=label_index, maxIter=max_iter, family="multinomial")
-    if weight:
-        lr = lr.setWeightCol(weight)
-    pipeline = Pipeline(stages=[scaler, lr])
+    if balanced:
+        data, weight = balanced_weights(data, label_index), "_weight"
+    if trees:
+        base = GBTClassifier(featuresCol="_vector", labelCol=label_index, maxIter=max_iter, maxDepth=depth, seed=seed)
+        model = OneVsRest(classifier=base, featuresCol="_vector", labelCol=label_index, rawPredictionCol="rawPrediction")
+        if weight:
+            model = model.setWeightCol(weight)
+        pipeline = Pipeline(stages=[model])
+        grid = ParamGridBuilder().addGrid(base.maxDepth, [depth, depth + 2]).build()
+    else:
+        scaler = StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True)
+        model = LogisticRegression(featuresCol="_scaled", labelCol=label_index, maxIter=max_iter, family="multinomial")
+        if weight:
+            model = model.setWeightCol(weight)
+        pipeline = Pipeline(stages=[scaler, model])
+        grid = ParamGridBuilder().addGrid(model.regParam, list(reg_params)).build()
     if folds < 2:
         return pipeline.fit(data)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
     judge = MulticlassClassificationEvaluator(labelCol=label_index, metricName="f1")
     search = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed)
+    if groups:
+        data = with_folds(data, groups, folds, seed)
+        search = search.setFoldCol("_fold")
     return search.fit(data).bestModel
 
 
 def apply_classifier(model, df: DataFrame, features: str) -> DataFrame:
-    """Class index and probability array of a fitted classifier."""
+    """Class index and probability array of a fitted classifier (null for trees, which have scores only)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     scored = model.transform(df.withColumn("_vector", array_to_vector(F.col(features))))
+    if "probability" not in scored.columns:
+        return scored.withColumn("probabilities", F.lit(None).cast("array<double>")).drop("_vector", "rawPrediction")
     return scored.withColumn("probabilities", vector_to_array("probability")).drop(
         "_vector", "_scaled", "rawPrediction", "probability"
     )
