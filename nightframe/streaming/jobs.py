@@ -176,11 +176,12 @@ class OpenRecording(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         start = self.start.get()[0] if self.start.exists() else None
         frames = pd.concat(list(rows)).sort_values(["sec", "event_id"])
-        starts = []
-        for sec in frames["sec"]:
-            if start is None or sec - start > self.cap:
-                start = int(sec)
-            starts.append(start)
+        times, starts, at = frames["sec"].to_numpy(), np.empty(len(frames), np.int64), 0
+        while at < len(times):  # one step per recording
+            if start is None or times[at] - start > self.cap:
+                start = int(times[at])
+            after = int(np.searchsorted(times, start + self.cap, side="right"))
+            starts[at:after], at = start, after
         self.start.update((start,))
         out = frames[["event_id", "sec"]].copy()
         for name, part in zip(self.key_fields, key):
