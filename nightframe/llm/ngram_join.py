@@ -321,9 +321,13 @@ def compared_sets(source: DataFrame, nodes: DataFrame, sim: Similarity) -> DataF
         .join(chosen.select("node", "copies", "leaders"), "node")
         .dropDuplicates(["node"])
     )
-    blocks = near.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    # Only leaders with more than a block of members are joined, so the members of a large one do not meet.
+    blocks = cut_lineage(
+        near.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n")).filter("n > 1"), "large-leaders"
+    )
     rows = (
-        near.join(blocks, "leader")
+        _join_checked(near, blocks, "leader", "left")
+        .withColumn("n", F.coalesce("n", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         .join(sets, "node")
         .withColumn("earlier", F.filter("leaders", lambda x: x < F.col("leader")))
