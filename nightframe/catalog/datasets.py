@@ -149,7 +149,7 @@ o AS (SELECT *, row_number() OVER (ORDER BY rk, stratum) - 1 AS pos, count(*) OV
 
 @query(
     "dst_08_grouped_stratification",
-    f"WITH {LAB}, {_STRATA} SELECT recording_id, stratum, CAST(pos AS INT) AS \"order\", {cut_sql('pos', 'n')} AS split FROM o",
+    f"WITH {LAB}, {_STRATA} SELECT recording_id, stratum, CAST(pos AS BIGINT) AS \"order\", {cut_sql('pos', 'n')} AS split FROM o",
 )
 def stratified_groups(spark, sf):
     groups = ds.group_table(labelled(spark, sf), ["recording_id"], "end_sec")
