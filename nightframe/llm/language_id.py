@@ -21,6 +21,8 @@ from nightframe.llm.subword import Features, SubwordModel, feature_rows, fit, so
 SAMPLE_ROWS = 2500
 FEATURES = Features(grams=(1, 2, 3), lower=True)
 UNKNOWN = "und"
+#: Standard deviations of a language's evidence below which a text is in another one.
+DEVIATIONS = 4.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -28,8 +30,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> SubwordModel | None:
-    """Fit on text and non-null lang of rows that are not held out (null ids are not learned)."""
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, deviations: float = DEVIATIONS) -> SubwordModel | None:
+    """Fit on text and non-null lang of rows that are not held out (null ids are not learned).
+
+    Texts are rejected ``deviations`` below the evidence usual for their language.
+    """
     usable = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     chosen = (
         docs.filter(usable)
@@ -47,7 +52,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> SubwordModel | Non
         .join(F.broadcast(sample), "doc_id", "left_semi")
         .select(F.col("lang").alias("label"), "text")
     )
-    return fit(feature_rows(rows, FEATURES).limit(sample_rows).collect(), FEATURES)
+    return fit(feature_rows(rows, FEATURES).limit(sample_rows).collect(), FEATURES, deviations=deviations)
 
 
 def predicted(docs: DataFrame, model: SubwordModel | None) -> Column:
