@@ -21,6 +21,9 @@ from nightframe.session import cut_lineage, remove_scratch, scratch_scope
 #: Ids that may be broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 1_000_000
 
+#: How far below a language's usual evidence a text is dropped: wide, so that odd texts in a known language stay.
+DEVIATIONS = 6.0
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Intermediates of the stage that this thread ran last.
 _SPENT: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("spent", default=())
@@ -58,7 +61,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is predicted with enough confidence; all with a letter if none can be learned."""
-    model = language_id.train(docs)
+    model = language_id.train(docs, deviations=DEVIATIONS)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     guess = language_id.predicted(docs, model)
