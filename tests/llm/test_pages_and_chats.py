@@ -254,7 +254,7 @@ def test_pipeline_equals_plain_python_exactly(llm):
     assert len(texts_of) == docs.count()  # ids are unique here
     step = docs.filter(docs.doc_id.isin(kept))
     assert sorted(r["doc_id"] for r in corpus_pipeline.quality(llm, docs, SF).collect()) == sorted(kept)
-    judged = language_id.language_id(step, language_id.train(step)).collect()
+    judged = language_id.language_id(step, language_id.train(step, deviations=corpus_pipeline.DEVIATIONS)).collect()
     kept = sorted(r["doc_id"] for r in judged if not r["rejected"])
     assert sorted(r["doc_id"] for r in corpus_pipeline.language(llm, step, SF).collect()) == kept
     step = docs.filter(docs.doc_id.isin(kept))
