@@ -249,13 +249,21 @@ def index_range(df: DataFrame, length: str, out: str, spread: bool = False) -> D
         "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / BLOCK_ROWS)))
     )
     if spread:  # a number of partitions is named, since blocks look too small to be left apart
-        blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_b")
+        blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns, "_b")
     low = F.col("_b") * BLOCK_ROWS
     return blocks.withColumn(
         out, F.explode(F.sequence(low, F.least(low + BLOCK_ROWS - 1, last.cast("bigint"))))
     ).drop("_b")
 
 
+def block_pieces(df: DataFrame, first: str, count: str, size: int = BLOCK_ROWS) -> DataFrame:
+    """Index ranges ``first .. first + count - 1`` cut at block borders: ``_block``, ``_low``, ``_high`` per piece."""
+    last = F.col(first) + F.col(count) - 1
+    cut = df.filter(F.col(count) > 0).withColumn(BLOCK, F.explode(F.sequence(block_of(first, size), block_of(last, size))))
+    low = F.greatest(F.col(first), F.col(BLOCK) * size)
+    return cut.withColumns({"_low": low, "_high": F.least(last, F.col(BLOCK) * size + size - 1)}).drop(first, count)
+
+
 def hypnogram_from_events(
     events: DataFrame, keys: Sequence[str], epoch_seconds: int = EPOCH_SECONDS
 ) -> DataFrame:
@@ -290,14 +298,17 @@ def hypnogram_from_events(
     lengths = placed.groupBy(*keys).agg(
         F.max(F.col("_at") + F.col("_n")).alias("_len"), F.max("_odd").alias("odd_duration")
     )
-    scored = (
-        index_range(placed, "_n", "_k")
-        .groupBy(*keys, (F.col("_at") + F.col("_k")).alias("epoch_index"))
-        .agg(F.max_by("stage", "line_no").alias("stage"))
+    # Events and grid travel as pieces of index blocks and become epochs where they arrive: the lists
+    # of epochs, far longer than a planner can see, are neither shuffled nor ever sent to every task.
+    count = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = block_pieces(lengths.withColumn("_at", F.lit(0).cast("bigint")), "_at", "_len").withColumn("_grid", F.lit(True))
+    pieces = block_pieces(placed.drop("_odd"), "_at", "_n").unionByName(grid, allowMissingColumns=True)
+    epochs = pieces.repartition(count, *keys, BLOCK).withColumn("epoch_index", F.explode(F.sequence("_low", "_high")))
+    scored = epochs.groupBy(*keys, BLOCK, "epoch_index").agg(
+        F.max("odd_duration").alias("odd_duration"), F.max_by("stage", "line_no").alias("stage"), F.max("_grid").alias("_grid")
     )
-    grid = index_range(lengths, "_len", "epoch_index").select(*keys, "epoch_index", "odd_duration")
-    return grid.join(scored, [*keys, "epoch_index"], "left").withColumn(
-        "stage", F.coalesce("stage", F.lit(STAGE_UNKNOWN))
+    return scored.filter("_grid").select(
+        *keys, "epoch_index", "odd_duration", F.coalesce("stage", F.lit(STAGE_UNKNOWN)).alias("stage")
     )
 
 
