@@ -104,7 +104,8 @@ def balance_classes(
     draws = index_range(targets, "_target", "_j", spread=True).select(
         label, "_j", (draw(seed, label, "_j") % F.col("_n")).alias("_pos")
     )
-    return draws.join(ranked, [label, "_pos"]).drop("_pos").withColumnRenamed("_j", "draw")
+    # the planner sees the blocks of draws only, a few rows: without a word it would send all draws to every task
+    return draws.hint("merge").join(ranked, [label, "_pos"]).drop("_pos").withColumnRenamed("_j", "draw")
 
 
 def _split_by_position(pos: Column, total: Column, ratios: SplitRatios) -> Column:
@@ -428,4 +429,4 @@ def weighted_resample(
     draws = index_range(sizes, "_n", "_j", spread=True).select(
         F.col("_j").alias("draw"), heavy.alias(hard), F.least(pos, limit).alias("_pos")
     )
-    return draws.join(ranked, [hard, "_pos"]).drop("_pos")
+    return draws.hint("merge").join(ranked, [hard, "_pos"]).drop("_pos")
