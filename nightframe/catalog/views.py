@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframe.operators.ordered import running_totals, with_position
+from nightframe.operators.ordered import BLOCK, running_totals, wide_blocks, with_position
 from nightframe.schema import CLASSES, DATASETS, FEATURES
 
 BASE_SECONDS = 1704146400  # 2024-01-01 22:00:00 UTC, start of the first night
@@ -123,12 +123,12 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
     )
-    hour = events.withColumn("_hour", F.floor(F.col("_us") / 3_600_000_000))
+    known = events.filter(F.col("user_id").isNotNull() & F.col("_us").isNotNull())
     numbered = running_totals(
-        hour,
+        wide_blocks(known, ["user_id"], F.floor(F.col("_us") / 3_600_000_000)),
         ["user_id"],
         ["_us", "event_id"],
-        "_hour",
+        BLOCK,
         {
             "_n": F.lit(1),
             "_skips": F.when(F.col("event_id") % 17 == 0, 1).otherwise(0),
@@ -214,11 +214,12 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice",
         (F.col("l_quantity") - 25).alias("value"),
     )
+    known = lines.filter(F.col("recording_id").isNotNull())
     numbered = with_position(
-        lines,
+        wide_blocks(known, ["recording_id", "channel"], F.floor(F.col("l_orderkey") / 8192)),
         ["recording_id", "channel"],
         ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
-        F.floor(F.col("l_orderkey") / 8192),
+        BLOCK,
         "sample_idx",
     )
     return numbered.select(

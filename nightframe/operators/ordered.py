@@ -18,6 +18,9 @@ from nightframe.session import cut_lineage
 
 BLOCK = "_block"
 
+#: Keys with more rows than this keep their fine blocks in :func:`wide_blocks`.
+LONG_KEY_ROWS = 1 << 18
+
 
 def block_of(index: str | Column, size: int = BLOCK_ROWS) -> Column:
     """Block number of an integer position."""
@@ -80,6 +83,22 @@ def running_max(
     )
 
 
+def wide_blocks(df: DataFrame, keys: Sequence[str], block: str | Column, limit: int = LONG_KEY_ROWS) -> DataFrame:
+    """``df`` with ``_block``: the given block in keys of more than ``limit`` rows, one block in all others.
+
+    Fine blocks are needed where a key is long; elsewhere they would make about as
+    many blocks as rows. There are at most ``rows / limit`` long keys, and only their
+    names are sent along. Null keys count as a key.
+    """
+    keys = list(keys)
+    named = [F.col(k).alias(f"_l_{k}") for k in keys]
+    long = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).drop("_rows")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys])
+    fine = F.when(F.col("_long"), _block_column(block)).otherwise(F.lit(0).cast("bigint"))
+    marked = df.join(F.broadcast(long.withColumn("_long", F.lit(True))), same, "left")
+    return marked.withColumn(BLOCK, F.coalesce(fine, F.lit(0).cast("bigint"))).drop("_long", *[f"_l_{k}" for k in keys])
+
+
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
