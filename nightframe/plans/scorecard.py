@@ -46,7 +46,9 @@ def scorecard(df: DataFrame, keys: Sequence[str], night: str, dataset: str, nigh
     ``nights`` may be a stored copy of :func:`night_scores`; otherwise it is
     computed and stored here, one row per night.
     """
-    labelled = df.filter(F.col("true4").isNotNull())
+    # a dozen steps below read these rows: they are made once
+    columns = dict.fromkeys([*keys, night, dataset, "epoch_index", "true4", "pred4", "probabilities"])
+    labelled = cut_lineage(df.filter(F.col("true4").isNotNull()).select(*columns), "labelled")
     classes = ev.per_class(ev.confusion_counts(labelled, [], "true4", "pred4"), [])
     recalls = classes.agg(
         *[
@@ -55,7 +57,7 @@ def scorecard(df: DataFrame, keys: Sequence[str], night: str, dataset: str, nigh
         ]
     )
     per_dataset = ev.classification_report(labelled, [dataset])
-    nights = cut_lineage(night_scores(df, list(keys)), "nights") if nights is None else nights
+    nights = cut_lineage(night_scores(labelled, list(keys)), "nights") if nights is None else nights
     summary = ni.metric_summary(nights, night, "macro_f1").select(
         F.col("p10").alias("p10_macro_f1"), F.col("worst_decile_mean").alias("worst_decile_macro_f1"), "nights"
     )
