@@ -10,6 +10,7 @@ from nightframe.catalog.base import big, query, r6
 from nightframe.catalog.views import PREDS, SAMPLES, epochs, predictions, read, samples
 from nightframe.operators import signal as sig
 from nightframe.operators.nights import positions
+from nightframe.session import cut_lineage
 
 KEY = ["recording_id", "channel"]
 K = "recording_id, channel"
@@ -30,6 +31,11 @@ def _alias_sql() -> str:
     return f"al(logical, priority, alias) AS (VALUES {', '.join(rows)})"
 
 
+def stored_samples(spark, sf):
+    """The samples written once, for operators that read them in several passes."""
+    return cut_lineage(samples(spark, sf), "samples")
+
+
 @query(
     "sig_01_resolve_channels",
     f"""WITH {PREDS}, {_POS}, {_alias_sql()}, l AS (SELECT recording_id, pos AS ord, {_LABEL} AS label FROM pos_v WHERE pos < 12 + recording_id % 9 OR pos >= 0),
@@ -105,7 +111,7 @@ def _thr_sql(factor: float, col: str = "value", src: str = "samples_v") -> str:
 
 @query("sig_06_robust_threshold", f"WITH {SAMPLES}, {_thr_sql(1.5)} SELECT {K}, median, mad, round(threshold, 6) AS threshold FROM th")
 def threshold(spark, sf):
-    return sig.robust_threshold(samples(spark, sf), KEY, 1.5).select(*KEY, "median", "mad", r6("threshold"))
+    return sig.robust_threshold(stored_samples(spark, sf), KEY, 1.5).select(*KEY, "median", "mad", r6("threshold"))
 
 
 _TOPS = f"""st AS (SELECT *, lag(value) OVER w AS pv FROM samples_v {_W}), ru AS (SELECT {K}, sample_idx, value FROM st WHERE pv IS NULL OR pv <> value),
@@ -115,7 +121,7 @@ tops AS (SELECT {K}, (sample_idx + ni - 1) // 2 AS sample_idx, value FROM rn WHE
 
 @query("sig_07_local_maxima", f"WITH {SAMPLES}, {_TOPS}, {_thr_sql(0.5)} SELECT {K}, sample_idx, value FROM tops JOIN th USING ({K}) WHERE value >= threshold")
 def maxima(spark, sf):
-    df = samples(spark, sf)
+    df = stored_samples(spark, sf)
     return sig.detect_peaks(df, KEY, 1, threshold=sig.robust_threshold(df, KEY, 0.5))
 
 
@@ -376,7 +382,7 @@ ma AS (SELECT {K}, epoch_index, CAST(round_even(100.0 * avg(mi), 0) AS INT) AS m
 
 
 def enveloped(spark, sf):
-    return samples(spark, sf).withColumn("envelope", F.abs("value"))
+    return stored_samples(spark, sf).withColumn("envelope", F.abs("value"))
 
 
 @query("sig_24_movement", f"WITH {SAMPLES}, {_MOVE} SELECT {K}, epoch_index, minor_move_pct, large_move_pct FROM ma")
@@ -417,7 +423,7 @@ SELECT {K}, epoch_index, CAST(minor_move_pct AS DOUBLE) AS vib_move_pct, CAST(re
 FROM mo FULL JOIN rq USING ({K}, epoch_index) FULL JOIN ra USING ({K}, epoch_index)""",
 )
 def vibration(spark, sf):
-    out = sig.vibration_features(samples(spark, sf), KEY, N, 1.0, 3)
+    out = sig.vibration_features(stored_samples(spark, sf), KEY, N, 1.0, 3)
     return out.select(*EK, F.col("vib_move_pct").cast("double").alias("vib_move_pct"), F.col("resp_quality").cast("double").alias("resp_quality"), r6("vib_rr"))
 
 
@@ -430,7 +436,7 @@ qq AS (SELECT *, nan_inf_fraction <= 0.02 AND flatline_fraction <= 0.9 AND varia
 
 
 def qc_rows(spark, sf):
-    df = samples(spark, sf).withColumn("value", F.when(F.col("sample_idx") % 97 == 0, float("nan")).otherwise(F.col("value")))
+    df = stored_samples(spark, sf).withColumn("value", F.when(F.col("sample_idx") % 97 == 0, float("nan")).otherwise(F.col("value")))
     return sig.channel_qc(df)
 
 
