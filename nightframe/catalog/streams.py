@@ -9,7 +9,7 @@ from nightframe.catalog.views import read
 from nightframe.operators import statistics as stat
 from nightframe.operators.ingest import first_per_key
 from nightframe.operators.ordered import with_position
-from nightframe.session import scratch_path
+from nightframe.session import cut_lineage, scratch_path
 from nightframe.streaming import jobs
 
 _EV = "ev AS (SELECT *, CAST(user_id % 5 AS BIGINT) AS device_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec FROM events)"
@@ -24,6 +24,7 @@ def feed(spark, df, label: str, run) -> None:
     as a scheduled ``availableNow`` job does. Rows without a time arrive first.
     """
     path = scratch_path(spark, label)
+    df = cut_lineage(df, f"{label}-rows")  # made once, not for every period
     period = F.coalesce(sum((F.col("ts") >= F.lit(day).cast("timestamp")).cast("int") for day in CUTS), F.lit(0))
     for k in range(len(CUTS) + 1):
         df.filter(period == k).write.mode("append").parquet(path)
