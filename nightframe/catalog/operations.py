@@ -19,12 +19,14 @@ from nightframe.operators import sequences as sq
 from nightframe.operators import statistics as stat
 from nightframe.plans import scorecard as card
 from nightframe.schema import CLASSES, FEATURES
+from nightframe.session import cut_lineage
 
 _UNP = f"u_v AS (SELECT tenant_id, recording_id, strftime(ingest_ts, '%Y-%m-%d') AS day, unnest([{', '.join(repr(f) for f in FEATURES)}]) AS feature, CAST(unnest([{', '.join(FEATURES)}]) AS DOUBLE) AS value, k FROM epochs_v)"
 
 
 def feature_rows(spark, sf):
     df = epochs(spark, sf).withColumn("day", F.date_format("ingest_ts", "yyyy-MM-dd"))
+    df = cut_lineage(df.select("tenant_id", "recording_id", "day", "k", *FEATURES), "features")  # read by several aggregates
     return unpivot_features(df, ["tenant_id", "recording_id", "day", "k"], FEATURES)
 
 
@@ -519,7 +521,7 @@ _SEPARABLE = f"""WITH {PREDS} SELECT recording_id, epoch_index, CAST(CASE true4
 @query("mod_06_grouped_folds", _SEPARABLE)
 def train_grouped(spark, sf):
     """Regularisation chosen over folds of whole recordings, classes weighed alike; on separable rows the label is the truth."""
-    df = separable(spark, sf)
+    df = cut_lineage(separable(spark, sf), "separable")
     model = sc.train_classifier(df, "features", "label", folds=2, reg_params=(0.0, 0.01), max_iter=15, groups=["recording_id"], balanced=True)
     return sc.apply_classifier(model, df, "features").select("recording_id", "epoch_index", "label", "prediction")
 
