@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nightframe.functions.numeric import LOW_AGREEMENT_DEFAULT, LOW_AGREEMENT_QUANTILE
 from nightframe.functions.binding import bind
-from nightframe.functions.probability import argmax_label, linear_logits, log_loss, softmax, total
+from nightframe.functions.probability import argmax_label, linear_logits, softmax, total
 from nightframe.operators.evaluation import is_finite
 from nightframe.operators.ordered import exact_quantiles
 from nightframe.operators.sequences import transition_cells
 from nightframe.operators.windows import model_input
+from nightframe.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 PENALTY_SELF, PENALTY_NEAR, PENALTY_DEFAULT, PENALTY_FORBIDDEN = 0.0, 0.2, 1.4, 4.0
@@ -161,22 +166,56 @@ def low_agreement_threshold(train: DataFrame, col: str = "agree_flags") -> DataF
     return fit.select(F.coalesce("threshold", F.lit(LOW_AGREEMENT_DEFAULT)).alias("threshold"))
 
 
+def loss_sums(logits: pa.Array, index: pa.Array, temperatures: Sequence[float]) -> list[float | None]:
+    """Sum of the rows' negative log-likelihoods at each temperature; rows with a null count as nothing.
+
+    Classes are numbered from 1; a number that names no class is refused.
+    """
+    whole = pa.compute.and_(logits.is_valid(), index.is_valid()).to_numpy(zero_copy_only=False)
+    lengths = pa.compute.fill_null(pa.compute.list_value_length(logits), 0).to_numpy(zero_copy_only=False)
+    at = pa.compute.fill_null(index, 0).to_numpy(zero_copy_only=False)
+    if (whole & ((at == 0) | (np.abs(at) > lengths))).any():
+        raise ValueError("a label index names no class")
+    flat = logits.flatten()
+    known, cells = flat.is_valid().to_numpy(zero_copy_only=False), flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    totals: list[float | None] = [None] * len(temperatures)
+    for width in np.unique(lengths[whole]).tolist():
+        mine = np.flatnonzero(whole & (lengths == width))
+        places = starts[mine][:, None] + np.arange(width)
+        full = known[places].all(1)
+        z, y = cells[places][full], at[mine][full]
+        if not len(z):
+            continue
+        with np.errstate(invalid="ignore", over="ignore"):
+            top = z.max(1, keepdims=True)
+            chosen = z[np.arange(len(z)), np.where(y > 0, y - 1, y)]
+            for i, t in enumerate(temperatures):
+                loss = np.log(np.exp((z - top) / t).sum(1)) + (top[:, 0] - chosen) / t
+                totals[i] = (totals[i] or 0.0) + float(loss.sum())
+    return totals
+
+
 def fit_temperature(
     df: DataFrame, logits: str, label_index: str, grid: Sequence[float]
 ) -> DataFrame:
     """Temperature with the smallest negative log-likelihood on a grid (MOD-05).
 
-    One aggregate column per candidate: one pass, no row is copied. Candidates
-    below 0.05 are raised to it.
+    Each Arrow batch of rows becomes one row of sums, a column per candidate: one
+    pass, no row is copied. Candidates below 0.05 are raised to it.
     """
     usable = sorted({max(float(t), 0.05) for t in grid})
-    sums = df.agg(
-        *[
-            F.sum(log_loss(F.col(logits), F.col(label_index), F.lit(t))).alias(f"_t{i}")
-            for i, t in enumerate(usable)
-        ],
-        F.count(F.lit(1)).alias("rows"),
-    )
+    names = [f"_t{i}" for i in range(len(usable))]
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = loss_sums(batch.column("_z"), batch.column("_y"), usable)
+            rows = pa.array([batch.num_rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array([s], pa.float64()) for s in sums], rows], names=[*names, "rows"])
+
+    rows = df.select(F.col(logits).cast("array<double>").alias("_z"), F.col(label_index).cast("int").alias("_y"))
+    schema = T.StructType([*[T.StructField(n, T.DoubleType()) for n in names], T.StructField("rows", T.LongType())])
+    sums = rows.mapInArrow(sums_of, schema).agg(*[F.sum(n).alias(n) for n in names], F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
     cells = [F.struct(F.col(f"_t{i}").alias("nll"), F.lit(t).alias("temperature")) for i, t in enumerate(usable)]
     best = F.array_min(F.array(*cells))
     return sums.select(best["temperature"].alias("temperature"), (best["nll"] / F.col("rows")).alias("nll"), "rows")
@@ -256,6 +295,11 @@ def train_classifier(
     data = train.withColumn("_vector", array_to_vector(F.col(features)))
     if balanced:
         data, weight = balanced_weights(data, label_index), "_weight"
+    if folds >= 2 and groups:
+        data = with_folds(data, groups, folds, seed)
+    # every fit and every score of a fold reads these rows again: they are made once
+    extra = [weight] * (weight is not None) + ["_fold"] * (folds >= 2 and bool(groups))
+    data = cut_lineage(data.select("_vector", label_index, *extra), "training")
     if trees:
         base = GBTClassifier(featuresCol="_vector", labelCol=label_index, maxIter=max_iter, maxDepth=depth, seed=seed)
         model = OneVsRest(classifier=base, featuresCol="_vector", labelCol=label_index, rawPredictionCol="rawPrediction")
@@ -275,7 +319,6 @@ def train_classifier(
     judge = MulticlassClassificationEvaluator(labelCol=label_index, metricName="f1")
     search = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed)
     if groups:
-        data = with_folds(data, groups, folds, seed)
         search = search.setFoldCol("_fold")
     return search.fit(data).bestModel
 
