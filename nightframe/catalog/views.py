@@ -123,7 +123,7 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
     )
-    known = events.filter(F.col("user_id").isNotNull() & F.col("_us").isNotNull())
+    known = events.filter(F.col("user_id").isNotNull())
     numbered = running_totals(
         wide_blocks(known, ["user_id"], F.floor(F.col("_us") / 3_600_000_000)),
         ["user_id"],
@@ -133,7 +133,7 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "_n": F.lit(1),
             "_skips": F.when(F.col("event_id") % 17 == 0, 1).otherwise(0),
         },
-    ).withColumn("epoch_index", (F.col("_n") - 1 + F.col("_skips")).cast("int"))
+    ).filter(F.col("_us").isNotNull()).withColumn("epoch_index", (F.col("_n") - 1 + F.col("_skips")).cast("int"))
     staged = numbered.withColumns(
         {"type_stage": F.expr(_TYPE_STAGE), "ground_truth_stage": F.expr(_TRUTH)}
     )

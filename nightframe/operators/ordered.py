@@ -88,13 +88,14 @@ def wide_blocks(df: DataFrame, keys: Sequence[str], block: str | Column, limit:
 
     Fine blocks are needed where a key is long; elsewhere they would make about as
     many blocks as rows. There are at most ``rows / limit`` long keys, and only their
-    names are sent along. Null keys count as a key.
+    names are sent along. Null keys count as a key; a null block comes first, as in a sort.
     """
     keys = list(keys)
     named = [F.col(k).alias(f"_l_{k}") for k in keys]
     long = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).drop("_rows")
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys])
-    fine = F.when(F.col("_long"), _block_column(block)).otherwise(F.lit(0).cast("bigint"))
+    given = block if isinstance(block, Column) else F.col(block)
+    fine = F.when(F.col("_long"), F.coalesce(given.cast("bigint"), F.lit(-(1 << 62))))
     marked = df.join(F.broadcast(long.withColumn("_long", F.lit(True))), same, "left")
     return marked.withColumn(BLOCK, F.coalesce(fine, F.lit(0).cast("bigint"))).drop("_long", *[f"_l_{k}" for k in keys])
 

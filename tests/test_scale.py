@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nightframe.catalog import QUERIES, streams
+from nightframe.catalog import QUERIES, streams, views
 from nightframe.functions import probability as prob
 from nightframe.operators import dataset, ordered, scoring, windows
 from nightframe.sources import artifacts
@@ -109,3 +109,10 @@ def test_only_long_keys_keep_fine_blocks(spark):
     assert blocks == {"long": 5, "short": 1, None: 2} and marked.count() == 31
     placed = ordered.with_position(marked.filter("k is not null"), ["k"], ["i"], "_block").collect()
     assert len(placed) == 23 and all(r["pos"] == r["i"] for r in placed)
+
+
+def test_an_event_without_a_time_counts_but_has_no_epoch(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, at, 7, "click", 1.0, "k1"), (2, None, 7, "view", 1.0, "k2"), (3, at + dt.timedelta(hours=5), 7, "view", 1.0, "k3"), (4, at, None, "view", 1.0, "k4")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted((r.event_id, r.epoch_index) for r in views.epochs(spark, str(tmp_path)).collect()) == [(1, 1), (3, 2)]
