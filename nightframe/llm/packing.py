@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain, repeat
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ OPEN = 48
 FAN_IN = 16
 END_ID = 2
 #: Texts are tokenized in groups of so many characters at most (or one text).
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 2_000_000
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "window bigint, offset bigint, is_open boolean"
@@ -38,19 +40,21 @@ PIECES = (
 #: The tokenizer's own white space; Python's split() also takes these four separators.
 _ODD = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: The tokenizer's rule for the parts of a word, for lower-case ASCII words.
-_ASCII_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-_PLAIN = re.compile(r"[!-~]+", re.ASCII)
-#: Words kept between groups of texts; beyond it the memory starts anew.
+#: Beyond ASCII, characters that may be split here: Latin, Greek, Cyrillic, quotes and dashes.
+_USUAL = [*range(0xA1, 0x250), *range(0x370, 0x460), *range(0x1E00, 0x1F00), *range(0x2010, 0x2028), 0x20AC]
+#: Words kept between groups of texts; beyond it those seen least are dropped.
 KNOWN_WORDS = 250_000
+#: Parts of words kept; beyond it their memory starts anew.
+KNOWN_PARTS = 250_000
 
 
 class WordTokenizer:
     """Token ids of texts, computed once per distinct word.
 
     For a tokenizer that lower-cases and drops white space, so that words are
-    independent of each other. Printable ASCII words without an added token are
-    split here by the tokenizer's own rule; all others go through all of it.
+    independent of each other. Words of printable ASCII and usual characters
+    without an added token are split here by the tokenizer's own rule; all others
+    go through all of it.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,53 +62,138 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        self.whole, self.model = whole, whole.model
+        self.whole = whole
         added = [t.content for t in whole.get_added_tokens_decoder().values()]
         if any(not c or re.search(r"\s", c) for c in added):
             raise ValueError("an added token goes across the borders of words")
         # Finds more than the tokenizer does, whatever the case; it decides.
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
-        self._forget()
+        # A sign that all added tokens hold, if there is one.
+        shared = set.intersection(*map(set, added)) if added else set()
+        self.sign = min((c for c in shared if c.isascii() and not c.isalnum()), default="")
+        # The model alone, for parts of words that are split and in small letters.
+        self.model = Tokenizer(whole.model)
+        self._learn_characters()
+        self._forget_parts()
+        # Word k has entry k + 1; entry 0 ends a text.
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.sizes, self.seen = np.array([END_ID], np.uint32), np.ones(1, np.int64), np.zeros(1, np.int64)
+
+    def _learn_characters(self) -> None:
+        """Bytes and kind of every usual character, as the tokenizer has them.
+
+        Left out are marks, which combine with others, digits, and what is not one
+        character in small letters or not always the same (sigma).
+        """
+        normal, split = self.whole.normalizer.normalize_str, self.whole.pre_tokenizer.pre_tokenize_str
+        self.bytes: dict[int, str] = {}
+        usual, letters = "", ""
+        for c in map(chr, _USUAL):
+            low = normal(c)
+            if len(low) != 1 or low != c.lower() or c == "\u03a3" or unicodedata.category(c)[0] in "MC":
+                continue
+            is_letter = len(split("a" + low)) == 1
+            if is_letter or len(split("!" + low)) == 1:
+                usual += re.escape(c)
+                letters += re.escape(low) if is_letter else ""
+                self.bytes[ord(low)] = split(low)[0][0]
+        self.usual = re.compile(f"[!-~{usual}]+")
+        # The tokenizer's rule for the parts of a word, in small letters; a line holds a word.
+        self.parts = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[a-z{letters}]+|[0-9]|[^\sa-z0-9{letters}]+|\n")
+
+    def _forget_parts(self) -> None:
+        self.known_parts = {"\n": 0}
+        self.part_ids, self.part_sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.sizes = array("I", [END_ID]), array("q", [1])  # entry 0 ends a text
-
-    def _learn(self, word: str) -> int:
-        if _PLAIN.fullmatch(word) and not self.added.search(word):
-            ids = [t.id for p in _ASCII_PARTS.findall(word.lower()) for t in self.model.tokenize(p)]
-        else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        self.ids.extend(ids)
-        self.sizes.append(len(ids))
-        code = self.known[word] = len(self.sizes) - 1
-        return code
+        """Keep the half of the words seen most, and halve their counts."""
+        kept = np.argsort(-self.seen[1:], kind="stable")[: KNOWN_WORDS // 2] + 1
+        kept = np.sort(kept[self.seen[kept] > 1])
+        self.known = self.known.take(pa.array(kept - 1))
+        kept = np.concatenate([[0], kept])
+        self.ids = _gather(self.ids, self.sizes, kept)
+        self.sizes, self.seen = self.sizes[kept], self.seen[kept] // 2
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        known = self.known_parts
+        got = self.model.encode(
+            [p if p.isascii() else p.translate(self.bytes) for p in parts], is_pretokenized=True, add_special_tokens=False
+        )
+        sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(parts))
+        self.part_ids = np.concatenate([self.part_ids, np.array(got.ids, np.uint32)])
+        self.part_sizes = np.concatenate([self.part_sizes, sizes])
+        known.update(zip(parts, range(len(known), len(known) + len(parts))))
+
+    def _learn(self, words: pa.Array) -> None:
+        usual, sign, added = self.usual.fullmatch, self.sign, self.added.search
+        here, whole = [], {}
+        for k, w in enumerate(words.to_numpy(zero_copy_only=False).tolist()):
+            if usual(w) and not (sign in w and added(w)):
+                here.append(w)
+            else:
+                here.append("")
+                whole[k] = self.whole.encode(w, add_special_tokens=False).ids
+        if len(self.known_parts) > KNOWN_PARTS:
+            self._forget_parts()
+        found = self.parts.findall("\n".join(here).lower())
+        new = [p for p in dict.fromkeys(found) if p not in self.known_parts]
+        if new:
+            self._learn_parts(new)
+        codes = np.fromiter(map(self.known_parts.__getitem__, found), np.int64, len(found))
+        line = np.cumsum(codes == 0)
+        sizes = np.bincount(line, self.part_sizes[codes], len(here)).astype(np.int64)
+        ids = _gather(self.part_ids, self.part_sizes, codes)
+        if whole:
+            at = np.repeat(np.cumsum(sizes)[list(whole)], [len(w) for w in whole.values()])
+            ids = np.insert(ids, at, np.array(list(chain.from_iterable(whole.values())), np.uint32))
+            sizes[list(whole)] = [len(w) for w in whole.values()]
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.known = pa.concat_arrays([self.known, words])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each followed by ``END_ID``, and the texts' bounds in them."""
         if len(self.known) > KNOWN_WORDS:
             self._forget()
-        words = [(_WHITE.split(t) if _ODD.search(t) else t.split()) for t in texts]
-        counts = np.array([len(w) for w in words], np.int64)
+        if any(map(_ODD.search, texts)):
+            words = pa.array(map(_WHITE.split, texts), pa.large_list(pa.large_string()))
+        else:
+            words = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        counts = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         bounds = np.concatenate([[0], np.cumsum(counts + 1)])
-        flat = list(chain.from_iterable(words))
-        codes = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        known, learn = self.known, self._learn
-        for k in np.flatnonzero(codes < 0).tolist():
-            word = flat[k]
-            code = known.get(word)
-            codes[k] = learn(word) if code is None else code
+        flat = words.flatten().dictionary_encode()
+        codes = pc.index_in(flat.dictionary, self.known).fill_null(-1).to_numpy() + 1
+        new = np.flatnonzero(codes == 0)
+        if len(new):
+            codes[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+            self._learn(flat.dictionary.take(pa.array(new)))
         full = np.zeros(bounds[-1], np.int64)
         inner = np.ones(bounds[-1], bool)
         inner[bounds[1:] - 1] = False
-        full[inner] = codes
-        sizes = np.array(self.sizes)
-        at = np.cumsum(sizes) - sizes
-        n = sizes[full]
-        ends = np.cumsum(n)
-        first = at[full] - (ends - n)
-        ids = np.array(self.ids)[np.repeat(first, n) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[bounds]
+        full[inner] = codes[flat.indices.to_numpy()]
+        seen = np.bincount(full, minlength=len(self.sizes))
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
+        ends = np.cumsum(self.sizes[full])
+        return _gather(self.ids, self.sizes, full), np.concatenate([[0], ends])[bounds]
+
+
+def _gather(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The values of the runs ``codes``, on end; run k has ``sizes[k]`` values."""
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    first = (np.cumsum(sizes) - sizes)[codes] - (ends - n)
+    return values[np.repeat(first, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+@lru_cache(maxsize=1)
+def _tokenizer_of(path: str, size: int, changed: int) -> WordTokenizer:
+    return WordTokenizer(path)
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of a file, read once per Python worker, so that its words serve all of the worker's tasks."""
+    about = os.stat(path)
+    return _tokenizer_of(path, about.st_size, about.st_mtime_ns)
 
 
 class OpenWindows:
@@ -142,7 +231,7 @@ def _groups(docs: list, texts: list) -> Iterator[tuple[list, list]]:
 
 def _pack(path: str, window_size: int, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         windows = OpenWindows(TaskContext.get().partitionId() << 40, room, window_size)
         held: list[tuple] = []  # pieces of windows that were open when last looked at
         schema = pa.schema(

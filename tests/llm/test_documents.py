@@ -157,6 +157,59 @@ def test_added_tokens_are_found_in_texts(llm):
         (k, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in ids.items()}
 
 
+class Deaf:
+    """A tokenizer whose calls fail, for words that must not need it."""
+
+    def encode(self, *args, **kwargs):
+        raise AssertionError(args)
+
+
+def test_usual_words_are_split_and_merged_in_one_call_a_group():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = packing.WordTokenizer(path)
+    calls, model = [], words.model
+
+    class Counted:
+        def encode(self, parts, **kwargs):
+            calls.append(len(parts))
+            return model.encode(parts, **kwargs)
+
+    texts = ["Grüße, schöne Straße! Élan d'été \u2014 don't", "Привет, мир. ΑΒΓ it'S \u201cquoted\u201d 42 \u20ac7", "schöne Grüße, Привет"]
+    words.whole, words.model = Deaf(), Counted()
+    ids, bounds = words.encode(texts)
+    assert len(calls) == 1 and bounds.tolist()[-1] == len(ids)
+    whole = Tokenizer.from_file(path)
+    assert ids.tolist() == [i for t in texts for i in [*whole.encode(t, add_special_tokens=False).ids, 2]]
+    words.encode(texts[::-1])
+    assert len(calls) == 1
+
+
+def test_a_worker_reads_the_tokenizer_once(tmp_path):
+    path = tmp_path / "words.json"
+    text = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    path.write_text(text)
+    first = packing.word_tokenizer(str(path))
+    assert packing.word_tokenizer(str(path)) is first
+    path.write_text(text + " ")
+    assert packing.word_tokenizer(str(path)) is not first
+
+
+def test_ids_do_not_depend_on_what_was_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 40)
+    monkeypatch.setattr(packing, "KNOWN_PARTS", 20)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, whole = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    odd = ["", "\x1ca\x1d's", "ΣΑΣ İı ſt \u212bngström e\u0301t\u00e9", "<|endoftext|>é <|", "\x00\x7f \u00ad \u00b2\u00bc", "語 中文\u3000字"]
+    for k in range(60):
+        texts = [f"w{k} Wörter{k % 7}, x{k}y it's {odd[k % 6]}", odd[(k + 1) % 6], f"\u00c9{k % 13} {odd[(k + 2) % 6]} the the"]
+        if k % 2:
+            texts = [t.replace("\x1c", "").replace("\x1d", "") for t in texts]
+        ids, bounds = words.encode(texts)
+        for n, t in enumerate(texts):
+            assert ids[bounds[n] : bounds[n + 1]].tolist() == [*whole.encode(t, add_special_tokens=False).ids, 2]
+    assert len(words.known) < 100
+
+
 def test_token_counts(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
