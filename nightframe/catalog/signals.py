@@ -396,7 +396,8 @@ def movement(spark, sf):
 SELECT {K}, epoch_index, bursts, CASE WHEN d IS NOT NULL THEN CAST(least(greatest(d, 0), 255) AS DOUBLE) END AS turnovers FROM d""",
 )
 def bursts(spark, sf):
-    out = sig.counter_delta(sig.movement(enveloped(spark, sf), KEY), KEY, "bursts", "turnovers")
+    moves = cut_lineage(sig.movement(enveloped(spark, sf), KEY), "movement")
+    out = sig.counter_delta(moves, KEY, "bursts", "turnovers")
     return out.select(*EK, "bursts", F.col("turnovers").cast("double").alias("turnovers"))
 
 

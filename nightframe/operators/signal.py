@@ -189,15 +189,20 @@ def fir(df: DataFrame, keys: Sequence[str], kernel: Sequence[float], out: str, v
 
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Exact median and median absolute deviation per channel, and the standard
-    deviation that replaces a MAD of 0 (SIG-06)."""
+    deviation that replaces a MAD of 0 (SIG-06).
+
+    Both are stored, a row per channel each: the passes of a quantile would
+    else hold the plan of the one before several times over.
+    """
     keys = list(keys)
-    med = exact_quantiles(df, keys, value, {"median": 0.5})
+    med = cut_lineage(exact_quantiles(df, keys, value, {"median": 0.5}), "medians")
     away = df.select(*keys, value).join(med, keys).withColumn("_away", F.abs(F.col(value) - F.col("median")))
     mad = exact_quantiles(away, keys, "_away", {"mad": 0.5})
     std = df.groupBy(*keys).agg(F.stddev_pop(value).alias("std"))
-    return std.join(med, keys).join(mad, keys).withColumn(
+    scaled = std.join(med, keys).join(mad, keys).withColumn(
         "scale", F.when(F.col("mad") == 0, F.col("std")).otherwise(F.col("mad"))
     )
+    return cut_lineage(scaled, "scales")
 
 
 def robust_threshold(df: DataFrame, keys: Sequence[str], factor: float, value: str = "value") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nightframe.catalog import QUERIES, streams, views
 from nightframe.functions import probability as prob
-from nightframe.operators import dataset, ordered, scoring, windows
+from nightframe.operators import dataset, ordered, scoring, signal, windows
 from nightframe.sources import artifacts
 from nightframe.schema import FEATURES
 
@@ -43,6 +43,22 @@ def test_a_table_read_in_many_steps_is_prepared_once(spark, tables, name, table)
     assert out.count() > 0
 
 
+@pytest.mark.parametrize("name, reads", [("sig_25_burst_delta", 2), ("sig_24_movement", 2), ("sig_06_robust_threshold", 1)])
+def test_passes_of_a_quantile_do_not_multiply_the_plan(spark, tables, name, reads):
+    out = QUERIES[name](spark, tables)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() <= reads
+    assert out.count() > 0
+
+
+def test_scale_of_channels(spark):
+    """Odd and even numbers of values, a channel that hardly moves, one of nulls; a null key has no limits."""
+    values = {"a": [1.0, 9.0, 3.0, 4.0], "b": [5.0, 5.0, 5.0, 8.0], "c": [None, None], None: [1.0, 2.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    got = {r.k: (r.median, r.mad, r.scale) for r in signal.robust_scale(df, ["k"], "v").collect()}
+    assert got == {"a": (3.5, 1.5, 1.5), "b": (5.0, 0.0, pytest.approx(1.299038105676658)), "c": (None, None, None)}
+
+
 def test_a_feed_makes_its_rows_once(spark):
     made = spark.sparkContext.accumulator(0)
 
