@@ -8,7 +8,7 @@ from nightframe.catalog.base import query, r6, ts_text
 from nightframe.catalog.views import read
 from nightframe.operators import statistics as stat
 from nightframe.operators.ingest import first_per_key
-from nightframe.operators.ordered import with_position
+from nightframe.operators.ordered import BLOCK, wide_blocks, with_position
 from nightframe.session import cut_lineage, scratch_path
 from nightframe.streaming import jobs
 
@@ -96,8 +96,8 @@ def ingest(spark, sf):
 
 
 def user_rows(spark, sf):
-    hour = F.floor(F.col("sec") / 3600)
-    df = with_position(events(spark, sf), ["user_id"], ["sec", "event_id"], hour, "n")
+    marked = wide_blocks(events(spark, sf), ["user_id"], F.floor(F.col("sec") / 3600))
+    df = with_position(marked, ["user_id"], ["sec", "event_id"], BLOCK, "n")
     return df.select("user_id", "ts", (F.col("n") + F.floor(F.col("n") / 25)).cast("int").alias("epoch_index"), F.col("value"))
 
 

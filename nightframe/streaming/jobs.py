@@ -8,6 +8,7 @@ storage, so a lost executor only replays its last batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,9 @@ from nightframe.operators.statistics import with_moments
 from nightframe.schema import RECORDING_TIMEOUT_HOURS, WINDOW_SIZE
 from nightframe.session import ROCKSDB_PROVIDER, path_exists
 
+#: Recordings are called into Python by so many groups; a task holds a group's rows of one batch.
+RECORDING_GROUPS = 1024
+
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
     """Parquet files as a stream."""
@@ -76,6 +80,52 @@ def append_new(target_path: str, keys: Sequence[str], order: Sequence[str]) -> C
     return write
 
 
+class Ready(NamedTuple):
+    """What new epochs bring: complete windows, and the runs and values with which it goes on."""
+
+    ends: np.ndarray  # index of a complete window's last epoch
+    means: np.ndarray
+    first: np.ndarray  # of each run of indexes seen
+    last: np.ndarray
+    index: np.ndarray  # the epochs at hand, those that waited and the new ones, in order
+    value: np.ndarray
+    is_new: np.ndarray
+    waits: np.ndarray  # whether an epoch at hand still belongs to a window with an absent one
+
+
+def fresh_epochs(first: np.ndarray, last: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Which indexes lie in no run seen so far; runs are in order and apart."""
+    if not len(first):
+        return np.ones(len(index), bool)
+    at = np.searchsorted(first, index, "right") - 1
+    return (at < 0) | (index > last[np.maximum(at, 0)])
+
+
+def complete(size: int, first: np.ndarray, last: np.ndarray, held: np.ndarray, held_value: np.ndarray, index: np.ndarray, value: np.ndarray) -> Ready:
+    """Windows of ``size`` epochs that the fresh epochs ``index`` complete, given the runs seen and the values that wait."""
+    all_index = np.concatenate([held, index])
+    order = np.argsort(all_index)
+    is_new = order >= len(held)
+    all_value = np.concatenate([held_value, value])[order]
+    all_index = all_index[order]
+    ready = np.empty(0, np.int64)
+    means = np.empty(0)
+    if len(all_index) >= size:
+        new_before = np.concatenate([[0], np.cumsum(is_new)])
+        whole = all_index[size - 1 :] - all_index[: len(all_index) - size + 1] == size - 1
+        ready = np.flatnonzero(whole & (new_before[size:] > new_before[:-size]))
+        means = np.lib.stride_tricks.sliding_window_view(all_value, size)[ready].mean(1)
+    # Runs grow and meet; an epoch all of whose windows are out need not wait.
+    low, high = np.concatenate([first, index]), np.concatenate([last, index])
+    order_of = np.argsort(low)
+    low, high = low[order_of], high[order_of]
+    opens = np.append(True, low[1:] > high[:-1] + 1)
+    first, last = low[opens], high[np.append(opens[1:], True)]
+    run = np.searchsorted(first, all_index, "right") - 1
+    done = (all_index - size + 1 >= first[run]) & (all_index + size - 1 <= last[run])
+    return Ready(all_index[ready + size - 1], means, first, last, all_index, all_value, is_new, ~done)
+
+
 class LastEpochs(StatefulProcessor):
     """Emits every complete window of a recording once, however late its epochs come.
 
@@ -94,7 +144,6 @@ class LastEpochs(StatefulProcessor):
         self.seen = handle.getMapState("seen", "first int", "last int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        size = self.size
         runs = {k[0]: v[0] for k, v in self.seen.iterator()} if self.seen.exists() else {}
         held = {k[0]: v[0] for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
         firsts = np.array(sorted(runs), np.int64)
@@ -102,40 +151,19 @@ class LastEpochs(StatefulProcessor):
         batch = pd.concat(list(rows))[["epoch_index", "value"]].sort_values(["epoch_index", "value"])
         batch = batch.drop_duplicates("epoch_index")
         index, value = batch["epoch_index"].to_numpy(np.int64), batch["value"].to_numpy(float)
-        if len(firsts):
-            at = np.searchsorted(firsts, index, "right") - 1
-            fresh = (at < 0) | (index > lasts[np.maximum(at, 0)])
-            index, value = index[fresh], value[fresh]
-        if not len(index):
+        fresh = fresh_epochs(firsts, lasts, index)
+        if not fresh.any():
             return
-        # Values at hand, in order, and the windows among them that hold a new one.
-        all_index = np.concatenate([np.array(list(held), np.int64), index])
-        order = np.argsort(all_index)
-        is_new = (order >= len(held)).astype(np.int64)
-        all_value = np.concatenate([np.array(list(held.values()), float), value])[order]
-        all_index = all_index[order]
-        if len(all_index) >= size:
-            new_before = np.concatenate([[0], np.cumsum(is_new)])
-            whole = all_index[size - 1 :] - all_index[: len(all_index) - size + 1] == size - 1
-            ready = np.flatnonzero(whole & (new_before[size:] > new_before[:-size]))
-            if len(ready):
-                out = {name: [part] * len(ready) for name, part in zip(self.key_fields, key)}
-                out["window_end_index"] = all_index[ready + size - 1]
-                out["mean_value"] = np.lib.stride_tricks.sliding_window_view(all_value, size)[ready].mean(1)
-                yield pd.DataFrame(out)
-        # Runs grow and meet; an epoch all of whose windows are out need not wait.
-        low, high = np.concatenate([firsts, index]), np.concatenate([lasts, index])
-        order_of = np.argsort(low)
-        low, high = low[order_of], high[order_of]
-        opens = np.append(True, low[1:] > high[:-1] + 1)
-        first, last = low[opens], high[np.append(opens[1:], True)]
-        run = np.searchsorted(first, all_index, "right") - 1
-        done = (all_index - size + 1 >= first[run]) & (all_index + size - 1 <= last[run])
-        for i in all_index[done & (is_new == 0)].tolist():
+        got = complete(self.size, firsts, lasts, np.array(list(held), np.int64), np.array(list(held.values()), float), index[fresh], value[fresh])
+        if len(got.ends):
+            out = {name: [part] * len(got.ends) for name, part in zip(self.key_fields, key)}
+            yield pd.DataFrame(out | {"window_end_index": got.ends, "mean_value": got.means})
+        for i in got.index[~got.waits & ~got.is_new].tolist():
             self.waiting.removeKey((i,))
-        for i, v in zip(all_index[~done & (is_new == 1)].tolist(), all_value[~done & (is_new == 1)].tolist()):
+        put = got.waits & got.is_new
+        for i, v in zip(got.index[put].tolist(), got.value[put].tolist()):
             self.waiting.updateValue((i,), (v,))
-        after = dict(zip(first.tolist(), last.tolist()))
+        after = dict(zip(got.first.tolist(), got.last.tolist()))
         for i in runs.keys() - after.keys():
             self.seen.removeKey((i,))
         for i, end in after.items():
@@ -146,19 +174,92 @@ class LastEpochs(StatefulProcessor):
         pass
 
 
+class LastEpochsOfMany(LastEpochs):
+    """:class:`LastEpochs` of a group of recordings, whose rows come with their keys.
+
+    A call into Python and each access to state cost more than the few epochs
+    that a recording has in a batch. So all recordings of a group are settled in
+    one pass over arrays, where each has a range of indexes of its own, and the
+    state of a recording is read and written as a whole.
+    """
+
+    def __init__(self, key_fields: list[T.StructField], size: int):
+        super().__init__([f.name for f in key_fields], size)
+        self.columns = [f"key_{i}" for i in range(len(key_fields))]
+        self.whole = [isinstance(f.dataType, T.IntegralType) for f in key_fields]
+        self.key_schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(self.columns, key_fields)])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # runs: first and last of each; waiting: indexes, then their values
+        self.recordings = handle.getMapState("recordings", self.key_schema, "runs binary, waiting binary")
+
+    def plain(self, key: tuple) -> tuple:
+        """Key as state has it; pandas makes floats of whole numbers beside a null."""
+        return tuple(None if pd.isna(x) else int(x) if whole else x for x, whole in zip(key, self.whole))
+
+    def stored(self, keys: list[tuple]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        runs, held, values = [], [], []
+        for key in keys:
+            found = self.recordings.getValue(key)
+            span = np.frombuffer(found[0] if found else b"", np.int64)
+            waiting = found[1] if found else b""
+            runs.append(span.reshape(-1, 2))
+            held.append(np.frombuffer(waiting[: len(waiting) // 2], np.int64))
+            values.append(np.frombuffer(waiting[len(waiting) // 2 :], np.float64))
+        return runs, held, values
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        rec = batch.groupby(self.columns, sort=False, dropna=False).ngroup().to_numpy(np.int64)
+        named = batch.loc[np.unique(rec, return_index=True)[1], self.columns].set_axis(self.key_fields, axis=1).reset_index(drop=True)
+        keys = [self.plain(k) for k in named.itertuples(index=False, name=None)]
+        runs, held, held_value = self.stored(keys)
+        index, value = batch["epoch_index"].to_numpy(np.int64), batch["value"].to_numpy(float)
+        order = np.lexsort((value, index, rec))
+        rec, index, value = rec[order], index[order], value[order]
+        one = np.append(True, (rec[1:] != rec[:-1]) | (index[1:] != index[:-1]))
+        rec, index, value = rec[one], index[one], value[one]
+        # Recording r has the indexes from r * stride on; ranges are a step apart, so runs don't meet.
+        span = np.concatenate(runs)
+        known = np.concatenate([index, span.ravel()])
+        low, stride = known.min(), known.max() - known.min() + 2
+        begins = np.arange(len(keys) + 1) * stride
+        span = span + np.repeat(begins[:-1] - low, [len(x) for x in runs])[:, None]
+        waiting = np.concatenate(held) + np.repeat(begins[:-1] - low, [len(x) for x in held])
+        index = index + begins[rec] - low
+        fresh = fresh_epochs(span[:, 0], span[:, 1], index)
+        if not fresh.any():
+            return
+        got = complete(self.size, span[:, 0], span[:, 1], waiting, np.concatenate(held_value), index[fresh], value[fresh])
+        if len(got.ends):
+            of = got.ends // stride
+            out = named.loc[of].reset_index(drop=True)
+            yield out.assign(window_end_index=got.ends - begins[of] + low, mean_value=got.means)
+        kept, kept_value = got.index[got.waits], got.value[got.waits]
+        spans = np.stack([got.first, got.last], 1)
+        run_at, kept_at = np.searchsorted(got.first, begins), np.searchsorted(kept, begins)
+        for r in np.unique(rec[fresh]).tolist():
+            a, b, c, d = run_at[r], run_at[r + 1], kept_at[r], kept_at[r + 1]
+            shift = low - begins[r]
+            waits = (kept[c:d] + shift).tobytes() + kept_value[c:d].tobytes()
+            self.recordings.updateValue(keys[r], ((spans[a:b] + shift).tobytes(), waits))
+
+
 def windows_when_complete(stream: DataFrame, keys: Sequence[str], size: int = WINDOW_SIZE) -> DataFrame:
     """Emit a window as soon as ``size`` contiguous epochs exist (STR-03).
 
     Input ``epoch_index, value``. An epoch may come at any time: nothing is
     dropped by age, and one that fills a gap completes its windows then. Of
     repeated uploads the first batch's value counts, inside a batch the smallest.
+    Recordings are dealt over ``RECORDING_GROUPS`` by a hash of their key.
     """
     use_rocksdb(stream.sparkSession)
-    schema = T.StructType(
-        [*[stream.schema[k] for k in keys], T.StructField("window_end_index", T.LongType()), T.StructField("mean_value", T.DoubleType())]
-    )
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        LastEpochs(list(keys), size), outputStructType=schema, outputMode="append", timeMode="none"
+    fields = [stream.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("window_end_index", T.LongType()), T.StructField("mean_value", T.DoubleType())])
+    group = F.pmod(F.xxhash64(*keys), F.lit(RECORDING_GROUPS)).cast("int").alias("recording_group")
+    named = [F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]
+    return stream.select(group, *named, "epoch_index", "value").groupBy("recording_group").transformWithStateInPandas(
+        LastEpochsOfMany(fields, size), outputStructType=schema, outputMode="append", timeMode="none"
     )
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nightframe.operators import dataset, evaluation, signal, statistics, windows
 from nightframe.sources import stage_text
@@ -126,6 +127,57 @@ def test_windows_in_any_order_come_once(seed):
     assert waiting <= 6 * gaps
 
 
+class StateInMemory(dict):
+    """State of recordings by key; counts how often it is asked."""
+
+    asked = 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self[key] = value
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_of_a_group_of_recordings(seed):
+    """Each recording's windows come once with their mean, and its state is read and written once a batch."""
+    rng = np.random.default_rng(seed)
+    size, names = 4, [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (3, None)][: 5 - seed % 2]
+    rows = [(k, int(i) - 7, float(rng.integers(100))) for k in names for i in rng.permutation(np.repeat(np.flatnonzero(rng.random(60) > 0.1), 2))]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    job = jobs.LastEpochsOfMany([T.StructField("rec", T.LongType()), T.StructField("_part", T.StringType())], size)
+    job.recordings = StateInMemory()
+    values, found, visits = {}, [], 0
+    for part in np.array_split(np.arange(len(rows)), 9):
+        batch = [rows[i] for i in part]
+        values = {at: min(v for *b, v in batch if tuple(b) == at) for at in {(k, i) for k, i, _ in batch}} | values
+        frame = pd.DataFrame({"key_0": pd.array([k[0] for k, *_ in batch], "Int64"), "key_1": [k[1] for k, *_ in batch], "epoch_index": [i for _, i, _ in batch], "value": [v for *_, v in batch]}, dtype=object)
+        visits += len({k for k, *_ in batch})
+        for out in job.handleInputRows((0,), iter([frame[:50], frame[50:]]), None):
+            found += [(job.plain((a, b)), e, m) for a, b, e, m in zip(out["rec"], out["_part"], out["window_end_index"], out["mean_value"])]
+    want = {(k, i): np.mean([values[k, i - j] for j in range(size)]) for k, i in values if all((k, i - j) in values for j in range(size))}
+    assert len(found) == len(want) and {(k, i): m for k, i, m in found} == pytest.approx(want)
+    assert job.recordings.asked <= 2 * visits and set(job.recordings) == set(names)
+    for k in names:
+        mine = {i for key, i in values if key == k}
+        assert len(job.recordings[k][1]) // 16 <= 6 * sum(i + 1 not in mine for i in mine)
+
+
+def test_a_stream_of_many_recordings_is_handled_in_groups(spark, tmp_path):
+    rows = spark.range(300 * 30).selectExpr("id div 30 AS `class`", "CAST(id % 30 AS int) AS epoch_index", "CAST(id AS double) AS value")
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for late in (False, True):
+        rows.filter((F.col("epoch_index") == 5) == F.lit(late)).coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.windows_when_complete(jobs.file_stream(spark, path, rows.schema), ["class"])
+        jobs.run_to_table(stream, out, str(tmp_path / "checkpoint"))
+    assert "recording_group" in stream._jdf.queryExecution().analyzed().toString()
+    got = {(r["class"], r.window_end_index): r.mean_value for r in spark.read.parquet(out).collect()}
+    assert got == {(k, e): 30.0 * k + e - 10 for k in range(300) for e in range(20, 30)} and spark.read.parquet(out).count() == 3000
+
+
 def test_scratch_of_other_threads_is_left_alone(spark):
     """A scope collects what its own thread makes, also while another thread has one open."""
     import threading
