@@ -153,7 +153,7 @@ def night_artifacts(spark, sf):
     ).withColumn("hr_mean", F.when(F.col("k") % 9 == 0, 255).otherwise(F.col("hr_mean")))
     path = scratch_path(spark, "nights")
     art.write_night_artifacts(df, path)
-    out = spark.read.parquet(path)
+    out = art.read_night_artifacts(spark, path, art.night_rows(df).schema, ["night_id", "valid_mask", "hr_mean", "label"])
     return out.groupBy(F.col("night_id").cast("bigint").alias("night_id")).agg(
         F.count(F.lit(1)).alias("n_epochs"), F.count_if("valid_mask").alias("valid_epochs"),
         F.count("hr_mean").alias("known_hr"), F.sum("label").alias("labels"),

@@ -98,6 +98,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
 
 
+def shared_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder that a path names on every machine, or none if it lies in a store that is not a file system of theirs."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place = files.makeQualified(found).toUri()
+    return place.getPath() if place.getScheme() == "file" else None
+
+
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to shared storage and read it back.
 

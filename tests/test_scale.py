@@ -118,6 +118,55 @@ def test_nights_are_written_by_several_tasks(spark, tmp_path):
     assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
 
 
+def nights_of(spark, ids, kind, hr, epochs=3):
+    df = spark.createDataFrame([(i, e) for i in ids for e in range(epochs)], f"night_id {kind}, epoch_index int")
+    return df.select(
+        "night_id", "epoch_index", (F.col("epoch_index") * 30).cast("bigint").alias("start_sec"),
+        *[F.lit(hr).alias(f) for f in FEATURES], F.when(F.col("epoch_index") > 0, 2).alias("stage"), (F.col("epoch_index") < 2).alias("valid"),
+    )
+
+
+@pytest.mark.parametrize("kind, ids, again", [("long", [None, -3, *range(30)], [5, None, 40]), ("string", ["a/b", "é=1 %", "10", "007", "", None], ["a/b", "x", ""])])
+@pytest.mark.parametrize("shared", [True, False])
+def test_only_nights_that_come_are_replaced(spark, tmp_path, monkeypatch, request, kind, ids, again, shared):
+    """Written and read by the tasks, or by Spark where the store is not a shared folder."""
+    path = str(tmp_path / "nights")
+    monkeypatch.setattr(artifacts, "shared_folder", artifacts.shared_folder if shared else lambda spark, path: None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)  # a night comes in several batches
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    artifacts.write_night_artifacts(nights_of(spark, ids, kind, 1), path)
+    artifacts.write_night_artifacts(nights_of(spark, again, kind, 255, 2), path)
+    df = nights_of(spark, ids, kind, 1)
+    schema = artifacts.night_rows(df).schema
+    got = artifacts.read_night_artifacts(spark, path, schema, schema.names)
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in schema]
+    named = lambda i: None if i == "" else i
+    want = [(named(i), e, 1.0, None if e == 0 else 2, e < 2, 30 * e) for i in ids if named(i) not in map(named, again) for e in range(3)]
+    want += [(named(i), e, None, None if e == 0 else 2, True, 30 * e) for i in again for e in range(2)]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.night_id, r.epoch_index, r.hr_mean, r.label, r.valid_mask, r.start_sec) for r in got.collect()), key=key) == sorted(want, key=key)
+    by_spark = spark.read.schema(schema).parquet(path).select(*schema.names)
+    assert got.exceptAll(by_spark).isEmpty() and by_spark.exceptAll(got).isEmpty()
+    left = [f for f in pathlib.Path(path).rglob("*") if not f.name.startswith(("night_id=", "part-", ".part-", "_SUCCESS", "._SUCCESS"))]
+    assert not left
+
+
+def test_no_process_and_no_reading_task_for_each_night(spark, tables, tmp_path):
+    """Spark's local writer leaves a checksum beside each file it starts a process for; its reader keeps a list of all files."""
+    artifacts.write_night_artifacts(nights_of(spark, range(40), "long", 1), str(tmp_path / "nights"))
+    assert not list((tmp_path / "nights").rglob("*.crc"))
+    out = QUERIES["src_13_night_artifacts"](spark, tables)
+    assert not out.inputFiles()
+    assert {r.night_id: r.n_epochs for r in out.collect()} == {0: 80, 1: 80, 2: 80}
+
+
+def test_no_nights(spark, tmp_path):
+    df = nights_of(spark, [], "long", 1)
+    artifacts.write_night_artifacts(df, str(tmp_path / "nights"))
+    schema = artifacts.night_rows(df).schema
+    assert artifacts.read_night_artifacts(spark, str(tmp_path / "nights"), schema, ["night_id", "label"]).count() == 0
+
+
 def test_only_long_keys_keep_fine_blocks(spark):
     df = spark.createDataFrame([("long", i) for i in range(20)] + [("short", i) for i in range(3)] + [(None, i) for i in range(8)], "k string, i long")
     marked = ordered.wide_blocks(df, ["k"], F.floor(F.col("i") / 4), limit=5)
