@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from nightframe.llm.words import mix, powers
 
 CHUNK_CHARS = 2_000_000
+#: Calibration rows from which a class's own deviation counts; that of fewer is mostly chance.
+OWN_ROWS = 10
 
 
 @dataclass(frozen=True)
@@ -155,14 +157,25 @@ def _batch(data, order):
     return idx, share, np.repeat(np.arange(len(order)), sizes)
 
 
+def least_evidence(rows: list[np.ndarray], deviations: float) -> np.ndarray:
+    """For each class the evidence below which a text is not its own, given that of its calibration rows."""
+    known = [x for x in rows if len(x) > 1]
+    freedom = sum(len(x) - 1 for x in known)
+    shared = (sum(((x - x.mean()) ** 2).sum() for x in known) / freedom) ** 0.5 if freedom else 0.0
+    spread = [x.std() if len(x) >= OWN_ROWS else max(x.std(), shared) for x in known]
+    found = iter([x.mean() - deviations * d for x, d in zip(known, spread)])
+    return np.array([next(found) if len(x) > 1 else -np.inf for x in rows])
+
+
 def fit(rows: list, f: Features, dim: int = 8, epochs: int = 12, rate: float = 40.0, batch: int = 32,
         seed: int = 7, deviations: float = 4.0) -> SubwordModel | None:
     """Train by stochastic gradient descent on a bounded list of feature rows.
 
     Every fifth row is kept for calibration: a temperature that minimises its
     log loss, and the least evidence of each class: ``deviations`` standard
-    deviations below the mean of its rightly classified rows. Rows without
-    features are not learned. None without rows.
+    deviations below the mean of its rightly classified rows. A class with few
+    such rows has the deviation of all classes' rows from their means, if that
+    is larger. Rows without features are not learned. None without rows.
     """
     data = [(np.frombuffer(r["buckets"], "<u4").astype(np.int64), np.frombuffer(r["shares"], np.float32), r["label"])
             for r in rows if len(r["buckets"])]
@@ -205,6 +218,6 @@ def fit(rows: list, f: Features, dim: int = 8, epochs: int = 12, rate: float = 4
     right = p.argmax(1) == truth
     # a class without calibration rows rejects nothing
     mine = [evidence[right & (truth == c), c] for c in range(k)]
-    model.least = np.array([x.mean() - deviations * x.std() if len(x) > 1 else -np.inf for x in mine])
+    model.least = least_evidence(mine, deviations)
     model.report = {"rows": len(data), "accuracy": float(right.mean()), "log_loss": float(min(loss))}
     return model

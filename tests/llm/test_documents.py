@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from nightframe.llm import exact_dedup, language_id, ngram_join, packing, piece_codec, quality_classifier, quality_rules, token_counts
+from nightframe.llm import exact_dedup, language_id, ngram_join, packing, piece_codec, quality_classifier, quality_rules, subword, token_counts
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -338,3 +338,12 @@ def test_long_units_by_agenda_equal_the_rounds(monkeypatch):
     start = time.time()
     ids, _ = codec.encode([text], [7], 1, 0.1)
     assert codec.decode(ids) == text and time.time() - start < 60
+
+
+def test_a_class_with_few_calibration_rows_has_the_shared_deviation():
+    many, few, one = np.linspace(-1.0, 1.0, 40), np.array([2.0, 2.01, 2.02]), np.array([5.0])
+    least = subword.least_evidence([many, few, one, few[:0]], 4.0)
+    assert least[0] == many.mean() - 4.0 * many.std()
+    assert -1.0 < least[1] < 2.01 - 3.0 * many.std()  # its own deviation is 0.008
+    assert list(least[2:]) == [-np.inf, -np.inf]
+    assert list(subword.least_evidence([one, one], 4.0)) == [-np.inf, -np.inf]
